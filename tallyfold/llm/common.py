@@ -9,6 +9,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyfold.shipping import ship
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -42,6 +44,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift-multiply)."""
     x = x ^ (x >> np.uint64(30))

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfold.llm import common
+from tallyfold.llm.bpe import encode_digest
+from tallyfold.llm.chat_format import conversations_of, preference_format, swapped_pairs
 from tallyfold.llm.exact_dedup import exact_dedup
+from tallyfold.llm.importance import classify
+from tallyfold.llm.jaccard_join import jaccard_components
+from tallyfold.llm.packing import packed_documents
 from tallyfold.llm.secret_scan import secret_digest
+from tallyfold.llm.url_filter import filter_urls, host_of
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +29,49 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_secret_scan": op4_secret_scan}
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format(swapped_pairs(conversations_of(common.read(spark, sf_dir, "conversations"))))
+
+
+def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no fetch times and no list, so both follow from rules: a page is fetched
+    page_id days (modulo a year) into 2024; a site (the host's last three labels) whose MD5 starts
+    with 0 to 3 is listed on day 16 * (second digit) and, if its third digit is below 8, freed 60
+    days later."""
+    pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("date_add(date'2024-01-01', cast(page_id % 365 as int))"))
+    labels = F.split(host_of(F.col("url")), r"\.")
+    site = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 2), 3), ".")
+    sites = captures.select(site.alias("host")).where("host is not null").distinct().withColumn("m", F.md5("host"))
+    digit = lambda k: F.expr(f"instr('0123456789abcdef', substr(m, {k}, 1)) - 1")
+    listed = sites.where(digit(1) < 4).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), 16 * digit(2)))
+    added = listed.select("host", F.col("day").alias("listed_at"), F.lit(True).alias("active"))
+    freed = listed.where(digit(3) < 8).select("host", F.date_add("day", 60).alias("listed_at"), F.lit(False).alias("active"))
+    return filter_urls(captures, added.unionByName(freed))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(common.read(spark, sf_dir, "documents"))
+
+
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_importance_resampling": op6_importance_resampling,
+    "op7_preference_format": op7_preference_format,
+    "op8_temporal_url_filter": op8_temporal_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_prefix_bpe": op10_prefix_bpe,
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
@@ -32,4 +86,57 @@ ORACLE_SQL = {
                    count(*) OVER (PARTITION BY body) AS group_size
             FROM d)
     """,
+    "op7_preference_format": r"""
+        WITH rows_ AS (
+            SELECT conv_id, turn, min(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))) AS t
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2),
+        numbered AS (
+            SELECT conv_id, t.role AS role, t.text AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+            FROM rows_),
+        replied AS (SELECT conv_id, max(k) AS at FROM numbered WHERE role = 'assistant' GROUP BY 1),
+        replies AS (SELECT n.conv_id, n.text FROM numbered n JOIN replied r ON r.conv_id = n.conv_id AND n.k = r.at),
+        pairs AS (
+            SELECT r.conv_id, r.at, p.conv_id AS rejected_id, p.text AS reply, n.text AS own,
+                   CASE WHEN p.text = n.text THEN r.at ELSE r.at - 1 END AS shared
+            FROM replied r JOIN replies n USING (conv_id) LEFT JOIN replies p ON p.conv_id = xor(r.conv_id, 1)),
+        drawn AS (
+            SELECT conv_id, k, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body FROM numbered),
+        parts AS (
+            SELECT p.conv_id, 'p' AS side, k, role, head, body FROM pairs p JOIN drawn d ON d.conv_id = p.conv_id AND d.k <= p.shared
+            UNION ALL SELECT p.conv_id, 'c', k, role, head, body FROM pairs p JOIN drawn d ON d.conv_id = p.conv_id AND d.k > p.shared
+            UNION ALL SELECT conv_id, 'r', at, 'assistant', '<|im_start|>assistant' || chr(10), reply || '<|im_end|>' || chr(10)
+            FROM pairs WHERE reply IS NOT NULL AND shared < at),
+        placed AS (
+            SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side ORDER BY k) AS upto FROM parts),
+        texts AS (
+            SELECT conv_id, side, string_agg(head || body, '' ORDER BY k) AS text,
+                   string_agg(CASE WHEN role = 'assistant' THEN (upto - length(body))::BIGINT::VARCHAR || ':' || upto::BIGINT::VARCHAR END, ',' ORDER BY k) AS mask
+            FROM placed GROUP BY 1, 2)
+        SELECT p.conv_id AS chosen_id, p.rejected_id, p.shared::INTEGER AS n_shared, coalesce(a.text, '') AS prompt,
+               coalesce(c.text, '') AS chosen, coalesce(r.text, '') AS rejected, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+        FROM pairs p LEFT JOIN texts a ON a.conv_id = p.conv_id AND a.side = 'p'
+        LEFT JOIN texts c ON c.conv_id = p.conv_id AND c.side = 'c' LEFT JOIN texts r ON r.conv_id = p.conv_id AND r.side = 'r'
+    """,
+    "op8_temporal_url_filter": r"""
+        WITH captures AS (
+            SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INTEGER AS at,
+                   nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host
+            FROM pages),
+        sites AS (
+            SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - 2), len(string_split(host, '.'))), '.') AS host
+            FROM captures WHERE host IS NOT NULL),
+        digits AS (SELECT host, [instr('0123456789abcdef', substr(md5(host), k, 1)) - 1 FOR k IN [1, 2, 3]] AS d FROM sites),
+        entries AS (
+            SELECT host, DATE '2024-01-01' + (16 * d[2])::INTEGER AS since, true AS active FROM digits WHERE d[1] < 4
+            UNION ALL SELECT host, DATE '2024-01-01' + (16 * d[2] + 60)::INTEGER, false FROM digits WHERE d[1] < 4 AND d[3] < 8),
+        names AS (
+            SELECT DISTINCT host, at, k, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS name
+            FROM captures, unnest(range(1, 128)) AS u(k) WHERE host IS NOT NULL AND k <= len(string_split(host, '.'))),
+        hits AS (
+            SELECT n.host, n.at, n.k, n.name, e.since, e.active
+            FROM names n ASOF JOIN entries e ON n.name = e.host AND n.at >= e.since),
+        best AS (SELECT host, at, arg_min(name, k) AS matched, arg_min(since, k) AS listed_since, arg_min(active, k) AS blocked FROM hits GROUP BY 1, 2)
+        SELECT c.page_id, c.host, b.matched, b.listed_since, coalesce(b.blocked, false) AS blocked
+        FROM captures c LEFT JOIN best b ON b.host = c.host AND b.at = c.at
+    """,
 }
