@@ -12,6 +12,7 @@ from tallyfold.llm.chat_format import conversations_of, preference_format, swapp
 from tallyfold.llm.exact_dedup import exact_dedup
 from tallyfold.llm.importance import classify
 from tallyfold.llm.jaccard_join import jaccard_components
+from tallyfold.llm.multi_index import neighbours
 from tallyfold.llm.packing import packed_documents
 from tallyfold.llm.secret_scan import secret_digest
 from tallyfold.llm.url_filter import filter_urls, host_of
@@ -29,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(common.read(spark, sf_dir, "documents"))
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(common.read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_multi_index": op5_multi_index,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_preference_format": op7_preference_format,
     "op8_temporal_url_filter": op8_temporal_url_filter,
@@ -93,19 +99,19 @@ ORACLE_SQL = {
         numbered AS (
             SELECT conv_id, t.role AS role, t.text AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
             FROM rows_),
-        replied AS (SELECT conv_id, max(k) AS at FROM numbered WHERE role = 'assistant' GROUP BY 1),
-        replies AS (SELECT n.conv_id, n.text FROM numbered n JOIN replied r ON r.conv_id = n.conv_id AND n.k = r.at),
+        replied AS (SELECT conv_id, max(k) AS pos FROM numbered WHERE role = 'assistant' GROUP BY 1),
+        replies AS (SELECT n.conv_id, n.text FROM numbered n JOIN replied r ON r.conv_id = n.conv_id AND n.k = r.pos),
         pairs AS (
-            SELECT r.conv_id, r.at, p.conv_id AS rejected_id, p.text AS reply, n.text AS own,
-                   CASE WHEN p.text = n.text THEN r.at ELSE r.at - 1 END AS shared
+            SELECT r.conv_id, r.pos, p.conv_id AS rejected_id, p.text AS reply, n.text AS own,
+                   CASE WHEN p.text = n.text THEN r.pos ELSE r.pos - 1 END AS shared
             FROM replied r JOIN replies n USING (conv_id) LEFT JOIN replies p ON p.conv_id = xor(r.conv_id, 1)),
         drawn AS (
             SELECT conv_id, k, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body FROM numbered),
         parts AS (
             SELECT p.conv_id, 'p' AS side, k, role, head, body FROM pairs p JOIN drawn d ON d.conv_id = p.conv_id AND d.k <= p.shared
             UNION ALL SELECT p.conv_id, 'c', k, role, head, body FROM pairs p JOIN drawn d ON d.conv_id = p.conv_id AND d.k > p.shared
-            UNION ALL SELECT conv_id, 'r', at, 'assistant', '<|im_start|>assistant' || chr(10), reply || '<|im_end|>' || chr(10)
-            FROM pairs WHERE reply IS NOT NULL AND shared < at),
+            UNION ALL SELECT conv_id, 'r', pos, 'assistant', '<|im_start|>assistant' || chr(10), reply || '<|im_end|>' || chr(10)
+            FROM pairs WHERE reply IS NOT NULL AND shared < pos),
         placed AS (
             SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side ORDER BY k) AS upto FROM parts),
         texts AS (
@@ -119,7 +125,7 @@ ORACLE_SQL = {
     """,
     "op8_temporal_url_filter": r"""
         WITH captures AS (
-            SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INTEGER AS at,
+            SELECT page_id, DATE '2024-01-01' + (page_id % 365)::INTEGER AS pos,
                    nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host
             FROM pages),
         sites AS (
@@ -130,13 +136,13 @@ ORACLE_SQL = {
             SELECT host, DATE '2024-01-01' + (16 * d[2])::INTEGER AS since, true AS active FROM digits WHERE d[1] < 4
             UNION ALL SELECT host, DATE '2024-01-01' + (16 * d[2] + 60)::INTEGER, false FROM digits WHERE d[1] < 4 AND d[3] < 8),
         names AS (
-            SELECT DISTINCT host, at, k, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS name
+            SELECT DISTINCT host, pos, k, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS name
             FROM captures, unnest(range(1, 128)) AS u(k) WHERE host IS NOT NULL AND k <= len(string_split(host, '.'))),
         hits AS (
-            SELECT n.host, n.at, n.k, n.name, e.since, e.active
-            FROM names n ASOF JOIN entries e ON n.name = e.host AND n.at >= e.since),
-        best AS (SELECT host, at, arg_min(name, k) AS matched, arg_min(since, k) AS listed_since, arg_min(active, k) AS blocked FROM hits GROUP BY 1, 2)
+            SELECT n.host, n.pos, n.k, n.name, e.since, e.active
+            FROM names n ASOF JOIN entries e ON n.name = e.host AND n.pos >= e.since),
+        best AS (SELECT host, pos, arg_min(name, k) AS matched, arg_min(since, k) AS listed_since, arg_min(active, k) AS blocked FROM hits GROUP BY 1, 2)
         SELECT c.page_id, c.host, b.matched, b.listed_since, coalesce(b.blocked, false) AS blocked
-        FROM captures c LEFT JOIN best b ON b.host = c.host AND b.at = c.at
+        FROM captures c LEFT JOIN best b ON b.host = c.host AND b.pos = c.pos
     """,
 }
