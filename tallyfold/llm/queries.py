@@ -15,6 +15,7 @@ from tallyfold.llm.jaccard_join import jaccard_components
 from tallyfold.llm.multi_index import neighbours
 from tallyfold.llm.packing import packed_documents
 from tallyfold.llm.secret_scan import secret_digest
+from tallyfold.llm.suffix_dedup import suffix_dedup
 from tallyfold.llm.url_filter import filter_urls, host_of
 
 
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(common.read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(common.read(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_multi_index": op5_multi_index,
     "op6_importance_resampling": op6_importance_resampling,
