@@ -47,6 +47,8 @@ LEAST = 75
 DOCS_PER_FRAGMENT = 4000
 #: Fragments in which a pair's overlap is counted.
 SEGMENTS = 8
+#: Shingles of a batch in the second census.
+TOKENS = 1_000_000
 _PACKED = "frag int, batch bigint, data binary"
 
 
@@ -69,11 +71,11 @@ def census_least(n: int) -> int:
     return _quorum(least_overlap(n))
 
 
-def _pack(tokens: np.ndarray, rows: np.ndarray) -> bytes:
-    """Sorted 40-bit values as differences in byte planes, and their row numbers."""
+def _pack(tokens: np.ndarray, marks: np.ndarray) -> bytes:
+    """Sorted 40-bit values as differences in byte planes, and a 16-bit mark for each."""
     steps = np.diff(tokens, prepend=np.uint64(0))
     planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
-    return planes + rows.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return planes + marks.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -81,92 +83,134 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(data, np.uint8).reshape(7, n)
     steps = np.zeros((n, 8), np.uint8)
     steps[:, :5] = planes[:5].T
-    rows = np.ascontiguousarray(planes[5:].T).view("<u2").ravel()
-    return np.cumsum(steps.view("<u8").ravel()), rows
+    marks = np.ascontiguousarray(planes[5:].T).view("<u2").ravel()
+    return np.cumsum(steps.view("<u8").ravel()), marks
 
 
-def _census(rows: DataFrame, sets_of, prefix_of, fragments: int) -> DataFrame:
-    """doc_id, n, h1, h2, shared and mass for each row: how many of the prefix's shingles other
-    rows have too, and how many rows have each, summed."""
+#: Mark of a value that several rows of its batch have.
+_MANY = (1 << 16) - 1
 
-    def deal(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 16):
-                yield from deal_part(batch.slice(at, 1 << 16))
-
-    def deal_part(part):
-        ids, sets = part.column(0), sets_of(part)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        h1 = np.array([int(common.mix64(s).sum()) if len(s) else 0 for s in sets], np.uint64)
-        h2 = np.array([int(common.mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()) if len(s) else 0 for s in sets], np.uint64)
-        known = pa.array(ids).is_null().to_numpy(zero_copy_only=False)
-        number = pa.array(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        table = number.tobytes() + known.astype(np.int64).tobytes() + sizes.tobytes() + h1.tobytes() + h2.tobytes()
-        key = np.uint64(xxhash.xxh64_intdigest(table)).astype(np.int64).item()
-        yield pa.record_batch([pa.array([-1 - key % fragments], pa.int32()), pa.array([key], pa.int64()), pa.array([table], pa.binary())], names=["frag", "batch", "data"])
-        heads = [s[: prefix_of(len(s))] for s in sets]
-        tokens = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order] >> np.uint64(24), owner[order]
-        frag = ((tokens * np.uint64(2 * fragments)) >> np.uint64(40)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(frag, prepend=-1)).tolist() + [len(frag)]
-        out = [(int(frag[a]), key, _pack(tokens[a:b], owner[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-        if out:
-            f, k, d = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(f, pa.int32()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], names=["frag", "batch", "data"])
+
+class _Asked:
+    """The distinct 40-bit values of one batch of sets, and which rows have them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate(sets) >> np.uint64(24) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        self.values, first, self.back, self.times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+        self.owner, self.rows = owner, len(sets)
+        self.marks = np.where(self.times > 1, _MANY, owner[first] if len(first) else 0)
+
+    def messages(self, key: int, fragments: int):
+        """One packed message per fragment of the global order."""
+        frag = ((self.values * np.uint64(2 * fragments)) >> np.uint64(40)).astype(np.int64)
+        cuts = [*np.flatnonzero(np.diff(frag, prepend=-1)).tolist(), len(frag)]
+        return [(int(frag[a]), key, _pack(self.values[a:b], self.marks[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    f, k, d = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(f, pa.int32()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], names=["frag", "batch", "data"])
+
+
+def _answered(packed: DataFrame, reply) -> DataFrame:
+    """Every message of a fragment answered by reply(marks, times), times being the number of
+    rows or batches that have each of its values (2 for any value that one batch has twice)."""
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         if group["frag"].iloc[0] < 0:
             return group
         parts = [_unpack(d) for d in group["data"]]
-        tokens = np.concatenate([t for t, _ in parts])
-        _, back, times = np.unique(tokens, return_inverse=True, return_counts=True)
-        times, at, out = times[back], 0, []
-        for _, rows_ in parts:
-            mine = times[at : at + len(rows_)]
-            at += len(rows_)
-            size = int(rows_.max()) + 1
-            shared = np.bincount(rows_[mine > 1], minlength=size)
-            mass = np.bincount(rows_, weights=mine, minlength=size)
-            out.append(shared.astype("<u4").tobytes() + mass.astype("<u8").tobytes())
+        _, back = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        marks = np.concatenate([m for _, m in parts])
+        times, at, out = np.bincount(back, weights=1 + (marks == _MANY)).astype(np.int64)[back], 0, []
+        for _, mine in parts:
+            out.append(reply(mine, times[at : at + len(mine)]))
+            at += len(mine)
         return group.assign(data=out)
 
+    return common.map_groups(packed, ["frag"], count, _PACKED)
+
+
+def _census(rows: DataFrame, width: int, fragments: int) -> DataFrame:
+    """doc_id, n, h1, h2 and shared for every text: set size, two hashes of the set, and how many
+    shingles of the census prefix other rows have too."""
+
+    def deal(batches):
+        seen = common.WordHash()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _MANY):
+                part = batch.slice(at, _MANY)
+                ids, texts = part.column(0), part.column(1)
+                sets = [shingle_set(texts[i].as_py(), seen, width) for i in range(part.num_rows)]
+                h1 = np.array([int(common.mix64(x).sum()) if len(x) else 0 for x in sets], np.uint64)
+                h2 = np.array([int(common.mix64(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()) if len(x) else 0 for x in sets], np.uint64)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                asked = _Asked([x[: census_prefix(len(x))] for x in sets])
+                here = np.bincount(asked.owner[asked.times[asked.back] > 1], minlength=asked.rows)
+                none = ids.is_null().to_numpy(zero_copy_only=False)
+                number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                table = b"".join(x.tobytes() for x in (number, none.astype(np.int64), sizes, h1, h2, here.astype(np.int64)))
+                key = np.uint64(xxhash.xxh64_intdigest(table)).astype(np.int64).item()
+                yield _batch([(-1 - key % fragments, key, table), *asked.messages(key, fragments)])
+
+    def reply(marks: np.ndarray, times: np.ndarray) -> bytes:
+        alone = marks != _MANY
+        return np.bincount(marks[alone], weights=times[alone] > 1).astype("<u4").tobytes()
+
     def total(group: pd.DataFrame) -> pd.DataFrame:
-        table = np.frombuffer(group.loc[group["frag"] < 0, "data"].iloc[0], np.int64).reshape(5, -1)
-        shared, mass = np.zeros(table.shape[1], np.int64), np.zeros(table.shape[1], np.int64)
+        tables = group.loc[group["frag"] < 0, "data"].tolist()  # equal batches of repeated rows share a key
+        number, none, n, h1, h2, shared = np.frombuffer(tables[0], np.int64).reshape(6, -1).copy()
         for data in group.loc[group["frag"] >= 0, "data"]:
-            n = len(data) // 12
-            shared[:n] += np.frombuffer(data, "<u4", n)
-            mass[:n] += np.frombuffer(data, "<u8", n, 4 * n).astype(np.int64)
-        copies = int((group["frag"] < 0).sum())  # equal batches of repeated rows share a key
-        ids = pd.Series(table[0]).astype("Int64").mask(table[1] == 1)
-        out = pd.DataFrame({"doc_id": ids, "n": table[2], "h1": table[3], "h2": table[4], "shared": shared, "mass": mass})
-        return pd.concat([out] * copies, ignore_index=True)
+            shared[: len(data) // 4] += np.frombuffer(data, "<u4")
+        out = pd.DataFrame({"doc_id": pd.Series(number).astype("Int64").mask(none == 1), "n": n, "h1": h1, "h2": h2, "shared": shared})
+        return pd.concat([out] * len(tables), ignore_index=True)
 
-    packed = common.map_arrow(rows, deal, _PACKED)
-    counted = common.map_groups(packed, ["frag"], count, _PACKED)
-    return common.map_groups(counted, ["batch"], total, "doc_id bigint, n bigint, h1 bigint, h2 bigint, shared bigint, mass bigint")
+    answered = _answered(common.map_arrow(rows, deal, _PACKED), reply)
+    return common.map_groups(answered, ["batch"], total, "doc_id bigint, n bigint, h1 bigint, h2 bigint, shared bigint")
 
 
-def shingle_set(text: str | None, seen: common.WordHash, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    return np.unique(common.shingle_hashes(seen.of(common.ascii_lower_words(text)), width))
+def _shared_sets(sets: DataFrame, fragments: int) -> DataFrame:
+    """id, n, shared (the sorted shingles that other sets have too) and central (how common the
+    set's shingles are) for every set (id, tokens)."""
 
+    def parts(batches):
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            at = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            begin = 0
+            while begin < len(ids):
+                stop = min(len(ids), begin + _MANY, max(begin + 1, int(np.searchsorted(at, at[begin] + TOKENS, side="right")) - 1))
+                yield ids[begin:stop], [values[a:b] for a, b in zip(at[begin:stop], at[begin + 1 : stop + 1], strict=True)]
+                begin = stop
 
-def _sets_of_texts(width: int):
-    def sets_of(part) -> list[np.ndarray]:
-        seen = common.WordHash()
-        column = part.column(1)
-        return [shingle_set(column[i].as_py(), seen, width) for i in range(part.num_rows)]
+    def deal(batches):
+        for ids, mine in parts(batches):
+            table = np.array([len(ids)], np.int64).tobytes() + ids.astype(np.int64).tobytes() + np.array([len(x) for x in mine], np.int64).tobytes() + b"".join(x.tobytes() for x in mine)
+            key = np.uint64(xxhash.xxh64_intdigest(table)).astype(np.int64).item()
+            yield _batch([(-1 - key % fragments, key, table), *_Asked(mine).messages(key, fragments)])
 
-    return sets_of
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("frag", kind="stable")
+        table = group["data"].iloc[0]
+        rows = int(np.frombuffer(table, np.int64, 1)[0])
+        ids, sizes = np.frombuffer(table, np.int64, 2 * rows, 8).reshape(2, -1)
+        tokens, ends = np.frombuffer(table, np.uint64, -1, 8 + 16 * rows), np.cumsum(sizes)
+        sets = np.split(tokens, ends[:-1])
+        asked = _Asked(sets)
+        times = np.frombuffer(b"".join(group.loc[group["frag"] >= 0, "data"]), "<u4")[asked.back] + asked.times[asked.back] - 1 - (asked.times[asked.back] > 1)
+        mass = np.bincount(asked.owner, weights=times, minlength=rows)
+        shared = [x[t > 1].view(np.int64) for x, t in zip(sets, np.split(times, ends[:-1]), strict=True)]
+        return pd.DataFrame({"id": ids, "n": sizes, "central": mass / np.maximum(sizes, 1), "shared": shared})
+
+    answered = _answered(common.map_arrow(sets, deal, _PACKED), lambda marks, times: times.astype("<u4").tobytes())
+    return common.map_groups(answered, ["batch"], total, "id bigint, n bigint, central double, shared array<bigint>")
 
 
-def _sets_of_lists(part) -> list[np.ndarray]:
-    column = part.column(1)
-    values, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+def shingle_set(text: str | None, seen: common.WordHash, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(common.shingle_hashes(seen.of(common.ascii_lower_words(text)), width))
 
 
 def _bound(n: Column, m: Column) -> Column:
@@ -178,6 +222,11 @@ def _linked(n: Column, m: Column, both: Column) -> Column:
     return both * (100 + LEAST) >= (n + m) * LEAST
 
 
+def _possible(n: Column, s: Column, m: Column, t: Column) -> Column:
+    """Can sets of n and m link of which s and t shingles are shared with any other set?"""
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * LEAST) & (F.least(s, t) >= _bound(n, m))
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with na, nb and the overlap, counted per fragment and summed."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("segments").alias(f"s{x}"))
@@ -191,9 +240,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every class that links with another one."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fragments = max(16, -(-docs.count() // DOCS_PER_FRAGMENT))
-    census = common.durable(_census(rows, _sets_of_texts(width), census_prefix, fragments), "census")
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * LEAST / 100.0 - 1e-9) / 4))
-    classes = census.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.max(F.col("shared") >= least).alias("passes"))
+    census = common.durable(_census(rows, width, fragments), "census")
+    fewest = F.ceil(F.col("n") * LEAST / 100.0 - 1e-9)
+    passes = F.col("shared") >= F.greatest(F.lit(1), F.floor(fewest / 4))
+    classes = census.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.max(passes).alias("passes"))
     passing = classes.where("passes").select(F.col("id").alias("doc_id"))
     members = census.join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"], "left").select("doc_id", "n", F.col("id").alias("class"))
 
@@ -205,17 +255,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     chosen = rows.join(passing.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = common.durable(common.map_arrow(chosen, full, "id bigint, tokens array<bigint>").dropDuplicates(["id"]), "sets")
-    second = _census(sets, _sets_of_lists, lambda n: n, fragments).where(F.col("shared") * 100 >= F.col("n") * LEAST)
-    second = second.select(F.col("doc_id").alias("id"), "n", (F.col("mass") / F.col("n")).alias("central"))
-    # segment k has the shingles of the k-th part of the global (unsigned) order
-    segment = lambda k: F.filter("tokens", lambda t: F.shiftrightunsigned(t, 61) == k)
-    cut = F.array(*[segment(k) for k in range(SEGMENTS)])
-    sets = common.durable(sets.join(second, "id").select("id", "n", "central", "tokens", cut.alias("segments")), "segments")
-
-    prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * LEAST / 100.0 - 1e-9) + 1).cast("int"))
-    lists = sets.select("id", "n", "central", F.posexplode(prefix).alias("at", "token"))
+    found = _shared_sets(sets, fragments).withColumn("s", F.size("shared"))
+    # segment j has the shingles of the j-th part of the global (unsigned) order
+    segment = lambda j: F.filter("shared", lambda t: F.shiftrightunsigned(t, 61) == j)
+    # shingles of one set only come first in the order, so they fill a part of the prefix
+    prefix = F.slice("shared", 1, (F.col("s") - fewest + 1).cast("int"))
+    sets = found.where(F.col("s") >= fewest).select("id", "n", "s", "central", prefix.alias("prefix"), F.array(*[segment(j) for j in range(SEGMENTS)]).alias("segments"))
+    sets = common.durable(sets, "segments")
+    # places in the order, counted with the shingles that come first
+    lists = sets.select("id", "n", "s", "central", F.posexplode("prefix").alias("at", "token"))
     hubs = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("less"))).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", (-F.col("h.less")).alias("a"))
-    starred = lists.join(hubs, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    hub = sets.select(F.col("id").alias("a"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    starred = lists.join(hubs, "token").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.first("n").alias("n"), F.first("s").alias("s")).join(hub, "a")
+    starred = starred.where(_possible(F.col("n"), F.col("s"), F.col("hn"), F.col("hs"))).select("a", "b")
     compared = common.durable(_overlaps(starred, sets), "compared")
     links = compared.where(_linked(F.col("na"), F.col("nb"), F.col("both"))).select("a", "b")
     labels = components(links, "jaccard")
@@ -226,14 +278,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     sized = placed.join(open_lists, "token").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
     left = common.durable(placed.join(sized, "token"), "open")
-    minor = left.where("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "comp", "hub", "sim")])
+    minor = left.where("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "s", "at", "comp", "hub", "sim")])
     # pairs of two minor ones are met from both sides; keep one
     met = minor.join(left, "token").where("comp <> x_comp and (comp = main or x_id < id)")
     n, m = F.col("x_n"), F.col("n")
-    reach = F.lit(1) + F.least(n - F.col("x_at") - 1, m - F.col("at") - 1)
+    reach = F.least(F.col("x_s") - F.col("x_at"), F.col("s") - F.col("at"))
     apart = (F.col("hub") == F.col("x_hub")) & (F.abs(F.col("sim") - F.col("x_sim")) > 1 - LEAST / 100.0 + 1e-9)
-    to_hub = ((F.col("hub") == F.col("x_id")) | (F.col("x_hub") == F.col("id")))
-    met = met.where((F.least(n, m) * 100 >= F.greatest(n, m) * LEAST) & (reach >= _bound(n, m)) & ~F.coalesce(apart, F.lit(False)) & ~F.coalesce(to_hub, F.lit(False)))
+    known = (F.col("hub") == F.col("x_id")) | (F.col("x_hub") == F.col("id"))
+    met = met.where(_possible(n, F.col("x_s"), m, F.col("s")) & (reach >= _bound(n, m)) & ~F.coalesce(apart, F.lit(False)) & ~F.coalesce(known, F.lit(False)))
     more = common.durable(_overlaps(met.select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct(), sets).where(_linked(F.col("na"), F.col("nb"), F.col("both"))).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), "jaccard")
