@@ -19,7 +19,8 @@ others', then summed:
    common. Overlaps are counted per fragment and summed per pair.
 4. Components of the links found so far are formed. Lists whose classes all lie in one component
    are done: more links there change nothing. In the others every remaining pair across components
-   that can still reach the threshold by length, position and distance to a shared hub is compared.
+   that can still reach the threshold by length, position, bit parities of the sets and distance to a
+   shared hub is compared.
    So no link between components is lost, while a group of n copies costs about n comparisons.
 
 Words are what lies between ASCII white space, A-Z lower-cased. Texts shorter than a shingle are one
@@ -222,9 +223,14 @@ def _linked(n: Column, m: Column, both: Column) -> Column:
     return both * (100 + LEAST) >= (n + m) * LEAST
 
 
-def _possible(n: Column, s: Column, m: Column, t: Column) -> Column:
-    """Can sets of n and m link of which s and t shingles are shared with any other set?"""
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * LEAST) & (F.least(s, t) >= _bound(n, m))
+def _possible(n: Column, s: Column, p: Column, m: Column, t: Column, q: Column) -> Column:
+    """Can sets of n and m link of which s and t shingles are shared with any other set? Each shared
+    shingle flips one bit of the parities p and q, so bits that differ are at most as many as
+    shared shingles that only one of both has."""
+    unlike = F.bit_count(p[0].bitwiseXOR(q[0]))
+    for j in range(1, SEGMENTS):
+        unlike = unlike + F.bit_count(p[j].bitwiseXOR(q[j]))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * LEAST) & (F.least(s, t) >= _bound(n, m)) & (unlike <= s + t - 2 * _bound(n, m))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,13 +267,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # shingles of one set only come first in the order, so they fill a part of the prefix
     prefix = F.slice("shared", 1, (F.col("s") - fewest + 1).cast("int"))
     sets = found.where(F.col("s") >= fewest).select("id", "n", "s", "central", prefix.alias("prefix"), F.array(*[segment(j) for j in range(SEGMENTS)]).alias("segments"))
-    sets = common.durable(sets, "segments")
+    flips = lambda seg: F.aggregate(seg, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    sets = common.durable(sets.withColumn("parity", F.transform("segments", flips)), "segments")
     # places in the order, counted with the shingles that come first
-    lists = sets.select("id", "n", "s", "central", F.posexplode("prefix").alias("at", "token"))
+    lists = sets.select("id", "n", "s", "central", "parity", F.posexplode("prefix").alias("at", "token"))
     hubs = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("less"))).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", (-F.col("h.less")).alias("a"))
-    hub = sets.select(F.col("id").alias("a"), F.col("n").alias("hn"), F.col("s").alias("hs"))
-    starred = lists.join(hubs, "token").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.first("n").alias("n"), F.first("s").alias("s")).join(hub, "a")
-    starred = starred.where(_possible(F.col("n"), F.col("s"), F.col("hn"), F.col("hs"))).select("a", "b")
+    starred = lists.select("token", "id").join(hubs, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     compared = common.durable(_overlaps(starred, sets), "compared")
     links = compared.where(_linked(F.col("na"), F.col("nb"), F.col("both"))).select("a", "b")
     labels = components(links, "jaccard")
@@ -278,14 +283,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     sized = placed.join(open_lists, "token").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
     left = common.durable(placed.join(sized, "token"), "open")
-    minor = left.where("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "s", "at", "comp", "hub", "sim")])
+    minor = left.where("comp <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "s", "at", "parity", "comp", "hub", "sim")])
     # pairs of two minor ones are met from both sides; keep one
     met = minor.join(left, "token").where("comp <> x_comp and (comp = main or x_id < id)")
     n, m = F.col("x_n"), F.col("n")
     reach = F.least(F.col("x_s") - F.col("x_at"), F.col("s") - F.col("at"))
     apart = (F.col("hub") == F.col("x_hub")) & (F.abs(F.col("sim") - F.col("x_sim")) > 1 - LEAST / 100.0 + 1e-9)
     known = (F.col("hub") == F.col("x_id")) | (F.col("x_hub") == F.col("id"))
-    met = met.where(_possible(n, F.col("x_s"), m, F.col("s")) & (reach >= _bound(n, m)) & ~F.coalesce(apart, F.lit(False)) & ~F.coalesce(known, F.lit(False)))
+    met = met.where(_possible(n, F.col("x_s"), F.col("x_parity"), m, F.col("s"), F.col("parity")) & (reach >= _bound(n, m)) & ~F.coalesce(apart, F.lit(False)) & ~F.coalesce(known, F.lit(False)))
     more = common.durable(_overlaps(met.select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct(), sets).where(_linked(F.col("na"), F.col("nb"), F.col("both"))).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), "jaccard")
