@@ -205,10 +205,9 @@ def windowed_bars(df: DataFrame, lookback: int, chunk: int | None = None, keys=K
     size = chunk or max(1, lookback)
     step = lookback + size
     row = F.row_number().over(series(keys)) - 1
-    df = df.withColumn("_i", row)
-    total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    last = F.ceil(total / step).cast("int") - 1
+    df = df.withColumns({"_i": row, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    last = F.ceil(F.col("_n") / step).cast("int") - 1
     own = F.floor(F.col("_i") / step).cast("int")
     # window c is [c * step - lookback, (c + 1) * step), cut at both ends of the series
     upto = F.least(last, F.floor((F.col("_i") + lookback) / step).cast("int"))
-    return df.withColumn("chunk_id", F.explode(F.sequence(own, F.greatest(own, upto)))).drop("_i")
+    return df.withColumn("chunk_id", F.explode(F.sequence(own, F.greatest(own, upto)))).drop("_i", "_n")

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.functions.kernels import KEYS
 from tallyfold.shipping import ship
@@ -18,7 +19,7 @@ METRICS = (
 EXIT_ORDER = ("exit_time", "entry_time")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided(t: pd.Series) -> pd.Series:
     """Two-sided p-value of a normal statistic; there is no built-in error function."""
     return t.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)) if x == x else None)

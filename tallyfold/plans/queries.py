@@ -97,10 +97,10 @@ def stochastic_oscillator(spark, sf_dir):
     return rounded(k.stochastic(with_atr(spark, sf_dir), 14, 3), "stoch_k", "stoch_d")
 
 
-@query(o.query(*o.START, o.VWAP, select="SELECT asset, ts, session_bar, round(vwap, 6) AS vwap, round(vwap_sigma, 4) AS vwap_sigma FROM vw"))
+@query(o.query(*o.START, o.VWAP, select="SELECT asset, ts, session_bar, round(vwap, 4) AS vwap, round(vwap_sigma, 4) AS vwap_sigma FROM vw"))
 def session_vwap(spark, sf_dir):
     df = k.session_vwap(with_atr(spark, sf_dir), 9, 18, "tick_vol")
-    return df.select("asset", "ts", "session_bar", F.round("vwap", 6).alias("vwap"), F.round("vwap_sigma", 4).alias("vwap_sigma"))
+    return df.select("asset", "ts", "session_bar", F.round("vwap", 4).alias("vwap"), F.round("vwap_sigma", 4).alias("vwap_sigma"))
 
 
 @query(o.query(*o.START, o.DUAL_THRUST, select=f"SELECT asset, ts, {o.r6('upper_trigger', 'lower_trigger')} FROM dth"))
@@ -444,10 +444,10 @@ def block_bootstrap(spark, sf_dir):
     return _summary(robustness.block_bootstrap_trades(trades_of(backtest(spark, sf_dir)), None, 50))
 
 
-@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _SHUFFLED, select="SELECT asset, trade_no, round(quantile_cont(equity, 0.05), 4) AS q05, round(quantile_cont(equity, 0.5), 4) AS q50, round(quantile_cont(equity, 0.95), 4) AS q95 FROM runs GROUP BY 1, 2"))
+@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _SHUFFLED, select="SELECT asset, trade_no, round(quantile_cont(equity, 0.05), 2) AS q05, round(quantile_cont(equity, 0.5), 2) AS q50, round(quantile_cont(equity, 0.95), 2) AS q95 FROM runs GROUP BY 1, 2"))
 def equity_cone(spark, sf_dir):
     cone = robustness.quantile_cone(robustness.monte_carlo_trades(trades_of(backtest(spark, sf_dir)), 50))
-    return cone.select("asset", "trade_no", *[F.round(c, 4).alias(c) for c in ("q05", "q50", "q95")])
+    return cone.select("asset", "trade_no", *[F.round(c, 2).alias(c) for c in ("q05", "q50", "q95")])
 
 
 _GRID = {"fast": [5, 10], "slow": [30, 50], "sl_atr_mult": [1.5, 2.5], "tp_atr_mult": [2.0, 4.0]}
