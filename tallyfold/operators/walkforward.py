@@ -59,7 +59,8 @@ def grid_results(bars: DataFrame, strategy_cls, combos: list[dict], keys) -> tup
         runs = spark.createDataFrame([(i, float(c.get("sl_atr_mult", params.sl_atr_mult)), float(c.get("tp_atr_mult", params.tp_atr_mult))) for i, c in members], "combo int, sl_atr_mult double, tp_atr_mult double")
         # the number of combinations is fixed by the grid, not by the data
         parts.append(run(signals.crossJoin(F.broadcast(runs)), Execution.of(params), (*keys, "combo")))
-    result = reduce(DataFrame.unionByName, parts)
+    # trades and equity are both read several times; the pass over the bars is made once
+    result = reduce(DataFrame.unionByName, parts).persist()
     by = (*keys, "combo")
     return trades_of(result, by), equity_of(result, by)
 

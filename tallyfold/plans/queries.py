@@ -199,7 +199,7 @@ def backtest(spark, sf_dir, number: str = "01", slippage: float = 0.0, **changes
     from dataclasses import replace
 
     chosen = strategy(number)
-    return run(chosen.signals(hourly(spark, sf_dir)), replace(Execution.of(chosen.params, slippage), **changes))
+    return run(chosen.signals(hourly(spark, sf_dir)), replace(Execution.of(chosen.params, slippage), **changes)).persist()
 
 
 def _trades(result: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def sided(spark, sf_dir) -> DataFrame:
     bars = hourly(spark, sf_dir)
     rules = Execution(2.0, 3.0)
     parts = [run(strategy(n).signals(bars), rules).withColumn("strategy", F.lit(n)) for n in _SIDE]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).persist()
 
 
 def sided_metrics(spark, sf_dir) -> DataFrame:
@@ -444,10 +444,10 @@ def block_bootstrap(spark, sf_dir):
     return _summary(robustness.block_bootstrap_trades(trades_of(backtest(spark, sf_dir)), None, 50))
 
 
-@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _SHUFFLED, select="SELECT asset, trade_no, round(quantile_cont(equity, 0.05), 2) AS q05, round(quantile_cont(equity, 0.5), 2) AS q50, round(quantile_cont(equity, 0.95), 2) AS q95 FROM runs GROUP BY 1, 2"))
+@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _SHUFFLED, select="SELECT asset, trade_no, round(quantile_cont(equity, 0.05), 7) AS q05, round(quantile_cont(equity, 0.5), 7) AS q50, round(quantile_cont(equity, 0.95), 7) AS q95 FROM runs GROUP BY 1, 2"))
 def equity_cone(spark, sf_dir):
     cone = robustness.quantile_cone(robustness.monte_carlo_trades(trades_of(backtest(spark, sf_dir)), 50))
-    return cone.select("asset", "trade_no", *[F.round(c, 2).alias(c) for c in ("q05", "q50", "q95")])
+    return cone.select("asset", "trade_no", *[F.round(c, 7).alias(c) for c in ("q05", "q50", "q95")])
 
 
 _GRID = {"fast": [5, 10], "slow": [30, 50], "sl_atr_mult": [1.5, 2.5], "tp_atr_mult": [2.0, 4.0]}
