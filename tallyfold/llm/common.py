@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.shipping import ship
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""

@@ -84,7 +84,7 @@ def _values(token: Column, encoding: Column) -> Column:
     def of(name: str) -> Column:
         alphabet = ALPHABETS[name]
         text = F.lower(bare) if name == "hex" else F.translate(bare, "-_", "+/") if name == "base64" else bare
-        return F.transform(F.split(text, "(?!^)"), lambda c: _place(c, alphabet))
+        return F.transform(F.split(text, "(?<=.)(?=.)"), lambda c: _place(c, alphabet))
 
     return F.when(encoding == "hex", of("hex")).when(encoding == "base32", of("base32")).otherwise(of("base64"))
 
