@@ -6,7 +6,6 @@ runs are repeatable and SQL can reproduce them.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -128,7 +127,3 @@ def synthetic_assets(bars: DataFrame, copies: int, n_bars: int, first: int = 5,
     ship(bars.sparkSession)
     head = ", ".join(f"{'`' + c + '`'} string" for c in keys)
     return base.groupBy(*keys, "copy").applyInArrow(make, f"{head}, copy int, ts timestamp_ntz, open double, high double, low double, close double")
-
-
-def default_block(n: int) -> int:
-    return max(1, math.isqrt(n))
