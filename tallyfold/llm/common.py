@@ -31,10 +31,12 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before. The table goes when the application ends."""
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
