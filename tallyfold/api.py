@@ -12,7 +12,8 @@ from tallyfold.operators.backtest import TRADE as Trade
 from tallyfold.operators.backtest import Backtester, BacktestResult
 from tallyfold.operators.compare import (
     STRATEGY_REGISTRY, StrategyRegistration, daily_returns_from_equity, equity_overlay, group_aggregated_metrics, leaderboard, make_params_for_group,
-    metric_distribution, pivot_metric, return_correlation, run_all_strategies, run_backtest_grid, run_backtests_with_params,
+    metric_distribution, optimised_params, pivot_metric, return_correlation, run_all_strategies, run_backtest_grid, run_backtests_with_params,
+    variant_metrics,
 )
 from tallyfold.operators.metrics import compute_metrics, metrics_comparison, metrics_table
 from tallyfold.operators.metrics import subperiods as subperiod_analysis

@@ -181,3 +181,25 @@ def missing_groups(wanted: DataFrame, found: DataFrame, column: str = "group") -
 
 def shared_groups(wanted: DataFrame, found: DataFrame, column: str = "group") -> DataFrame:
     return wanted.select(column).intersect(found.select(column))
+
+
+def variant_metrics(bars: DataFrame, variants: dict[str, object], slippage: float = 0.0, initial_capital: float = 10_000.0) -> DataFrame:
+    """Metrics of the same bars under several strategies (such as with and without a session, or
+    under different sizing), with `variant` and the number of exits at a session's end."""
+    parts = [run(s.signals(bars), Execution.of(s.params, slippage, initial_capital)).withColumn("variant", F.lit(name)) for name, s in variants.items()]
+    result = reduce(DataFrame.unionByName, parts).persist()
+    by = ("variant", *KEYS)
+    trades = trades_of(result, by)
+    ended = trades.groupBy(*by).agg(F.count_if(F.col("reason") == "SESSION_END").alias("session_ends"))
+    return compute_metrics(trades, equity_of(result, by), by, all_keys=result, p_value=False).join(ended, list(by), "left").fillna(0, ["session_ends"])
+
+
+def against_real(real: DataFrame, synthetic: DataFrame, metrics: tuple[str, ...] = ("total_pnl", "win_rate", "profit_factor")) -> DataFrame:
+    """Mean metrics of real and of synthetic series, null values left out."""
+    both = real.select(F.lit("real").alias("kind"), *metrics).unionByName(synthetic.select(F.lit("synthetic").alias("kind"), *metrics))
+    return both.groupBy("kind").agg(*[F.avg(m).alias(m) for m in metrics])
+
+
+def optimised_params(best: DataFrame) -> DataFrame:
+    """The chosen parameters by timeframe and asset."""
+    return best.select("tf", "asset", *[c for c in best.columns if c.startswith("param_")])

@@ -500,6 +500,44 @@ def sensitivity_joint(spark, sf_dir):
     return out.select("param", "value", "num_trades", F.round("total_pnl", 4).alias("total_pnl"))
 
 
+_INSIDE = [*o.START, o.SMA, o.signal_sql("sma_d", o.up("sma_diff"), o.down("sma_diff"), "", session=True)]
+
+
+def _variants() -> str:
+    parts = []
+    for name, ctes, session, sizing in (("base", o.SIGNALS["01"], False, "unit"), ("session", _INSIDE, True, "unit"), ("scaled", o.SIGNALS["01"], False, "vol_scaled")):
+        select = "SELECT asset, num_trades, total_pnl, (SELECT count(*) FROM trades t WHERE t.asset = m.asset AND reason = 'SESSION_END') AS session_ends FROM metrics m"
+        parts.append(f"SELECT '{name}' AS variant, * FROM ({o.query(*ctes, o.stepper(2.0, 3.0, session, sizing), o.metrics('asset'), select=select)})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_variants())
+def session_and_sizing_variants(spark, sf_dir):
+    p = st.SMACrossoverParams
+    chosen = {"base": p(), "session": p(session_start=9, session_end=18), "scaled": p(sizing_mode="vol_scaled")}
+    out = compare.variant_metrics(hourly(spark, sf_dir), {n: st.SMACrossoverStrategy(v) for n, v in chosen.items()})
+    return out.select("variant", "asset", "num_trades", F.round("total_pnl", 4).alias("total_pnl"), "session_ends")
+
+
+@query()
+def registry_run(spark, sf_dir):
+    """Two registered strategies over the hourly and four-hour bars of one group."""
+    bars = hourly(spark, sf_dir)
+    both = bars.unionByName(resample_ohlc(bars, "4h"))
+    chosen = [r for r in compare.STRATEGY_REGISTRY if r.notebook_id in ("07", "12")]
+    return compare.run_all_strategies(lambda group, frames: both.where(F.col("tf").isin(frames)) if group == "forex" else None, chosen)[0]
+
+
+@query()
+def synthetic_against_real(spark, sf_dir):
+    bars, rules = hourly(spark, sf_dir), Execution()
+    made = robustness.synthetic_assets(bars, 2, 300)
+    real = run(st.SMACrossoverStrategy().signals(bars), rules)
+    by = (*k.KEYS, "copy")
+    drawn = run(st.SMACrossoverStrategy(keys=by).signals(made), rules, by)
+    return compare.against_real(compute_metrics(trades_of(real), equity_of(real), p_value=False), compute_metrics(trades_of(drawn, by), equity_of(drawn, by), by, p_value=False))
+
+
 @query()
 def synthetic_series(spark, sf_dir):
     return robustness.synthetic_assets(hourly(spark, sf_dir), 2, 200)
