@@ -76,16 +76,18 @@ def walk_forward(bars: DataFrame, grid: dict[str, list], strategy_cls, n_splits:
     by = (*keys, "fold")
     segments = cut.groupBy(*by, "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     ends = segments.groupBy(*by).agg(*[F.max(F.when(F.col("segment") == s, F.col(c))).alias(f"{s}_{c}") for s in ("is", "oos") for c in ("start", "end")])
-    trades, equity = grid_results(cut.where("segment = 'is'"), strategy_cls, combos, by)
-    scored = compute_metrics(trades, equity, (*by, "combo"), p_value=False).select(*by, "combo", score().alias("is_score")).where("is_score is not null and not isnan(is_score)")
+    # one pass runs every combination over both parts, the class defaults (behind the grid) too: one
+    # plan is cheaper than a second round over the winners, which are only known after the first
+    trades, equity = grid_results(cut, strategy_cls, [*combos, {}], (*by, "segment"))
+    results = compute_metrics(trades, equity, (*by, "segment", "combo"), p_value=False).persist()
+    scored = results.where((F.col("segment") == "is") & (F.col("combo") < len(combos))).select(*by, "combo", score().alias("is_score")).where("is_score is not null and not isnan(is_score)")
     first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("is_score"), "combo"))
     chosen = scored.withColumn("r", first).where("r = 1").drop("r")
     folds = ends.join(chosen, list(by), "left").withColumn("combo", F.coalesce("combo", F.lit(len(combos))))
-    # the class defaults stand behind the grid
-    trades, equity = grid_results(cut.where("segment = 'oos'"), strategy_cls, [*combos, {}], by)
-    pick = folds.select(*by, "combo")
-    trades, equity = trades.join(pick, [*by, "combo"]), equity.join(pick, [*by, "combo"])
-    result = compute_metrics(trades, equity, by, all_keys=folds, p_value=False)
+    pick = folds.select(*by, "combo", F.lit("oos").alias("segment"))
+    at = [*by, "segment", "combo"]
+    trades, equity = (t.join(pick, at).drop("segment") for t in (trades, equity))
+    result = pick.join(results, at, "left").drop("segment", "combo").fillna({"num_trades": 0, "total_pnl": 0.0})
     defaults = strategy_cls.params_class()
     spark = bars.sparkSession
     values = [(i, *[str(c.get(n, getattr(defaults, n))) for n in grid]) for i, c in enumerate([*combos, {}])]
