@@ -7,8 +7,8 @@ hold a given share of the distinct vectors; all entries of those cells are reran
 cosine of the original vectors in double precision.
 
 The codebooks come from at most about SAMPLE vectors (drawn by a hash of the id, a documented
-bound), and so does the share: the smallest on a ladder whose recall on that sample, against brute
-force, is at least AIM. Cells are weighed by distinct vectors, so that many copies of one vector do
+bound), and so does the share: the smallest on a ladder whose recall on that whole sample, against
+brute force and over TRIAL_QUERIES of its distinct vectors drawn at random, is at least AIM. Cells are weighed by distinct vectors, so that many copies of one vector do
 not use up a query's share. Every vector is indexed.
 
 Reranking runs in blocks of at most ENTRIES entries by QUERIES queries. A block holds the entries of
@@ -36,8 +36,8 @@ from tallyfold.llm import common
 
 CENTROIDS = 64
 SAMPLE = 20_000
-#: Sampled vectors on which the share is chosen, and queries among them.
-TRIAL, TRIAL_QUERIES = 8_192, 256
+#: Sampled vectors that are looked up to choose the share.
+TRIAL_QUERIES = 256
 AIM = 0.95
 LADDER = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
 ENTRIES, QUERIES = 4096, 1024
@@ -114,8 +114,8 @@ class MultiIndex:
 
     def share(self, sample: np.ndarray, k: int, aim: float = AIM) -> float:
         """Smallest share on the ladder whose recall on the sample is at least aim."""
-        unit = np.unique(_unit(sample[:TRIAL]), axis=0)
-        chosen = np.linspace(0, len(unit) - 1, min(TRIAL_QUERIES, len(unit))).astype(int)
+        unit = np.unique(_unit(sample), axis=0)
+        chosen = np.random.default_rng(11).permutation(len(unit))[:TRIAL_QUERIES]
         i, j = self.cells(unit)
         weight = np.zeros((len(self.books[0]), len(self.books[1])))
         np.add.at(weight, (i, j), 1)

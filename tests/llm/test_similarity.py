@@ -156,3 +156,21 @@ def test_few_or_no_vectors(spark):
     assert multi_index.neighbours(none, lambda c: c % 50 == 0).collect() == []
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in multi_index.neighbours(two, lambda c: c % 50 == 0).collect()] == [(0, 1)]
+
+
+def test_share_holds_for_ids_that_follow_clusters(spark):
+    rng = np.random.default_rng(1)
+    near = rng.normal(size=(60, 32))[rng.integers(0, 60, 9000)] + 0.1 * rng.normal(size=(9000, 32))
+    x = np.concatenate([near, rng.normal(size=(9000, 32))])
+    assert multi_index.MultiIndex(x).share(x, 5) == multi_index.MultiIndex(x).share(x[rng.permutation(len(x))], 5)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(set)
+    for r in multi_index.neighbours(table, lambda c: c % 90 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, len(x), 90):
+        cos = u @ u[q]
+        cos[q] = -9
+        hits.append(len(got[q] & set(np.argsort(-cos)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.9
