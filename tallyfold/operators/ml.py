@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import kernels as k
@@ -19,6 +22,8 @@ from tallyfold.operators.walkforward import split_folds
 
 FEATURES = ("sma_spread_pct", "atr_pct", "momentum_5", "momentum_20", "rsi", "signal_dir", "hour_sin", "hour_cos")
 LEAST_ROWS, LEAST_TRADES, LEAST_OF_CLASS = 100, 10, 3
+#: Models fitted at a time.
+AT_ONCE = 8
 
 
 def features(signals: DataFrame, rsi_period: int = 14, keys=k.KEYS) -> DataFrame:
@@ -50,35 +55,59 @@ def fit(train: DataFrame, trees: int = 100) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)
 
 
+def verdicts(feats: DataFrame, model: PipelineModel, keys=k.KEYS) -> DataFrame:
+    """keys, ts and the model's prediction for rows of features()."""
+    return model.transform(feats.fillna(0.0, list(FEATURES))).select(*keys, "ts", "prediction")
+
+
+def vetoed(signals: DataFrame, verdict: DataFrame, keys=k.KEYS) -> DataFrame:
+    """signals with 0 where the verdict is a loss."""
+    return signals.join(verdict, [*keys, "ts"], "left").withColumn("signal", F.when(F.col("prediction") == 0.0, 0).otherwise(F.col("signal")).cast("int")).drop("prediction")
+
+
 def filtered(signals: DataFrame, model: PipelineModel, keys=k.KEYS) -> DataFrame:
     """signals with 0 where the model expects a loss."""
-    verdict = model.transform(features(signals, keys=keys).fillna(0.0, list(FEATURES))).select(*keys, "ts", "prediction")
-    return signals.join(verdict, [*keys, "ts"], "left").withColumn("signal", F.when(F.col("prediction") == 0.0, 0).otherwise(F.col("signal")).cast("int")).drop("prediction")
+    return vetoed(signals, verdicts(features(signals, keys=keys), model, keys), keys)
 
 
 def classifier_walk_forward(bars: DataFrame, strategy_cls, params, n_splits: int = 3, oos_ratio: float = 0.25, trees: int = 100, keys=k.KEYS) -> DataFrame:
     """Metrics of base and filtered signals on each fold's second part. The model of a fold is fitted
-    on its first part; folds with too few rows, trades or members of a class are left out."""
+    on its first part; folds with too few rows, trades or members of a class are left out. Signals,
+    trades and features of all folds are made in one pass; AT_ONCE models are fitted at a time."""
     rules, keys = Execution.of(params), tuple(keys)
-    cut = split_folds(bars, n_splits, oos_ratio, keys)
-    out = None
+    by = (*keys, "fold")
     spark = bars.sparkSession
+    cut = split_folds(bars, n_splits, oos_ratio, keys)
+    cut = cut.join(cut.groupBy(*by).count().where(F.col("count") >= LEAST_ROWS).drop("count"), list(by), "left_semi").persist()
+    strategy = strategy_cls(params, by)
+    signals = strategy.signals(cut.where("segment = 'is'"))
+    train = labelled(trades_of(run(signals, rules, by), by), features(signals, keys=by), by).select(*by, *FEATURES, "label").persist()
+    sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("won"))
     # a fold of a series is one model; both are few
-    for row in cut.groupBy(*keys, "fold").count().where(F.col("count") >= LEAST_ROWS).orderBy(*keys, "fold").collect():
-        mine = cut.where(" and ".join([f"`{c}` = '{row[c]}'" for c in keys])).where(F.col("fold") == row["fold"])
-        signals = strategy_cls(params, keys).signals(mine.where("segment = 'is'"))
-        train = labelled(trades_of(run(signals, rules, keys), keys), features(signals, keys=keys), keys).select(*FEATURES, "label").persist()
-        sizes = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("won")).first()
-        if sizes["n"] >= LEAST_TRADES and min(sizes["won"], sizes["n"] - sizes["won"]) >= LEAST_OF_CLASS:
-            model = fit(train, trees)
-            accuracy = model.transform(train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            later = strategy_cls(params, keys).signals(mine.where("segment = 'oos'"))
-            for variant, table in (("base", later), ("filtered", filtered(later, model, keys))):
-                result = run(table, rules, keys)
-                part = compute_metrics(trades_of(result, keys), equity_of(result, keys), keys, all_keys=result, p_value=False)
-                part = part.withColumns({"fold": F.lit(row["fold"]), "variant": F.lit(variant), "is_accuracy": F.lit(accuracy)})
-                out = part if out is None else out.unionByName(part)
-        train.unpersist()
-    if out is None:
+    rows = sizes.where((F.col("n") >= LEAST_TRADES) & (F.least("won", F.col("n") - F.col("won")) >= LEAST_OF_CLASS)).orderBy(*by).collect()
+    if not rows:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in keys) + ", fold int, variant string, is_accuracy double, num_trades long, total_pnl double")
-    return out
+
+    def of(table: DataFrame, row) -> DataFrame:
+        return table.where(reduce(Column.__and__, [F.col(c) == F.lit(row[c]) for c in by]))
+
+    def fitted(row) -> tuple[PipelineModel, float]:
+        mine = of(train, row).repartition(1).persist()  # the trades of one series, which one task has made
+        model = fit(mine, trees)
+        accuracy = model.transform(mine).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        mine.unpersist()
+        return model, accuracy
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        models = list(pool.map(inheritable_thread_target(spark)(fitted), rows))
+    train.unpersist()
+    chosen = spark.createDataFrame([(*[r[c] for c in by], a) for r, (_, a) in zip(rows, models, strict=True)], ", ".join(f"`{c}` string" for c in keys) + ", fold int, is_accuracy double")
+    later = strategy.signals(cut.where("segment = 'oos'").join(F.broadcast(chosen.select(*by)), list(by), "left_semi"))
+    feats = features(later, keys=by).persist()
+    verdict = reduce(DataFrame.unionByName, [verdicts(of(feats, r), m, by) for r, (m, _) in zip(rows, models, strict=True)])
+    both = later.withColumn("variant", F.lit("base")).unionByName(vetoed(later, verdict, by).withColumn("variant", F.lit("filtered")))
+    by = (*by, "variant")
+    result = run(both, rules, by)
+    out = compute_metrics(trades_of(result, by), equity_of(result, by), by, all_keys=result, p_value=False).join(F.broadcast(chosen), [*keys, "fold"])
+    last = ("fold", "variant", "is_accuracy")
+    return out.select(*keys, *[c for c in out.columns if c not in (*keys, *last)], *last)

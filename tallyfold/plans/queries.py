@@ -545,5 +545,5 @@ def synthetic_series(spark, sf_dir):
 
 @query()
 def classifier_overlay(spark, sf_dir):
-    bars = hourly(spark, sf_dir).where("asset = 'view'")
-    return ml.classifier_walk_forward(bars, st.SMACrossoverStrategy, st.SMACrossoverParams(fast=3, slow=8), 1, 0.25, trees=5)
+    bars = hourly(spark, sf_dir)
+    return ml.classifier_walk_forward(bars, st.SMACrossoverStrategy, st.SMACrossoverParams(fast=3, slow=8))
