@@ -407,6 +407,23 @@ def group_sets(spark, sf_dir):
     return left.unionByName(compare.shared_groups(region, found, "r_name").select(F.lit("shared").alias("kind"), F.col("r_name").alias("name")))
 
 
+_REACHED = "region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey"
+_LEVELS = (("region", "r_name"), ("nation", "n_name"))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS level, 'missing' AS kind, {c} AS name FROM {t} WHERE {c} NOT IN (SELECT {c} FROM {_REACHED})
+    UNION ALL SELECT DISTINCT '{t}', 'shared', {c} FROM {_REACHED}""" for t, c in _LEVELS))
+def group_sets_whole(spark, sf_dir):
+    """group_sets over whole tables: regions and nations against those that suppliers reach."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    found = region.join(nation, F.col("r_regionkey") == F.col("n_regionkey")).join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    parts = []
+    for (level, column), wanted in zip(_LEVELS, (region, nation), strict=True):
+        for kind, sets in (("missing", compare.missing_groups), ("shared", compare.shared_groups)):
+            parts.append(sets(wanted, found, column).select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.col(column).alias("name")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def metrics_by_timeframe(spark, sf_dir):
     bars = hourly(spark, sf_dir)

@@ -19,3 +19,15 @@ def test_classifier_overlay_takes_all_series_with_the_operators_own_folds_and_tr
     QUERIES["classifier_overlay"](spark, SMALLEST)
     assert {r[0] for r in seen["bars"].select("asset").distinct().collect()} == assets
     assert not seen["rest"] and not seen["named"]
+
+
+def test_group_sets_whole_takes_every_nation(spark):
+    def rows(name):
+        return plans.table(spark, SMALLEST, name).collect()
+
+    reached = {r["s_nationkey"] for r in rows("supplier")}
+    nations = {r["n_nationkey"]: r for r in rows("nation")}
+    shared = {("nation", nations[n]["n_name"]) for n in reached} | {("region", r["r_name"]) for r in rows("region") if r["r_regionkey"] in {nations[n]["n_regionkey"] for n in reached}}
+    every = {("nation", n["n_name"]) for n in nations.values()} | {("region", r["r_name"]) for r in rows("region")}
+    got = [tuple(r) for r in QUERIES["group_sets_whole"](spark, SMALLEST).collect()]
+    assert sorted(got) == sorted([(t, "shared", n) for t, n in shared] + [(t, "missing", n) for t, n in every - shared])
