@@ -429,7 +429,7 @@ def metrics_by_timeframe(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     both = bars.unionByName(resample_ohlc(bars, "4h"))
     result = run(st.SMACrossoverStrategy().signals(both), Execution(2.0, 3.0))
-    return metrics_comparison(compute_metrics(trades_of(result), equity_of(result), p_value=False).where("asset = 'view'"), "tf")
+    return metrics_comparison(compute_metrics(trades_of(result), equity_of(result), p_value=False), "tf", keys=("asset",))
 
 
 _NUMBERED = """num AS (SELECT asset, pnl_points, row_number() OVER (PARTITION BY asset ORDER BY exit_time, entry_time) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM trades)"""

@@ -31,3 +31,9 @@ def test_group_sets_whole_takes_every_nation(spark):
     every = {("nation", n["n_name"]) for n in nations.values()} | {("region", r["r_name"]) for r in rows("region")}
     got = [tuple(r) for r in QUERIES["group_sets_whole"](spark, SMALLEST).collect()]
     assert sorted(got) == sorted([(t, "shared", n) for t, n in shared] + [(t, "missing", n) for t, n in every - shared])
+
+
+def test_metrics_by_timeframe_gives_every_series(spark, assets):
+    rows = QUERIES["metrics_by_timeframe"](spark, SMALLEST).collect()
+    assert {r["asset"] for r in rows} == assets
+    assert len({(r["asset"], r["metric"]) for r in rows}) == len(rows) == len(assets) * len({r["metric"] for r in rows})
