@@ -3,9 +3,9 @@
 List rows (host, listed_at, active) say that from listed_at on a host and everything below it is
 blocked (active) or free again. Per host they become half-open validity intervals, which do not
 overlap: of rows with equal host and time the active one counts, and a row ends when the next one
-starts. Every capture is looked up under its host and each parent domain (at most MAX_LABELS
-labels, which covers every legal host name), as of its fetch time; the longest listed name decides,
-so a freed subdomain of a blocked domain is free.
+starts. Every capture is looked up under its host and each parent domain, as of its fetch time,
+except under names of more labels than any name of the list, which cannot be listed; the longest
+listed name decides, so a freed subdomain of a blocked domain is free.
 
 The join is an equi-join on the name with the interval as a second condition, on the list's side
 one row per entry. A list below BROADCAST_ROWS rows (it is counted) is broadcast; a longer one is
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-MAX_LABELS = 127
 
 
 def host_of(url: Column) -> Column:
@@ -31,11 +30,11 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def names_of(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
+def names_of(host: Column, longest: int) -> Column:
+    """The host and its parent domains of at most `longest` labels, longest first."""
     labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(MAX_LABELS))
-    return F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - longest + 1)
+    return F.transform(F.sequence(first, F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,9 +48,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     """id, host, matched (the deciding name or null), listed_since and blocked for every capture."""
     listed = intervals(entries)
     small = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    longest = entries.agg(F.max(F.when(F.col("host").isNotNull(), F.size(F.split("host", r"\."))))).first()[0] or 1
     rows = captures.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), F.col(time_col).alias("at"))
     looked = rows.where("host is not null and at is not null").select("host", "at").distinct()
-    names = looked.select("host", "at", F.posexplode(names_of(F.col("host"))).alias("depth", "name"))
+    names = looked.select("host", "at", F.posexplode(names_of(F.col("host"), longest)).alias("depth", "name"))
     if small:
         listed = F.broadcast(listed)
     hits = names.join(listed, (names["name"] == listed["name"]) & (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))).select("host", "at", "depth", names["name"], "valid_from", "active")

@@ -115,6 +115,14 @@ def test_urls_are_judged_as_of_their_fetch(spark, monkeypatch):
                 assert not r.blocked
 
 
+def test_hosts_of_very_many_labels_are_looked_up(spark):
+    host = "x." * 200 + "example.com"
+    captures = spark.createDataFrame([(1, f"https://{host}/a", 5)], "page_id long, url string, fetched_at long")
+    for name in ("example.com", "x.example.com", host):
+        listed = spark.createDataFrame([(name, 1, True), ("other.org", 1, True)], "host string, listed_at long, active boolean")
+        assert [(r.matched, r.blocked) for r in url_filter.filter_urls(captures, listed).collect()] == [(name, True)]
+
+
 def test_pipeline_stages_follow_each_other(spark, tmp_path):
     texts, labels = labelled(spark)
     good = [t for i, t in texts.items() if i % 5]
