@@ -6,20 +6,30 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfold.shipping import ship
 
+#: At most so many keys are broadcast by join_groups.
+HOT_KEYS = 4096
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint
+    folder. Without either, a local session (whose executor is the driver) gets one of its own and
+    any other one is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
     root = context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -54,6 +64,53 @@ def map_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def map_tables(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(table) -> table for the Arrow table of each group."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int, rows: int):
+    """The batch in runs of at most `rows` rows and (unless one row is longer) `size` bytes of a column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        stop = min(max(stop, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Lists of the given sizes, laid end to end in values."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+
+
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in the first column of gone; a null id is in none."""
+    name = fresh("gone", docs)
+    return docs.join(gone.toDF(name), docs[id_col] == F.col(name), "left_anti")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has one row per key and the number of rows of that key in
+    `size`; total is their sum. Keys that more than one in HOT_KEYS rows has are broadcast (there
+    are fewer than HOT_KEYS), so a task of the exchange gets at most that many rows of one key."""
+    least = F.lit(total / HOT_KEYS)
+    hot, others = groups.where(F.col(size) > least), groups.where(F.col(size) <= least)
+    often = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(others, keys, how)
+    return often.unionByName(rest)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift-multiply)."""
     x = x ^ (x >> np.uint64(30))
@@ -66,7 +123,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hash of each distinct word, remembered up to `room` words."""
 
-    def __init__(self, room: int = 400_000):
+    def __init__(self, room: int = 150_000):
         super().__init__()
         self.room = room
 

@@ -8,8 +8,8 @@ neither read nor returned.
 
 The plan has one shuffle that moves texts. Spark's own partial aggregation collapses the copies
 in each input split first, so a group that holds a third of all rows costs one row per split.
-The way back to the rows is an inner join on the hash, which adaptive execution splits when a
-key is hot. Native: DataFrame functions only.
+The way back to the rows is a join of their digests with the groups; the few groups that hold
+more than one row in common.HOT_KEYS are broadcast there. Native: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import common
+
 #: The characters that comparison ignores.
 SPACES = " \t\n\x0b\x0c\r"
 _WIDE = "decimal(38,0)"
@@ -64,13 +66,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(back > 0, F.lit(_TOP).cast(_WIDE) - back).cast("long").alias("keep_id"),
         F.floor(F.col("best") / F.lit(_STEP).cast("decimal(21,0)")).cast("long").alias("keep_chars"),
     )
-    members = rows.select("doc_id", "chars", "h", "text_sha256")
-    joined = members.join(groups, ["h", "text_sha256"])
+    members = common.durable(rows.select("doc_id", "chars", "h", "text_sha256"), "digests")
+    joined = common.join_groups(members, common.durable(groups, "copies"), ["h", "text_sha256"], "group_size", members.count())
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. Ids must be unique."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return common.without(docs, exact_dedup(docs, id_col, text_col).where("not kept").select("doc_id"), id_col)

@@ -32,7 +32,6 @@ smallest id of its class's component, or null. An empty table gives an empty res
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,12 +43,12 @@ from tallyfold.llm.components import components
 WIDTH = 5
 #: The least similarity, as a share of 100.
 LEAST = 75
-#: Documents per fragment of the census.
-DOCS_PER_FRAGMENT = 4000
-#: Fragments in which a pair's overlap is counted.
+#: Bytes of text per fragment of the census.
+FRAGMENT_BYTES = 12 << 20
+#: Fragments in which a pair's overlap is counted: the top three bits of a shingle.
 SEGMENTS = 8
-#: Shingles of a batch in the second census.
-TOKENS = 1_000_000
+#: Bytes of text of a batch in the first census, shingles of one in the second.
+BYTES, TOKENS = 6 << 20, 500_000
 _PACKED = "frag int, batch bigint, data binary"
 
 
@@ -79,7 +78,7 @@ def _pack(tokens: np.ndarray, marks: np.ndarray) -> bytes:
     return planes + marks.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(data) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 7
     planes = np.frombuffer(data, np.uint8).reshape(7, n)
     steps = np.zeros((n, 8), np.uint8)
@@ -118,19 +117,22 @@ def _answered(packed: DataFrame, reply) -> DataFrame:
     """Every message of a fragment answered by reply(marks, times), times being the number of
     rows or batches that have each of its values (2 for any value that one batch has twice)."""
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        if group["frag"].iloc[0] < 0:
+    def count(group: pa.Table) -> pa.Table:
+        if group.column("frag")[0].as_py() < 0:
             return group
-        parts = [_unpack(d) for d in group["data"]]
+        parts = [_unpack(x.as_buffer()) for x in group.column("data")]
         _, back = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
         marks = np.concatenate([m for _, m in parts])
-        times, at, out = np.bincount(back, weights=1 + (marks == _MANY)).astype(np.int64)[back], 0, []
-        for _, mine in parts:
-            out.append(reply(mine, times[at : at + len(mine)]))
-            at += len(mine)
-        return group.assign(data=out)
+        sizes = [len(m) for _, m in parts]
+        del parts
+        times = np.bincount(back, weights=1 + (marks == _MANY)).astype(np.uint32)[back]
+        at, out = 0, []
+        for n in sizes:
+            out.append(reply(marks[at : at + n], times[at : at + n]))
+            at += n
+        return group.set_column(2, "data", pa.array(out, pa.binary()))
 
-    return common.map_groups(packed, ["frag"], count, _PACKED)
+    return common.map_tables(packed, ["frag"], count, _PACKED)
 
 
 def _census(rows: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -140,8 +142,7 @@ def _census(rows: DataFrame, width: int, fragments: int) -> DataFrame:
     def deal(batches):
         seen = common.WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, _MANY):
-                part = batch.slice(at, _MANY)
+            for part in common.slices(batch, 1, BYTES, _MANY):
                 ids, texts = part.column(0), part.column(1)
                 sets = [shingle_set(texts[i].as_py(), seen, width) for i in range(part.num_rows)]
                 h1 = np.array([int(common.mix64(x).sum()) if len(x) else 0 for x in sets], np.uint64)
@@ -159,21 +160,24 @@ def _census(rows: DataFrame, width: int, fragments: int) -> DataFrame:
         alone = marks != _MANY
         return np.bincount(marks[alone], weights=times[alone] > 1).astype("<u4").tobytes()
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        tables = group.loc[group["frag"] < 0, "data"].tolist()  # equal batches of repeated rows share a key
+    def total(group: pa.Table) -> pa.Table:
+        frag, data = group.column("frag").to_pylist(), [x.as_buffer() for x in group.column("data")]
+        tables = [d for f, d in zip(frag, data, strict=True) if f < 0]  # equal batches of repeated rows share a key
         number, none, n, h1, h2, shared = np.frombuffer(tables[0], np.int64).reshape(6, -1).copy()
-        for data in group.loc[group["frag"] >= 0, "data"]:
-            shared[: len(data) // 4] += np.frombuffer(data, "<u4")
-        out = pd.DataFrame({"doc_id": pd.Series(number).astype("Int64").mask(none == 1), "n": n, "h1": h1, "h2": h2, "shared": shared})
-        return pd.concat([out] * len(tables), ignore_index=True)
+        for f, d in zip(frag, data, strict=True):
+            if f >= 0:
+                shared[: len(d) // 4] += np.frombuffer(d, "<u4")
+        out = pa.table({"doc_id": pa.array(number, pa.int64(), mask=none == 1), "n": n, "h1": h1, "h2": h2, "shared": shared})
+        return pa.concat_tables([out] * len(tables))
 
     answered = _answered(common.map_arrow(rows, deal, _PACKED), reply)
-    return common.map_groups(answered, ["batch"], total, "doc_id bigint, n bigint, h1 bigint, h2 bigint, shared bigint")
+    return common.map_tables(answered, ["batch"], total, "doc_id bigint, n bigint, h1 bigint, h2 bigint, shared bigint")
 
 
 def _shared_sets(sets: DataFrame, fragments: int) -> DataFrame:
-    """id, n, shared (the sorted shingles that other sets have too) and central (how common the
-    set's shingles are) for every set (id, tokens)."""
+    """For every set (id, tokens) that shares least_overlap(n) or more of its n shingles with other
+    sets: id, n, s (how many it shares), central (how common its shingles are) and, of the shared
+    shingles, the prefix, the segments of the global order and the segments' bit parities."""
 
     def parts(batches):
         for batch in batches:
@@ -192,21 +196,46 @@ def _shared_sets(sets: DataFrame, fragments: int) -> DataFrame:
             key = np.uint64(xxhash.xxh64_intdigest(table)).astype(np.int64).item()
             yield _batch([(-1 - key % fragments, key, table), *_Asked(mine).messages(key, fragments)])
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frag", kind="stable")
-        table = group["data"].iloc[0]
-        rows = int(np.frombuffer(table, np.int64, 1)[0])
-        ids, sizes = np.frombuffer(table, np.int64, 2 * rows, 8).reshape(2, -1)
-        tokens, ends = np.frombuffer(table, np.uint64, -1, 8 + 16 * rows), np.cumsum(sizes)
-        sets = np.split(tokens, ends[:-1])
-        asked = _Asked(sets)
-        times = np.frombuffer(b"".join(group.loc[group["frag"] >= 0, "data"]), "<u4")[asked.back] + asked.times[asked.back] - 1 - (asked.times[asked.back] > 1)
-        mass = np.bincount(asked.owner, weights=times, minlength=rows)
-        shared = [x[t > 1].view(np.int64) for x, t in zip(sets, np.split(times, ends[:-1]), strict=True)]
-        return pd.DataFrame({"id": ids, "n": sizes, "central": mass / np.maximum(sizes, 1), "shared": shared})
+    def total(group: pa.Table) -> pa.Table:
+        group = group.sort_by("frag")
+        data = [x.as_buffer() for x in group.column("data")]
+        rows = int(np.frombuffer(data[0], np.int64, 1)[0])
+        ids, sizes = np.frombuffer(data[0], np.int64, 2 * rows, 8).reshape(2, -1)
+        tokens, ends = np.frombuffer(data[0], np.uint64, -1, 8 + 16 * rows), np.cumsum(sizes)
+        asked = _Asked(np.split(tokens, ends[:-1]))
+        told = np.concatenate([np.frombuffer(d, "<u4") for d in data[1:]]) if len(data) > 1 else np.empty(0, np.uint32)
+        times = told[asked.back] + asked.times[asked.back] - 1 - (asked.times[asked.back] > 1)
+        mass, owner = np.bincount(asked.owner, weights=times, minlength=rows), asked.owner
+        del asked, told
+        keep = times > 1
+        shared = np.bincount(owner[keep], minlength=rows)
+        least = -(-LEAST * sizes // 100)
+        enough = shared >= least
+        keep &= enough[owner]
+        return _segmented(ids[enough], sizes[enough], mass[enough] / np.maximum(sizes[enough], 1), shared[enough], least[enough], tokens[keep])
 
     answered = _answered(common.map_arrow(sets, deal, _PACKED), lambda marks, times: times.astype("<u4").tobytes())
-    return common.map_groups(answered, ["batch"], total, "id bigint, n bigint, central double, shared array<bigint>")
+    return common.map_tables(answered, ["batch"], total, "id bigint, n bigint, s bigint, central double, prefix array<bigint>, segments array<array<bigint>>, parity array<bigint>")
+
+
+def _segmented(ids: np.ndarray, sizes: np.ndarray, central: np.ndarray, shared: np.ndarray, least: np.ndarray, tokens: np.ndarray) -> pa.Table:
+    """The output rows of sets whose shared shingles, in order, lie end to end in tokens. Shingles of
+    one set only come first in the global order, so they fill a part of the prefix."""
+    owner, first = np.repeat(np.arange(len(ids)), shared), np.repeat(np.cumsum(shared) - shared, shared)
+    prefix = tokens[np.arange(len(tokens)) - first < np.repeat(shared - least + 1, shared)]
+    slot = owner * SEGMENTS + (tokens >> np.uint64(61)).astype(np.int64)
+    held = np.bincount(slot, minlength=len(ids) * SEGMENTS)
+    parity = np.zeros(len(held), np.uint64)
+    if len(tokens):
+        at = (np.cumsum(held) - held)[held > 0]
+        parity[held > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), at)
+    each, long = np.full(len(ids), SEGMENTS), pa.int64()
+    inner = common.lists(tokens.view(np.int64), held, long)
+    segments = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * SEGMENTS, pa.int32()), inner)
+    return pa.table({
+        "id": ids, "n": sizes, "s": shared, "central": central, "prefix": common.lists(prefix.view(np.int64), np.minimum(shared, shared - least + 1), long),
+        "segments": segments, "parity": common.lists(parity.view(np.int64), each, long),
+    })
 
 
 def shingle_set(text: str | None, seen: common.WordHash, width: int = WIDTH) -> np.ndarray:
@@ -241,34 +270,30 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda t, x: t + x).cast("long").alias("both"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(members, labels): members has doc_id, n and the class of every row; labels the component of
-    every class that links with another one."""
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(census, classes, labels): census has doc_id, n, h1 and h2 of every row; classes the smallest
+    id of the rows of each h1, h2 and n; labels the component of every class that links with another one."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fragments = max(16, -(-docs.count() // DOCS_PER_FRAGMENT))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(16, -(-size // FRAGMENT_BYTES))
     census = common.durable(_census(rows, width, fragments), "census")
     fewest = F.ceil(F.col("n") * LEAST / 100.0 - 1e-9)
     passes = F.col("shared") >= F.greatest(F.lit(1), F.floor(fewest / 4))
-    classes = census.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.max(passes).alias("passes"))
+    classes = census.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.max(passes).alias("passes"), F.count(F.lit(1)).alias("copies"))
+    classes = common.durable(classes, "classes")
     passing = classes.where("passes").select(F.col("id").alias("doc_id"))
-    members = census.join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"], "left").select("doc_id", "n", F.col("id").alias("class"))
 
     def full(batches):
         seen = common.WordHash()
         for batch in batches:
-            sets = [shingle_set(batch.column(1)[i].as_py(), seen, width).view(np.int64) for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+            for part in common.slices(batch, 1, BYTES, _MANY):
+                sets = [shingle_set(part.column(1)[i].as_py(), seen, width) for i in range(part.num_rows)]
+                tokens = np.concatenate(sets).view(np.int64)
+                yield pa.record_batch([part.column(0), common.lists(tokens, np.array([len(x) for x in sets]), pa.int64())], names=["id", "tokens"])
 
     chosen = rows.join(passing.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = common.durable(common.map_arrow(chosen, full, "id bigint, tokens array<bigint>").dropDuplicates(["id"]), "sets")
-    found = _shared_sets(sets, fragments).withColumn("s", F.size("shared"))
-    # segment j has the shingles of the j-th part of the global (unsigned) order
-    segment = lambda j: F.filter("shared", lambda t: F.shiftrightunsigned(t, 61) == j)
-    # shingles of one set only come first in the order, so they fill a part of the prefix
-    prefix = F.slice("shared", 1, (F.col("s") - fewest + 1).cast("int"))
-    sets = found.where(F.col("s") >= fewest).select("id", "n", "s", "central", prefix.alias("prefix"), F.array(*[segment(j) for j in range(SEGMENTS)]).alias("segments"))
-    flips = lambda seg: F.aggregate(seg, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    sets = common.durable(sets.withColumn("parity", F.transform("segments", flips)), "segments")
+    sets = common.durable(_shared_sets(sets, fragments), "segments")
     # places in the order, counted with the shingles that come first
     lists = sets.select("id", "n", "s", "central", "parity", F.posexplode("prefix").alias("at", "token"))
     hubs = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("less"))).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", (-F.col("h.less")).alias("a"))
@@ -294,17 +319,18 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = common.durable(_overlaps(met.select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct(), sets).where(_linked(F.col("na"), F.col("nb"), F.col("both"))).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), "jaccard")
-    return members, labels
+    return census, classes, labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
-    members, labels = jaccard_links(docs, id_col, text_col, width)
-    found = members.join(labels.withColumnRenamed("id", "class"), "class", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class", "doc_id").alias("component_id"))
+    census, classes, labels = jaccard_links(docs, id_col, text_col, width)
+    groups = classes.join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("component_id"), "copies")
+    found = common.join_groups(census.select("doc_id", "h1", "h2", "n"), common.durable(groups, "groups"), ["h1", "h2", "n"], "copies", census.count(), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's: one document of each group."""
-    gone = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id")
+    return common.without(docs, gone, id_col)

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import common
+
 # Fixed values of the base patterns: kind, pattern, pattern of group 2 or None, least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -220,7 +222,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with every found span replaced by MARK (overlapping spans by one mark); texts without
     spans, null ones included, stay as they are. n_chars, if there, follows the text."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    safe = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__raw"), F.struct(*[F.col(c) for c in others], F.lit(1).alias("__pad")).alias("__rest"))
+    rest = F.struct(*[docs[c] for c in others], F.lit(1).alias(common.fresh("pad", docs)))
+    safe = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__raw"), rest.alias("__rest"))
     rows = secret_spans(safe, "__id", "__raw", "__raw", "__rest")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -4,12 +4,14 @@ import random
 import re
 
 WORDS = [f"w{i}" for i in range(300)]
-DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, grp string, batch string"
+#: Names that the operators use inside.
+CLASHING = ("h", "grp", "batch", "id", "class", "gone", "__gone", "pad", "__pad", "__text", "__raw", "__rest", "__id", "spans", "base", "n", "s", "copies", "key", "data", "content", "chars", "tokens", "candidates", "r", "kept", "part", "component_id")
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def documents(spark, texts, parts=3):
     """A table of documents with extra columns whose names the operators also use inside."""
-    rows = [(i, t, "en", "src0", len(t or ""), "x", "y", "z") for i, t in (texts.items() if isinstance(texts, dict) else texts)]
+    rows = [(i, t, "en", "src0", len(t or ""), *CLASHING) for i, t in (texts.items() if isinstance(texts, dict) else texts)]
     return spark.createDataFrame(rows, DOC_SCHEMA).repartition(parts)
 
 

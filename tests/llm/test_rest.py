@@ -2,7 +2,7 @@ import datetime
 import random
 
 import corpus_pipeline
-from helpers import documents, empty, text
+from helpers import CLASHING, documents, empty, text
 
 from tallyfold.llm import chat_format, importance, url_filter
 from tallyfold.llm.jaccard_join import jaccard_components
@@ -127,7 +127,7 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     texts, labels = labelled(spark)
     good = [t for i, t in texts.items() if i % 5]
     texts |= {300: good[0], 301: good[1] + " w1", 302: good[2] + " password: hunter2222"}
-    documents(spark, texts).drop("h", "grp", "batch").write.parquet(str(tmp_path / "documents.parquet"))
+    documents(spark, texts).drop(*CLASHING).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "jaccard_join", "secret_scan", "best_fit_packing"]
