@@ -1,11 +1,11 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified by whether they are smaller or larger than their right neighbour; the
-leftmost-smaller substrings are sorted by inducing, named, and (if names repeat) sorted by
-recursion; the whole array is then induced from them in linear time. Over a byte alphabet whole
-buckets are induced at once with NumPy: of a bucket only what stays in the same bucket needs
-another round, everything else is scattered together. The recursion, with its wide alphabets, runs
-over plain lists.
+leftmost-smaller substrings are ranked by their packed symbols, and (if ranks repeat) the text of
+ranks is sorted by recursion; the whole array is then induced from them in linear time. Over a byte
+alphabet whole buckets are induced at once with NumPy: of a bucket only what stays in the same
+bucket needs another round, everything else is scattered together. The recursion, with its wide
+alphabets, runs over plain lists.
 """
 
 from __future__ import annotations
@@ -94,44 +94,69 @@ def _induce_lists(text: np.ndarray, smaller: np.ndarray, size: int, seeds: np.nd
     n = len(text)
     count = np.bincount(text, minlength=size)
     end = np.cumsum(count).tolist()
-    t, s, array = text.tolist(), smaller.tolist(), [-1] * n
+    # of position q: the bucket of q - 1 if that is of the wanted kind; index -1 stands for "nothing here"
+    larger = np.full(n + 1, -1)
+    larger[1:n] = np.where(smaller[:-1], -1, text[:-1])
+    less = np.full(n + 1, -1)
+    less[1:n] = np.where(smaller[:-1], text[:-1], -1)
+    larger, less, array = larger.tolist(), less.tolist(), [-1] * n
     fill = end.copy()
-    for p in seeds[::-1].tolist():
-        fill[t[p]] -= 1
-        array[fill[t[p]]] = p
+    for p, c in zip(seeds[::-1].tolist(), text[seeds[::-1]].tolist(), strict=True):
+        fill[c] -= 1
+        array[fill[c]] = p
     fill = (np.cumsum(count) - count).tolist()
-    for i in range(n):
-        p = array[i] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            array[fill[c]] = p
-            fill[c] += 1
-    fill = end.copy()
-    for i in range(n - 1, -1, -1):
-        p = array[i] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
-            fill[c] -= 1
-            array[fill[c]] = p
+    for q in array:
+        c = larger[q]
+        if c >= 0:
+            at = fill[c]
+            array[at] = q - 1
+            fill[c] = at + 1
+    fill = end
+    for q in reversed(array):
+        c = less[q]
+        if c >= 0:
+            at = fill[c] = fill[c] - 1
+            array[at] = q - 1
     array[0] = n - 1
     return np.array(array, np.int64)
 
 
-def _names(text: np.ndarray, places: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """Ranks (equal for equal substrings) of sorted leftmost-smaller substrings, each from its
-    place to the next one inclusive."""
+def _ranks(text: np.ndarray, places: np.ndarray, following: np.ndarray, size: int) -> np.ndarray:
+    """Dense ranks of the leftmost-smaller substrings, each from its place to the next one inclusive.
+    Of two of which one begins the other the longer is smaller: the shorter ends in a symbol that is
+    smaller than its right neighbour, where the longer one's equal symbol is larger."""
+    bits = (size + 1).bit_length()
+    per = 62 // bits
     length = following - places
-    differ = np.empty(len(places), bool)
-    differ[0] = True
-    differ[1:] = length[1:] != length[:-1]
-    open_, k = np.flatnonzero(~differ), 0
+
+    def packed(which: np.ndarray, at: int) -> np.ndarray:
+        key = np.zeros(len(which), np.int64)
+        for k in range(at, at + per):
+            inside = k <= length[which]
+            key = (key << bits) | np.where(inside, text[np.minimum(places[which] + k, len(text) - 1)], size)
+        return key
+
+    rank, open_, at = np.zeros(len(places), np.int64), np.arange(len(places)), 0
     while len(open_):
-        open_ = open_[length[open_] >= k]
-        unlike = text[places[open_] + k] != text[places[open_ - 1] + k]
-        differ[open_[unlike]] = True
-        open_ = open_[~unlike]
-        k += 1
-    return np.cumsum(differ) - 1
+        key = packed(open_, at)
+        order = np.lexsort((key, rank[open_])) if at else np.argsort(key, kind="stable")
+        open_, key = open_[order], key[order]
+        group = rank[open_]
+        new_group = np.ones(len(open_), bool)
+        new_group[1:] = group[1:] != group[:-1]
+        new = new_group.copy()
+        new[1:] |= key[1:] != key[:-1]
+        # a rank is the number of smaller substrings
+        here = np.arange(len(open_))
+        first = np.maximum.accumulate(np.where(new, here, 0))
+        rank[open_] = group + first - np.maximum.accumulate(np.where(new_group, here, 0))
+        at += per
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        open_ = open_[tied & (length[open_] >= at)]
+    present = np.zeros(len(places) + 1, np.int64)
+    present[rank] = 1
+    return (np.cumsum(present) - 1)[rank]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -146,21 +171,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     leftmost[1:] = smaller[1:] & ~smaller[:-1]
     places = np.flatnonzero(leftmost)
     induce = _induce_buckets if size <= WIDE else _induce_lists
-    array = induce(text, smaller, size, places)
-    if len(places) > 1:
-        sorted_ = array[leftmost[array]]
-        next_place = np.full(n, n - 1)
-        next_place[places[:-1]] = places[1:]
-        names = np.empty(n, np.int64)
-        names[sorted_] = _names(text, sorted_, next_place[sorted_])
-        reduced = names[places]
-        if int(reduced.max()) + 1 < len(places):
-            order = suffix_array(reduced)
-        else:
-            order = np.empty(len(places), np.int64)
-            order[reduced] = np.arange(len(places))
-        array = induce(text, smaller, size, places[order])
-    return array
+    order = np.empty(len(places), np.int64)
+    ranks = _ranks(text, places, np.append(places[1:], n - 1), size)
+    if int(ranks.max()) + 1 < len(places):
+        order = suffix_array(ranks)
+    else:
+        order[ranks] = np.arange(len(places))
+    return induce(text, smaller, size, places[order])
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,25 +1,30 @@
 """Suffix-array dedup: remove every byte covered by a WINDOW-byte string that starts elsewhere too.
 
-Windows are matched over all documents without comparing all of them:
+Hashes only propose what to compare; the suffix arrays of the shards decide.
 
 1. Anchors. Each window is represented by its minimal GRAM-byte hash (leftmost on ties). Equal
    windows have equal anchors at equal places, so a maximal run of window starts with one anchor (a
    fragment, under a kilobyte) needs comparing only with fragments of an equal anchor hash. Each
    input batch sends one short record per distinct fragment to tasks by anchor range. They answer
-   which fragments occur more than once as a whole (all their windows go) and which share their
-   anchor with other, different fragments (their bytes must be compared).
-2. Shards. The bytes of one copy of each of the latter are dealt to shards by anchor hash. A shard
+   which fragments seem to occur more than once as a whole and which share their anchor with other,
+   different fragments.
+2. Chunks. Neighbouring fragments that seem to repeat are joined (cut where an anchor hash is a
+   multiple of CUT), so that a long repeated passage is compared as a few long pieces. Of chunks of
+   equal hash two copies go to a shard, and of fragments that are in no such chunk as well.
+3. Shards. They hold those copies and one copy of each fragment that shares its anchor. A shard
    builds its suffix array by induced sorting and the permuted common prefixes; a window goes if it
-   shares WINDOW bytes with a neighbour in order. Shards hold about SHARD fragments.
-3. Hot anchors. An anchor with more than HOT different fragments (or more than LOCAL in one batch) would
-   overfill a shard. Its windows are counted by 128-bit hashes instead, with the copies inside a
-   batch collapsed before the exchange, so no group lands in one task. This is exact up to a
-   128-bit collision.
-
-Texts move once: the documents are dealt by id, and both the cutting of fragments and the final
-removal read that same exchange. Matches never cross documents. Null counts as empty; texts shorter
-than a window keep everything; identical documents lose everything but what no window covers. Ids
-must be unique: rows of equal id are judged together, and so are rows without an id. An empty table gives an empty result; other columns are not read.
+   shares WINDOW bytes with a neighbour in order. Both copies of a chunk or fragment must be covered
+   wholly, else (two texts of one 128-bit hash) the run stops with an error instead of a wrong
+   result. A shard holds about SHARD bytes.
+4. Crowded anchors. An anchor with more than HOT different fragments (or more than LOCAL in one
+   batch) would overfill a shard, so it is split further: its fragments into single windows. Windows
+   that seem to repeat, by their 128-bit hashes, go to shards of their own, two copies of each. The
+   copies inside a batch are collapsed before any exchange, so no group lands in one task.
+
+Matches never cross documents. Null counts as empty; texts shorter than a window keep everything;
+identical documents lose everything but what no window covers. Ids must be unique: rows of equal id
+are judged together, and so are rows without an id. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,6 @@ import hashlib
 import pickle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,15 +43,19 @@ from tallyfold.llm.suffix_array import common_prefixes, suffix_array
 
 WINDOW = 400
 GRAM = 200
-#: Fragments per shard, different fragments of one anchor that shards take, and in one batch.
-SHARD, HOT, LOCAL = 1500, 1000, 8
-DOCS_PER_RANGE = 4000
-#: Bytes that are hashed at a time.
-STRETCH = 1 << 20
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+#: Bytes per shard, different fragments of one anchor that shards take, and in one batch.
+SHARD, HOT, LOCAL = 750_000, 1000, 8
+#: One in CUT anchors begins a new chunk.
+CUT = 64
+#: Bytes of text per anchor range, of a batch, and hashed at a time.
+RANGE, BYTES, STRETCH = 12 << 20, 16 << 20, 1 << 20
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, touched boolean"
 #: Stands for a null id inside.
 _NO_ID = -(1 << 63)
 _PACKED = "part int, batch bigint, data binary"
+_PARTS = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64())])
+KNOWN = pa.schema([("doc_id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("parts", pa.list_(_PARTS))])
+_KNOWN = "doc_id bigint, s int, e int, kind int, c1 bigint, c2 bigint, parts array<struct<s:int,e:int,c1:bigint,c2:bigint>>"
 _PLACE = np.uint64((1 << 31) - 1)
 _RNG = np.random.default_rng(400)
 _VALUES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,39 +162,43 @@ def _asked(rows: DataFrame, prepare, judge, finish, schema: str, parts: int) ->
     column 0; judge(values, flags) -> bytes for the values of one range; finish(table, answers)."""
 
     def deal(batches):
-        for batch in batches:
-            table, values, flags = prepare(batch)
-            data = pickle.dumps(table, protocol=5)
-            key = np.uint64(xxhash.xxh64_intdigest(data)).astype(np.int64).item()
-            part = ((values[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
-            out = [(-1 - key % parts, key, data)]
-            out += [(int(part[a]), key, values[a:b].T.tobytes() + flags[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            p, k, d = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(p, pa.int32()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], names=["part", "batch", "data"])
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        if group["part"].iloc[0] < 0:
+        for whole in batches:
+            for batch in common.slices(whole, 1, BYTES, whole.num_rows):
+                table, values, flags = prepare(batch)
+                data = pickle.dumps(table, protocol=5)
+                key = np.uint64(xxhash.xxh64_intdigest(data)).astype(np.int64).item()
+                part = ((values[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+                out = [(-1 - key % parts, key, data)]
+                out += [(int(part[a]), key, values[a:b].T.tobytes() + flags[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                p, k, d = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(p, pa.int32()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], names=["part", "batch", "data"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        if group.column("part")[0].as_py() < 0:
             return group
-        sizes = [len(d) // 17 for d in group["data"]]
-        values = np.concatenate([np.frombuffer(d, np.uint64, 2 * n).reshape(2, n).T for d, n in zip(group["data"], sizes, strict=True)])
-        flags = np.concatenate([np.frombuffer(d, np.uint8, n, 16 * n) for d, n in zip(group["data"], sizes, strict=True)])
+        data = [x.as_buffer() for x in group.column("data")]
+        sizes = [len(d) // 17 for d in data]
+        values = np.concatenate([np.frombuffer(d, np.uint64, 2 * n).reshape(2, n).T for d, n in zip(data, sizes, strict=True)])
+        flags = np.concatenate([np.frombuffer(d, np.uint8, n, 16 * n) for d, n in zip(data, sizes, strict=True)])
         told, at, out = judge(values, flags), 0, []
         for n in sizes:
             out.append(told[at : at + n].tobytes())
             at += n
-        return group.assign(data=out)
+        return group.set_column(2, "data", pa.array(out, pa.binary()))
 
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
+    def gather(group: pa.Table) -> pa.Table:
         # equal batches (of repeated rows) share a key: their answers lie side by side
-        group = group.sort_values("part", kind="stable")
-        tables = group.loc[group["part"] < 0, "data"].tolist()
-        asked = group.loc[group["part"] >= 0]
-        told = np.frombuffer(b"".join(asked.loc[~asked["part"].duplicated(), "data"]), np.uint8)
-        return pd.concat([finish(pickle.loads(t), told) for t in tables], ignore_index=True)
+        group = group.sort_by("part")
+        part, data = group.column("part").to_pylist(), [x.as_buffer() for x in group.column("data")]
+        tables = [d for p, d in zip(part, data, strict=True) if p < 0]
+        asked = dict(zip(part, data, strict=True))
+        told = [np.frombuffer(d, np.uint8) for p, d in asked.items() if p >= 0]
+        told = np.concatenate(told) if told else np.empty(0, np.uint8)
+        return pa.concat_tables([finish(pickle.loads(t), told) for t in tables])
 
-    answered = common.map_groups(common.map_arrow(rows, deal, _PACKED), ["part"], answer, _PACKED)
-    return common.map_groups(answered, ["batch"], gather, schema)
+    answered = common.map_tables(common.map_arrow(rows, deal, _PACKED), ["part"], answer, _PACKED)
+    return common.map_tables(answered, ["batch"], gather, schema)
 
 
 def _texts(batch) -> tuple[np.ndarray, list[bytes]]:
@@ -206,6 +218,7 @@ def _prepare_anchors(batch):
         begin = np.concatenate([[0], stop[:-1]])[number]
         rows.append((np.array(run)[number], first - begin, last - begin, key, whole))
     doc, first, last, key, whole = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2
+    del rows
     values = np.column_stack([key, whole]) if len(key) else np.empty((0, 2), np.uint64)
     order, new_key, new_all = _grouped(values)
     kind = np.empty(len(order), np.int64)
@@ -220,9 +233,7 @@ def _prepare_anchors(batch):
     asks = ~crowded | head
     question = np.maximum(np.cumsum(asks) - 1, 0)
     flags = np.where(crowded, 2, (times > 1).astype(int)).astype(np.uint8)
-    sample = np.full(len(values), -1, np.int64)
-    sample[kind[::-1]] = np.arange(len(kind))[::-1]
-    table = (ids[doc] if len(doc) else doc, first.astype(np.int64), last.astype(np.int64), kind, sample, question, values[:, 0].copy(), times > 1)
+    table = (ids, doc.astype(np.int32), first.astype(np.int32), (last - first).astype(np.int16), kind.astype(np.int32), values, question.astype(np.int32), times > 1)
     asked = values[asks]
     asked[crowded[asks], 1] = 0
     return table, asked, flags[asks]
@@ -242,33 +253,49 @@ def _judge_anchors(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def _finish_anchors(table, told: np.ndarray) -> pd.DataFrame:
-    doc, first, last, kind, sample, question, key, repeated = table
-    told = told[question] if len(question) else np.empty(0, np.uint8)
-    whole = (told & 1 > 0) | repeated
-    gone = whole[kind] if len(kind) else np.empty(0, bool)
+def _finish_anchors(table, told: np.ndarray) -> pa.Table:
+    """Rows of KNOWN: chunks of fragments that seem to repeat (kind 0), one copy of each fragment of
+    this batch that shares its anchor (1), or whose anchor is crowded (2)."""
+    ids, doc, first, span, kind, values, question, repeated = table
+    if not len(doc):
+        return KNOWN.empty_table()
+    last = first + span
+    told = told[question]
+    gone = np.flatnonzero(((told & 1 > 0) | repeated)[kind])
+    d, f, e, v = doc[gone], first[gone], last[gone], values[kind[gone]]
+    new = np.ones(len(gone), bool)
+    new[1:] = (d[1:] != d[:-1]) | (f[1:] != e[:-1] + 1) | (v[1:, 0] % np.uint64(CUT) == 0)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(gone)))
+    place = (np.arange(len(gone)) - np.repeat(head, size)).astype(np.uint64) * np.uint64(_BASES[0])
+    total = [np.add.reduceat(common.mix64(v[:, k] + place), head) if len(head) else v[:0, 0] for k in (0, 1)]
+    sample = np.zeros(len(values), np.int64)
+    sample[kind[::-1]] = np.arange(len(kind))[::-1]
     cut = np.flatnonzero(told & 6)
     at = sample[cut]
-    return pd.DataFrame({
-        "doc_id": np.concatenate([doc[gone], doc[at]]), "s": np.concatenate([first[gone], first[at]]), "e": np.concatenate([last[gone], last[at]]),
-        "kind": np.concatenate([np.zeros(int(gone.sum()), np.int64), np.where(told[cut] & 4, 2, 1)]), "anchor": np.concatenate([np.zeros(int(gone.sum()), np.int64), key[cut].view(np.int64)]),
-    })
+    signed = lambda *x: np.concatenate(x).view(np.int64)
+    inner = pa.StructArray.from_arrays([pa.array(f), pa.array(e), pa.array(v[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(v[:, 1]).view(np.int64))], fields=list(_PARTS))
+    return pa.table([
+        np.concatenate([ids[d[head]], ids[doc[at]]]), np.concatenate([f[head], first[at]]), np.concatenate([e[head + size - 1], last[at]]),
+        np.concatenate([np.zeros(len(head), np.int32), np.where(told[cut] & 4, 2, 1).astype(np.int32)]), signed(total[0], values[cut, 0]), signed(total[1], values[cut, 1]),
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size), np.full(len(at), len(gone))]), pa.int32()), inner),
+    ], schema=KNOWN)
 
 
 def _prepare_windows(batch):
-    """All windows of hot fragments; the distinct ones are asked about."""
-    ids, data, first = np.asarray(batch.column(0)), batch.column(2).to_pylist(), np.asarray(batch.column(1))
+    """All windows of crowded fragments; the distinct ones are asked about."""
+    ids, data, first = np.asarray(batch.column(0)), batch.column(1).to_pylist(), np.asarray(batch.column(2))
     rows = []
-    for doc, s, piece in zip(ids, first, data, strict=True):
+    for n, piece in enumerate(data):
         rolling, at = Rolling(np.frombuffer(piece, np.uint8)), np.arange(len(piece) - WINDOW + 1)
-        rows.append((np.full(len(at), doc), s + at, rolling.of(0, at, at + WINDOW), rolling.of(1, at, at + WINDOW)))
-    doc, at, one, two = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 2
+        rows.append((np.full(len(at), n), at, rolling.of(0, at, at + WINDOW), rolling.of(1, at, at + WINDOW)))
+    piece, at, one, two = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 2
     values = np.column_stack([one, two])
     order, _, new = _grouped(values)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     times = np.bincount(kind, minlength=int(new.sum()))
-    return (doc, at, kind, times > 1), values[order][new], (times > 1).astype(np.uint8)
+    return (ids, first, data, piece, at, kind, times > 1, values[order][new]), values[order][new], (times > 1).astype(np.uint8)
 
 
 def _judge_windows(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -279,21 +306,22 @@ def _judge_windows(values: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """Runs of neighbouring window starts."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return pd.DataFrame({"doc_id": doc[first], "s": at[first], "e": at[last]}) if len(doc) else pd.DataFrame({"doc_id": doc, "s": at, "e": at})
-
-
-def _finish_windows(table, told: np.ndarray) -> pd.DataFrame:
-    doc, at, kind, repeated = table
-    gone = ((told > 0) | repeated)[kind] if len(kind) else np.empty(0, bool)
-    return _runs(doc[gone], at[gone])
+def _finish_windows(table, told: np.ndarray) -> pa.Table:
+    """Runs of windows that seem to repeat (no data), and up to two copies of each such window."""
+    ids, first, data, piece, at, kind, repeated, values = table
+    gone = np.flatnonzero(((told > 0) | repeated)[kind]) if len(kind) else np.empty(0, np.int64)
+    piece, at, kind = piece[gone], at[gone], kind[gone]
+    begin = np.flatnonzero(np.diff(piece, prepend=-1) | (np.diff(at, prepend=-1) != 1))
+    end = np.append(begin[1:], len(at))[: len(begin)] - 1
+    order = np.argsort(kind, kind="stable")
+    nth = np.arange(len(kind)) - np.searchsorted(kind[order], kind[order])
+    copy = order[nth < 2]
+    none = np.zeros(len(begin), np.int64)
+    return pa.table([
+        np.concatenate([ids[piece[begin]], ids[piece[copy]]]), np.concatenate([first[piece[begin]] + at[begin], first[piece[copy]] + at[copy]]), np.concatenate([first[piece[begin]] + at[end], first[piece[copy]] + at[copy]]),
+        np.concatenate([none, values[kind[copy], 0].view(np.int64)]), np.concatenate([none, np.ascontiguousarray(values[kind[copy], 1]).view(np.int64)]),
+        pa.array([None] * len(begin) + [data[p][t : t + WINDOW] for p, t in zip(piece[copy].tolist(), at[copy].tolist(), strict=True)], pa.binary()),
+    ], names=["doc_id", "s", "e", "c1", "c2", "data"])
 
 
 def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
@@ -312,40 +340,66 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarr
     return [np.flatnonzero(twice[b : b + max(0, len(p) - window + 1)]) for b, p in zip(begin, pieces, strict=True)]
 
 
-def _shard(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "s"], kind="stable")
-    found = repeated_windows(group["data"].tolist())
-    doc = np.repeat(group["doc_id"].to_numpy(), [len(f) for f in found])
-    at = np.concatenate([f + s for f, s in zip(found, group["s"].tolist(), strict=True)])
-    return _runs(doc, at)
+def _shard(group: pa.Table) -> pa.Table:
+    """Runs of window starts that the shard's suffix array finds twice."""
+    group = group.sort_by([("doc_id", "ascending"), ("s", "ascending"), ("kind", "ascending")])
+    data = [x.as_buffer() for x in group.column("data")]
+    found = repeated_windows(data)
+    size, kind = np.array([len(f) for f in found]), group.column("kind").to_numpy()
+    if (size < np.array([len(x) for x in data]) - WINDOW + 1)[kind == 0].any():
+        raise RuntimeError("two different strings share both hashes")
+    piece = np.repeat(np.arange(len(found)), size)
+    at = np.concatenate(found)
+    begin = np.flatnonzero(np.diff(piece, prepend=-1) | (np.diff(at, prepend=-1) != 1))
+    end = np.append(begin[1:], len(at))[: len(begin)] - 1
+    first = group.column("s").to_numpy()[piece[begin]]
+    return pa.table({"doc_id": group.column("doc_id").to_numpy()[piece[begin]], "s": first + at[begin], "e": first + at[end]})
 
 
-def dedup_spans(dealt: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
+def _copies(rows: DataFrame, *more) -> DataFrame:
+    """Two rows (the first and the last) of each c1 and c2, and what else is asked; partial
+    aggregation collapses the copies of each input split before the exchange."""
+    place = F.struct("doc_id", "s", "e", *[c for c in ("data",) if c in rows.columns])
+    found = rows.groupBy("c1", "c2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"), *more)
+    return found.where("n > 1")
+
+
+def _both(found: DataFrame) -> DataFrame:
+    return found.select("c1", "c2", F.explode(F.array("a", "b")).alias("x")).select("x.*", "c1", "c2")
+
+
+def dedup_spans(dealt: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, s, e: runs of window starts that occur elsewhere. `dealt` has the same rows as docs
     (doc_id, text), dealt by id."""
-    parts = max(16, -(-n_docs // DOCS_PER_RANGE))
-    asked = _asked(docs, _prepare_anchors, _judge_anchors, _finish_anchors, "doc_id bigint, s bigint, e bigint, kind int, anchor bigint", parts)
-    known = common.durable(asked, "anchors")
-    whole = known.where("kind = 0").select("doc_id", "s", "e")
-    wanted = known.where("kind > 0")
-    shards = max(1, -(-known.where("kind = 1").count() // SHARD))
-    cuts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "kind", "anchor")).alias("cuts"))
+    known = common.durable(_asked(docs, _prepare_anchors, _judge_anchors, _finish_anchors, _KNOWN, parts), "anchors")
+    seeming = known.where("kind = 0")
+    chunks = common.durable(_copies(seeming.select("doc_id", "s", "e", "c1", "c2")), "chunks")
+    # fragments of chunks that occur once, unless they are part of another chunk that is compared
+    single = seeming.join(chunks.select("c1", "c2", F.lit(True).alias("paired")), ["c1", "c2"], "left").select("doc_id", "paired", F.explode("parts").alias("p"))
+    loose = _copies(single.select("doc_id", "paired", "p.*"), F.max("paired").alias("paired")).where("paired is null")
+    pairs = _both(chunks).unionByName(_both(loose)).withColumn("kind", F.lit(0))
+    wanted = pairs.unionByName(known.where("kind > 0").select("doc_id", "s", "e", "c1", "c2", "kind"))
+    cuts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "kind", "c1")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
             ids, texts = _texts(batch)
-            out = [(int(i), c["s"], c["kind"], c["anchor"], t[c["s"] : c["e"] + WINDOW]) for i, t, cs in zip(ids, texts, batch.column(2).to_pylist(), strict=True) for c in cs]
+            out = [(int(i), c["s"], c["kind"], c["c1"], t[c["s"] : c["e"] + WINDOW]) for i, t, cs in zip(ids, texts, batch.column(2).to_pylist(), strict=True) for c in cs]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "s", "kind", "anchor", "data"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "s", "kind", "c1", "data"])
 
     joined = dealt.join(cuts.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cuts")
-    pieces = common.durable(common.map_arrow(joined, cut, "doc_id bigint, s bigint, kind int, anchor bigint, data binary"), "fragments")
-    shard = pieces.where("kind = 1").select("doc_id", "s", "data", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    compared = common.map_groups(shard, ["shard"], _shard, "doc_id bigint, s bigint, e bigint")
-    hot = pieces.where("kind = 2").select("doc_id", "s", "data")
-    counted = _asked(hot, _prepare_windows, _judge_windows, _finish_windows, "doc_id bigint, s bigint, e bigint", parts)
-    return whole.unionByName(compared).unionByName(counted)
+    pieces = common.durable(common.map_arrow(joined, cut, "doc_id bigint, s bigint, kind int, c1 bigint, data binary"), "fragments")
+    crowded = _asked(pieces.where("kind = 2").select("doc_id", "data", "s"), _prepare_windows, _judge_windows, _finish_windows, "doc_id bigint, s bigint, e bigint, c1 bigint, c2 bigint, data binary", parts)
+    windows = common.durable(crowded, "windows")
+    twice = _both(_copies(windows.where("data is not null"))).withColumn("kind", F.lit(0))
+    pieces = pieces.where("kind < 2").unionByName(twice.select("doc_id", "s", "kind", "c1", "data"))
+    shards = max(1, -(-(pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // SHARD))
+    shard = pieces.withColumn("shard", F.pmod(F.xxhash64("c1"), F.lit(shards)))
+    compared = common.map_tables(shard, ["shard"], _shard, "doc_id bigint, s bigint, e bigint")
+    of = lambda rows: rows.select("doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    return of(seeming).unionByName(compared).unionByName(of(windows.where("data is null")))
 
 
 def covered(spans: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -360,13 +414,13 @@ def covered(spans: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[in
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and touched (was any byte removed) of every row of docs."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    n_docs = docs.count()
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // 8000))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(16, -(-size // RANGE))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts // 2))
     dealt = rows.repartition(tasks, "doc_id")
-    spans = dedup_spans(dealt, rows, n_docs).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = dedup_spans(dealt, rows, parts).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def remove(batches):
         for batch in batches:
@@ -379,10 +433,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     digest.update(text[at:a])
                     at = b
                 digest.update(text[at:])
-                out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), bool(runs)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "touched"])
 
     joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     return common.map_arrow(joined, remove, RESULT).withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

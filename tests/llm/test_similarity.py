@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import WORDS, documents, empty, odd_texts, text
 
@@ -174,3 +175,12 @@ def test_share_holds_for_ids_that_follow_clusters(spark):
         cos[q] = -9
         hits.append(len(got[q] & set(np.argsort(-cos)[:5].tolist())) / 5)
     assert np.mean(hits) >= 0.9
+
+
+def test_a_pair_that_only_its_hashes_say_is_equal_stops_the_run():
+    rng = random.Random(8)
+    piece = text(rng, 90).encode()
+    table = lambda *data: pa.table({"doc_id": list(range(len(data))), "s": [5] * len(data), "kind": pa.array([0] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+    assert suffix_dedup._shard(table(piece, piece)).to_pylist() == [{"doc_id": i, "s": 5, "e": 5 + len(piece) - 400} for i in (0, 1)]
+    with pytest.raises(RuntimeError):
+        suffix_dedup._shard(table(piece, text(rng, 90).encode()))
