@@ -123,7 +123,8 @@ def fragments(data: np.ndarray, owner_stop: np.ndarray, window: int = WINDOW, gr
     anchor = anchor[first]
     whole = rolling.of(1, first, last + window)
     shape = ((anchor - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
-    return first, last, hashes[anchor], common.mix64(whole ^ common.mix64(shape))
+    # least hashes are small numbers: mixed again they fill the range evenly
+    return first, last, common.mix64(hashes[anchor] ^ np.uint64(_BASES[1])), common.mix64(whole ^ common.mix64(shape))
 
 
 def _stretches(texts: list[bytes]):
