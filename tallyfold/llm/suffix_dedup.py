@@ -358,15 +358,15 @@ def _shard(group: pa.Table) -> pa.Table:
 
 
 def _copies(rows: DataFrame, *more) -> DataFrame:
-    """Two rows (the first and the last) of each c1 and c2, and what else is asked; partial
-    aggregation collapses the copies of each input split before the exchange."""
+    """The first and the last place (a, b) of each c1 and c2, the number n of places, and what else is
+    asked; partial aggregation collapses the copies of each input split before the exchange."""
     place = F.struct("doc_id", "s", "e", *[c for c in ("data",) if c in rows.columns])
-    found = rows.groupBy("c1", "c2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"), *more)
-    return found.where("n > 1")
+    return rows.groupBy("c1", "c2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"), *more)
 
 
 def _both(found: DataFrame) -> DataFrame:
-    return found.select("c1", "c2", F.explode(F.array("a", "b")).alias("x")).select("x.*", "c1", "c2")
+    """Both places of what has several."""
+    return found.where("n > 1").select("c1", F.explode(F.array("a", "b")).alias("x")).select("x.*", "c1", F.lit(0).alias("kind"))
 
 
 def dedup_spans(dealt: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
@@ -374,12 +374,11 @@ def dedup_spans(dealt: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     (doc_id, text), dealt by id."""
     known = common.durable(_asked(docs, _prepare_anchors, _judge_anchors, _finish_anchors, _KNOWN, parts), "anchors")
     seeming = known.where("kind = 0")
-    chunks = common.durable(_copies(seeming.select("doc_id", "s", "e", "c1", "c2")), "chunks")
+    chunks = common.durable(_copies(seeming.select("doc_id", "s", "e", "c1", "c2", "parts"), F.min_by("parts", F.struct("doc_id", "s", "e")).alias("parts")), "chunks")
     # fragments of chunks that occur once, unless they are part of another chunk that is compared
-    single = seeming.join(chunks.select("c1", "c2", F.lit(True).alias("paired")), ["c1", "c2"], "left").select("doc_id", "paired", F.explode("parts").alias("p"))
-    loose = _copies(single.select("doc_id", "paired", "p.*"), F.max("paired").alias("paired")).where("paired is null")
-    pairs = _both(chunks).unionByName(_both(loose)).withColumn("kind", F.lit(0))
-    wanted = pairs.unionByName(known.where("kind > 0").select("doc_id", "s", "e", "c1", "c2", "kind"))
+    inside = chunks.select("a.doc_id", (F.col("n") > 1).alias("paired"), F.explode("parts").alias("p")).select("doc_id", "paired", "p.*")
+    loose = _copies(inside, F.max("paired").alias("paired")).where("not paired")
+    wanted = _both(chunks).unionByName(_both(loose)).unionByName(known.where("kind > 0").select("doc_id", "s", "e", "c1", "kind"))
     cuts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "kind", "c1")).alias("cuts"))
 
     def cut(batches):
@@ -394,7 +393,7 @@ def dedup_spans(dealt: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     pieces = common.durable(common.map_arrow(joined, cut, "doc_id bigint, s bigint, kind int, c1 bigint, data binary"), "fragments")
     crowded = _asked(pieces.where("kind = 2").select("doc_id", "data", "s"), _prepare_windows, _judge_windows, _finish_windows, "doc_id bigint, s bigint, e bigint, c1 bigint, c2 bigint, data binary", parts)
     windows = common.durable(crowded, "windows")
-    twice = _both(_copies(windows.where("data is not null"))).withColumn("kind", F.lit(0))
+    twice = _both(_copies(windows.where("data is not null")))
     pieces = pieces.where("kind < 2").unionByName(twice.select("doc_id", "s", "kind", "c1", "data"))
     shards = max(1, -(-(pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // SHARD))
     shard = pieces.withColumn("shard", F.pmod(F.xxhash64("c1"), F.lit(shards)))
@@ -418,7 +417,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and touched (was any byte removed) of every row of docs."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(16, -(-size // RANGE))
+    parts = max(64, -(-size // RANGE))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts // 2))
     dealt = rows.repartition(tasks, "doc_id")
     spans = dedup_spans(dealt, rows, parts).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
