@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are scaled to length 1 and cut into two halves; each half has its own codebook of CENTROIDS
-centroids, and a vector's cell is the pair of its nearest ones. A query walks the pairs in order of
+Vectors are scaled to length 1 and cut into two halves; each half has its own codebook, and a
+vector's cell is the pair of its nearest centroids. A codebook has four times the fourth root of the
+number of vectors, so there are 16 times as many cells as its square root. A query walks the pairs in order of
 summed distance, with a heap over the two sorted lists of distances, until the cells it has met
 hold a given share of the distinct vectors; all entries of those cells are reranked by the exact
-cosine of the original vectors in double precision.
+cosine of the original vectors in double precision. Before squaring, a vector is scaled by the power
+of two of its largest component, which rounds nothing, so no finite vector is too long or too short.
 
 The codebooks come from at most about SAMPLE vectors (drawn by a hash of the id, a documented
 bound), and so does the share: the smallest on a ladder whose recall on that whole sample, against
 brute force and over TRIAL_QUERIES of its distinct vectors drawn at random, is at least AIM. Cells are weighed by distinct vectors, so that many copies of one vector do
 not use up a query's share. Every vector is indexed.
 
-Reranking runs in blocks of at most ENTRIES entries by QUERIES queries. A block holds the entries of
-one centroid of the first half (split further by a hash if there are many, with the queries dealt
-likewise), multiplies matrices, and returns the best few of each query, so pairs are never rows and
-no list has to fit in one task. Equal scores are decided by the smaller id.
+Reranking runs in blocks of about BLOCK bytes of entries. A block holds the cells of neighbouring
+centroids of the first half (a centroid with more entries is split by a hash), and a query goes to
+the blocks of the cells it walks: entries move once (once per DECK queries), queries once per block.
+A block multiplies matrices and returns the best few of each query, so pairs are never rows and no
+list has to fit in one task. Equal scores are decided by the smaller id.
 
 Vectors that are null, zero, of another length than the first sampled one, or that hold null or
 non-finite components take no part, nor do rows without an id. Rows of equal id are separate
@@ -27,20 +30,19 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm import common
 
-CENTROIDS = 64
 SAMPLE = 20_000
 #: Sampled vectors that are looked up to choose the share.
 TRIAL_QUERIES = 256
 AIM = 0.95
 LADDER = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
-ENTRIES, QUERIES = 4096, 1024
+#: Bytes of a block's entries, queries that meet them in one group, and in one product.
+BLOCK, DECK, QUERIES = 4 << 20, 32_768, 1024
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -55,10 +57,23 @@ def _sampled(vectors: DataFrame, total: int, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["v"]) for r in rows if len(r["v"]) == size)).reshape(-1, size // 8)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to between 1/2 and 1."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    # two steps, for a single one could leave the range of doubles
+    return np.ldexp(np.ldexp(x, -(exponent // 2)), exponent // 2 - exponent)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def centroids(vectors: int) -> int:
+    """Centroids of each half for so many vectors."""
+    return max(16, round(4 * vectors**0.25))
+
+
 def _nearest(points: np.ndarray, book: np.ndarray) -> np.ndarray:
     return ((book * book).sum(axis=1) - 2.0 * points @ book.T).argmin(axis=1)
 
@@ -79,11 +94,14 @@ def codebook(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.
 class MultiIndex:
     """Codebooks, and the walk over cells for a query."""
 
-    def __init__(self, sample: np.ndarray, centroids: int = CENTROIDS):
+    def __init__(self, sample: np.ndarray, size: int = 64):
         unit = _unit(sample)
         self.half = max(1, unit.shape[1] // 2)
         self.width = unit.shape[1]
-        self.books = [codebook(part, centroids) for part in (unit[:, : self.half], unit[:, self.half :])]
+        self.books = [codebook(part, size) for part in (unit[:, : self.half], unit[:, self.half :])]
+        # neighbours in this order are alike: along the longest axis of the first half
+        axis = np.linalg.svd(self.books[0] - self.books[0].mean(axis=0), full_matrices=False)[2][0]
+        self.books[0] = self.books[0][np.argsort(self.books[0] @ axis, kind="stable")]
         if self.width == 1:
             self.books[1] = np.zeros((1, 0))
 
@@ -133,9 +151,25 @@ class MultiIndex:
 
 def cosine(query: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """Cosines of one vector with rows, summed alike for equal rows."""
+    query, entries = _scaled(query[None, :])[0], _scaled(entries)
     return (entries * query).sum(axis=1) / (np.sqrt((entries * entries).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
+def blocks(held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each centroid, given its entries: centroids of more than
+    `size` entries have blocks of their own, the others share one with their neighbours."""
+    first, count, at, room = np.zeros(len(held), int), np.ones(len(held), int), -1, 0
+    for i, n in enumerate(held.tolist()):
+        if n > size:
+            count[i], first[i], room = -(-n // size), at + 1, 0
+            at += count[i]
+        else:
+            if n > room or at < 0:
+                at, room = at + 1, size
+            first[i], room = at, room - n
+    return first, count
+
+
 def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", aim: float = AIM) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest entries found for each row with is_query."""
     spark = vectors.sparkSession
@@ -150,12 +184,13 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
 
     packed = common.map_arrow(rows, to_bytes, "vec_id bigint, v binary")
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = _sampled(packed, vectors.count(), SAMPLE)
+    total = vectors.count()
+    sample = _sampled(packed, total, SAMPLE)
     if not len(sample):
         sample = _sampled(packed, 1, SAMPLE)
     if not len(sample):
         return empty
-    index = MultiIndex(sample)
+    index = MultiIndex(sample, centroids(total))
     share, width = index.share(sample, k, aim), index.width
 
     def place(batches):
@@ -169,55 +204,59 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(data, pa.binary()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=["vec_id", "v", "i", "j"])
 
     placed = common.durable(common.map_arrow(packed, place, "vec_id bigint, v binary, i int, j int"), "multi-index")
-    # both counts have at most CENTROIDS squared rows
+    # both counts have at most as many rows as there are cells
     weight = np.zeros((len(index.books[0]), len(index.books[1])))
     for i, j, n in placed.groupBy("i", "j", F.md5("v").alias("m")).agg(F.lit(1).alias("one")).groupBy("i", "j").count().collect():
         weight[i, j] = n
-    held = dict(placed.groupBy("i").count().collect())
-    enough = share * weight.sum()
+    held = np.zeros(len(weight), int)
+    for i, n in placed.groupBy("i").count().collect():
+        held[i] = n
+    enough, cells = share * weight.sum(), weight.shape[1]
     chosen = placed.where(is_query(F.col("vec_id")))
-    splits = {i: -(-n // ENTRIES) for i, n in held.items()}
-    decks = max(1, -(-chosen.count() // QUERIES))
+    first, count = blocks(held, max(256, BLOCK // (8 * width)))
+    decks = max(1, -(-chosen.count() // DECK))
 
     def probe(batches):
         for batch in batches:
             out: list[tuple] = []
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 met = index.walk(_unit(np.frombuffer(v).reshape(1, -1))[0], weight, enough)
-                for i in np.flatnonzero(met.any(axis=1)).tolist():
-                    cells = np.packbits(met[i]).tobytes()
-                    out += [(q, v, cells, i, s, hash(q) % decks) for s in range(splits.get(i, 0))]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "v", "cells", "i", "s", "d"])
-
-    probes = common.map_arrow(chosen.select("vec_id", "v"), probe, "query_id bigint, v binary, cells binary, i int, s int, d int")
-    counts = F.create_map(*[F.lit(x) for i, n in splits.items() for x in (i, n)])
-    entries = placed.select("vec_id", "v", "i", "j", F.pmod(F.xxhash64("vec_id", "v"), counts[F.col("i")]).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("d"))
-
-    def rerank(entry: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+                rows = np.flatnonzero(met.any(axis=1))
+                bits, deck = np.packbits(met).tobytes(), int(common.mix64(np.array([q], np.int64).view(np.uint64))[0] % np.uint64(decks))
+                out += [(q, v, bits, b, deck) for b in sorted({int(b) for i in rows for b in range(first[i], first[i] + count[i])})]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "v", "cells", "b", "d"])
+
+    probes = common.map_arrow(chosen.select("vec_id", "v"), probe, "query_id bigint, v binary, cells binary, b int, d int")
+    of = lambda values: F.array(*[F.lit(int(x)) for x in values])[F.col("i")]
+    block = (of(first) + F.pmod(F.xxhash64("vec_id", "v"), of(count))).cast("int")
+    entries = placed.select("vec_id", "v", (F.col("i") * cells + F.col("j")).alias("cell"), block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("d"))
+
+    def rerank(entry: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if len(entry) and len(asked):
-            entry = entry.sort_values("vec_id", kind="stable")
-            ids, j = entry["vec_id"].to_numpy(), entry["j"].to_numpy()
-            e = np.frombuffer(b"".join(entry["v"])).reshape(len(entry), -1)
+        if entry.num_rows and asked.num_rows:
+            entry = entry.sort_by("vec_id")
+            ids, cell = entry.column("vec_id").to_numpy(), entry.column("cell").to_numpy()
+            e = np.frombuffer(b"".join(entry.column("v").to_pylist())).reshape(len(ids), -1)
             unit = _unit(e)
-            for at in range(0, len(asked), QUERIES):
-                part = asked.iloc[at : at + QUERIES]
-                q = np.frombuffer(b"".join(part["v"])).reshape(len(part), -1)
+            for at in range(0, asked.num_rows, QUERIES):
+                part = asked.slice(at, QUERIES)
+                names = part.column("query_id").to_numpy()
+                q = np.frombuffer(b"".join(part.column("v").to_pylist())).reshape(len(names), -1)
                 near = _unit(q) @ unit.T
-                met = np.unpackbits(np.frombuffer(b"".join(part["cells"]), np.uint8).reshape(len(part), -1), axis=1)[:, j].astype(bool)
-                met &= part["query_id"].to_numpy()[:, None] != ids[None, :]
+                met = np.unpackbits(np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(len(names), -1), axis=1)[:, cell].astype(bool)
+                met &= names[:, None] != ids[None, :]
                 near[~met] = -np.inf
-                kth = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -2.0)
-                for row, query in enumerate(part["query_id"].tolist()):
+                kth = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -2.0)
+                for row, query in enumerate(names.tolist()):
                     # rounding differs between equal rows of a product: all near the k-th are scored anew
                     good = np.flatnonzero(met[row] & (near[row] >= kth[row] - 1e-9))
                     exact = cosine(q[row], e[good])
                     out += [(query, int(ids[good[x]]), float(exact[x])) for x in np.lexsort((ids[good], -exact))[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-    keys = ["i", "s", "d"]
-    found = entries.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(rerank, FOUND)
+    found = entries.groupBy("b", "d").cogroup(probes.groupBy("b", "d")).applyInArrow(rerank, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import WORDS, documents, empty, odd_texts, text
+from helpers import CLASHING, WORDS, documents, empty, odd_texts, text
 
 from tallyfold.llm import jaccard_join, multi_index, suffix_array, suffix_dedup
 
@@ -184,3 +184,15 @@ def test_a_pair_that_only_its_hashes_say_is_equal_stops_the_run():
     assert suffix_dedup._shard(table(piece, piece)).to_pylist() == [{"doc_id": i, "s": 5, "e": 5 + len(piece) - 400} for i in (0, 1)]
     with pytest.raises(RuntimeError):
         suffix_dedup._shard(table(piece, text(rng, 90).encode()))
+
+
+def test_finite_vectors_of_any_length_are_scored(spark):
+    rows = [(0, [1e200, 0.0, 1e200, 0.0]), (1, [1.0, 0.0, 1.0, 0.0]), (2, [1e200, 1e200, 0.0, 0.0]), (3, [1e-200, 0.0, 1e-200, 0.0]), (4, [5e-324, 0.0, 0.0, 0.0]), (5, [1.7e308, 1.7e308, 1.7e308, 1.7e308])]
+    table = spark.createDataFrame([(*r, *CLASHING) for r in rows], "vec_id long, embedding array<double>, " + ", ".join(f"{c} string" for c in CLASHING))
+    got = {(r.query_id, r.vec_id): r.score for r in multi_index.neighbours(table, lambda c: c % 50 == 0).collect()}
+    assert got == pytest.approx({(0, 1): 1.0, (0, 3): 1.0, (0, 2): 0.5, (0, 4): 0.5**0.5, (0, 5): 0.5**0.5}, rel=1e-12)
+
+
+def test_blocks_hold_all_centroids():
+    first, count = multi_index.blocks(np.array([3, 0, 25, 4, 5, 2, 9, 31]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5, 6, 7] and count.tolist() == [1, 1, 3, 1, 1, 1, 1, 4]
