@@ -3,14 +3,19 @@
 Base spans (code points, end exclusive) come from three kinds of patterns, each matched leftmost
 and without overlap; matches that are too short are dropped. The battery adds spans of kind
 `random`: runs of 20 or more encoding characters that no base span touches. Their encoding is
-inferred (hex, base32 or base64; pure numbers and single-class words are left out) and three tests
-give a p-value for "drawn uniformly from that alphabet": chi-squared over four equal parts of the
-alphabet, the runs test about its middle, and the first serial correlation, combined by
-Bonferroni. Ordinary words pile up near zero, random strings spread evenly; so for every encoding
+inferred (hex, base32 or base64; pure numbers and single-class words are left out) and four tests
+give a p-value for "drawn uniformly from that alphabet": chi-squared over the counts of all its
+symbols (with the exact mean and variance for the token's length, as symbols are fewer than the
+usual approximation asks for) and over its quarters (which has power where tokens are short), the
+runs test about the middle of the alphabet, and the first serial correlation, combined by Sidak's
+rule, so that random strings have even p-values. Ordinary words pile up near zero, random strings spread evenly; so for every encoding
 and length class a histogram over all documents gives, for each threshold, the share of text among
 what lies above it, and the lowest threshold whose share is within `fdr` is used. Short classes,
 where the tests are weak, thereby get stricter thresholds or none.
 
+Texts are scanned once: base spans and candidates are written to the shared folder, where the
+histogram and the result read them.
+
 Null or empty texts have no spans; repeated rows are judged alike, each for itself; an empty table
 gives an empty result. Native: every step is a DataFrame function, no text is ever shuffled, and
 the driver sees only the histogram (at most 18 classes of 64 bins).
@@ -100,36 +105,56 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def p_random(values: Column) -> Column:
-    """Combined p-value of the three tests for an array of at least two numbers in [0, 1)."""
+def p_random(values: Column, symbols: Column) -> Column:
+    """Combined p-value of the four tests for an array of at least two numbers in [0, 1), each one
+    of `symbols` equally spaced ones."""
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
     size = lambda xs: F.size(xs).cast("double")
 
+    def square_counts(v: Column) -> Column:
+        """The sum of the squared counts of all symbols: the k-th equal one adds 2k - 1."""
+        start = F.struct(F.lit(-1.0).alias("x"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+
+        def step(acc: Column, x: Column) -> Column:
+            k = F.when(x == acc["x"], acc["k"] + 1.0).otherwise(1.0)
+            return F.struct(x.alias("x"), k.alias("k"), (acc["sum"] + 2.0 * k - 1.0).alias("sum"))
+
+        return F.aggregate(F.array_sort(v), start, step, lambda acc: acc["sum"])
+
+    def part(v: Column, k: int) -> Column:
+        return size(F.filter(v, lambda x: F.floor(x * 4) == k)).alias(f"c{k}")
+
     def sums(v: Column) -> Column:
-        part = lambda k: size(F.filter(v, lambda x: F.floor(x * 4) == k)).alias(f"c{k}")
         pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct((a * b).alias("p"), (a + b).alias("q"), ((a >= 0.5) != (b >= 0.5)).alias("turn")))
         return _let(pairs, lambda w: F.struct(
-            size(v).alias("n"), part(0), part(1), part(2), part(3), add(v).alias("sum"), add(F.transform(v, lambda x: x * x)).alias("squares"),
+            size(v).alias("n"), symbols.alias("symbols"), *[part(v, k) for k in range(4)], square_counts(v).alias("counts"), add(v).alias("sum"), add(F.transform(v, lambda x: x * x)).alias("squares"),
             add(F.transform(w, lambda x: x["p"])).alias("products"), add(F.transform(w, lambda x: x["q"])).alias("ends"), (1.0 + size(F.filter(w, lambda x: x["turn"]))).alias("runs"),
         ))
 
     def tests(m: Column) -> Column:
-        n, high, low, average = m["n"], m["c2"] + m["c3"], m["c0"] + m["c1"], m["sum"] / m["n"]
-        quarter = n / 4
-        off = [(m[f"c{k}"] - quarter) * (m[f"c{k}"] - quarter) for k in range(4)]
+        n, high, low, average, free = m["n"], m["c2"] + m["c3"], m["c0"] + m["c1"], m["sum"] / m["n"], m["symbols"] - 1.0
+        chi = m["counts"] * m["symbols"] / n - n
+        off = [(m[f"c{k}"] - n / 4) * (m[f"c{k}"] - n / 4) for k in range(4)]
+        # the cube root of a gamma variable is nearly normal (Wilson and Hilferty); this one has mean
+        # `free` and variance 2 free (n - 1) / n
+        spread = 2.0 * (n - 1.0) / (9.0 * free * n)
         mean = 1.0 + 2.0 * high * low / n
         variance = m["squares"] - n * average * average
         shared = m["products"] - average * (m["ends"] - (n - 1.0) * average)
         return F.struct(
-            ((off[0] + off[1] + off[2] + off[3]) / quarter).alias("chi"),
+            ((off[0] + off[1] + off[2] + off[3]) * 4 / n).alias("quarters"),
+            ((F.cbrt(F.greatest(F.lit(0.0), chi) / free) - 1.0 + spread) / F.sqrt(spread)).alias("z_chi"),
             F.when((high > 0) & (low > 0), F.abs(m["runs"] - mean) / F.sqrt(F.greatest(F.lit(1e-9), (mean - 1.0) * (mean - 2.0) / (n - 1.0)))).alias("z_runs"),
             F.when(variance >= 1e-9, F.abs(shared / variance + 1.0 / n) * F.sqrt(n)).alias("z_serial"),
         )
 
     def combined(z: Column) -> Column:
-        p_chi = F.least(F.lit(1.0), _upper_tail(F.sqrt(z["chi"])) + F.sqrt(2.0 * z["chi"] / math.pi) * F.exp(-z["chi"] / 2.0))
+        above = _upper_tail(F.abs(z["z_chi"])) / 2.0
+        p_chi = F.when(z["z_chi"] > 0, above).otherwise(1.0 - above)
+        # three degrees of freedom
+        p_quarters = F.least(F.lit(1.0), _upper_tail(F.sqrt(z["quarters"])) + F.sqrt(2.0 * z["quarters"] / math.pi) * F.exp(-z["quarters"] / 2.0))
         tail = lambda name: F.when(z[name].isNull(), 0.0).otherwise(_upper_tail(z[name]))
-        return F.least(F.lit(1.0), 3.0 * F.least(p_chi, tail("z_runs"), tail("z_serial")))
+        return 1.0 - F.pow(1.0 - F.least(p_chi, p_quarters, tail("z_runs"), tail("z_serial")), 4.0)
 
     return _let(_let(_let(values, sums), tests), combined)
 
@@ -163,15 +188,16 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *ca
     def tested(t: Column) -> Column:
         token = F.substring(F.col("__text"), t["s"] + 1, t["e"] - t["s"])
         known = _let(token, lambda x: F.struct(x.alias("token"), _encoding(x).alias("enc")))
-        p = lambda k: p_random(_values(k["token"], k["enc"]))
+        symbols = lambda k: F.when(k["enc"] == "hex", 16.0).when(k["enc"] == "base32", 32.0).otherwise(64.0)
+        p = lambda k: p_random(_values(k["token"], k["enc"]), symbols(k))
         return _let(known, lambda k: F.struct(t["s"].alias("s"), t["e"].alias("e"), k["enc"].alias("enc"), _length_class(t["e"] - t["s"]).alias("len"), F.least(F.lit(BINS - 1), F.floor(p(k) * BINS)).cast("int").alias("bin")))
 
     return rows.select("*", F.explode(F.array(F.transform(clear, tested))).alias("candidates"))
 
 
-def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.1) -> dict[tuple[str, int], int]:
-    """Lowest accepted bin by encoding and length class, from all candidates of all documents."""
-    counts = scanned(docs, id_col, text_col).select(F.explode("candidates").alias("c")).groupBy("c.enc", "c.len", "c.bin").count().collect()
+def thresholds(found: DataFrame, fdr: float = 0.1) -> dict[tuple[str, int], int]:
+    """Lowest accepted bin by encoding and length class, from the candidates of all documents."""
+    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.enc", "c.len", "c.bin").count().collect()
     table: dict[tuple[str, int], list[int]] = {}
     for enc, size, place, n in counts:
         table.setdefault((enc, size), [0] * BINS)[place] += n
@@ -179,9 +205,9 @@ def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _lowest_bin(bins: list[int], fdr: float) -> int | None:
-    """Random strings give even p-values, so the upper half tells how many there are; what exceeds
-    them above a bin is text."""
-    random_total = 2 * sum(bins[BINS // 2 :])
+    """Random strings give even p-values and text small ones, so the uppermost quarter tells how many
+    random ones there are; what exceeds them above a bin is text."""
+    random_total = 4 * sum(bins[BINS - BINS // 4 :])
     above, best = 0, None
     for k in range(BINS - 1, -1, -1):
         above += bins[k]
@@ -192,13 +218,15 @@ def _lowest_bin(bins: list[int], fdr: float) -> int | None:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carry: str, fdr: float = 0.1) -> DataFrame:
-    """scanned() with `spans`: base and accepted random spans by start, then kind."""
-    least = thresholds(docs, id_col, text_col, fdr)
+    """doc_id, the columns named in carry, n_ of each base kind, base, candidates and `spans` (base and
+    accepted random spans by start, then kind), one row per row of docs."""
+    sizes = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    found = common.durable(scanned(docs, id_col, text_col, *carry).select("doc_id", *carry, *sizes, "base", "candidates"), "secrets")
     passed = lambda c: F.lit(False)
-    for (enc, size), place in sorted(least.items()):
+    for (enc, size), place in sorted(thresholds(found, fdr).items()):
         passed = (lambda prior, enc, size, place: lambda c: prior(c) | ((c["enc"] == enc) & (c["len"] == size) & (c["bin"] >= place)))(passed, enc, size, place)
     extra = F.transform(F.filter("candidates", passed), lambda c: F.struct(c["s"].alias("s"), F.lit(len(KINDS)).alias("k"), c["e"].alias("e"), F.lit("random").alias("kind")))
-    return scanned(docs, id_col, text_col, *carry).withColumn("spans", F.array_sort(F.concat("base", extra)))
+    return found.withColumn("spans", F.array_sort(F.concat("base", extra)))
 
 
 def _joined(spans: Column) -> Column:
@@ -208,10 +236,9 @@ def _joined(spans: Column) -> Column:
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (text) and n_random."""
     rows = secret_spans(docs, id_col, text_col)
-    sizes = {f"n_{k}": F.size(k).cast("long") for k in KINDS}
     return rows.select(
-        F.col("doc_id"),
-        *[c.alias(n) for n, c in sizes.items()],
+        "doc_id",
+        *[f"n_{k}" for k in KINDS],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_random"),
@@ -228,11 +255,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
+        gap = F.substring(F.col("__raw"), acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
         fresh = x["s"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(MARK))).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.char_length("__text"))))
+    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__raw"), acc["at"] + 1, F.char_length("__raw"))))
     text = F.when(F.size("spans") > 0, masked).otherwise(F.col("__raw"))
     out = rows.select(F.col("doc_id").alias(id_col), text.alias(text_col), *[F.col("__rest")[c].alias(c) for c in others])
     if "n_chars" in others:

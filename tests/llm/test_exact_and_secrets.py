@@ -87,3 +87,22 @@ def test_redaction_masks_spans_only_and_keeps_columns(spark):
     assert "hunter22" not in got[100] and got[100].endswith("token=abc then [SECRET]'")
     assert got[0] is None and got[91] == odd_texts()[91]
     assert secret_scan.redact(empty(spark)).collect() == []
+
+
+def test_planted_random_strings_by_encoding_and_length(spark):
+    rng = random.Random(5)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": secret_scan.ALPHABETS["base32"], "base64": secret_scan.ALPHABETS["base64"], "four": "A5gz"}
+    names = ["internationalisation", "Representative", "2024", "userProfile", "config", "Update", "v2", "final", "report", "Index", "module", "data3"]
+    kinds, texts = {}, {}
+    for size in (20, 32, 64):
+        for kind in [k for k in alphabets for _ in range(80)] + ["words"] * 300:
+            token = "".join(rng.choice(alphabets[kind]) for _ in range(size)) if kind in alphabets else "".join(rng.choice(names) + rng.choice("_-/") for _ in range(size))[:size]
+            kinds[len(texts)] = (kind, size)
+            texts[len(texts)] = f"see {token} here"
+    found = {r.doc_id for r in secret_scan.secret_digest(documents(spark, texts)).where("n_random > 0").collect()}
+    share = {k: sum(kinds[i] == k for i in found) / sum(x == k for x in kinds.values()) for k in set(kinds.values())}
+    for (kind, size), got in share.items():
+        if kind in ("words", "four"):
+            assert got <= 0.1, (kind, size, got)
+        else:
+            assert got >= (0.6 if kind == "base64" and size == 20 else 0.9), (kind, size, got)
