@@ -4,7 +4,8 @@ Two generative models over hashed word n-grams (unigrams and bigrams in a fixed
 buckets) are estimated: one from target texts (labelled as good and not toxic), one from the raw
 table. A document's log weight is the sum of its n-grams' log ratios; adding Gumbel noise and
 keeping the k largest draws k documents without replacement in proportion to their weights.
-k is the share of good labels times the number of documents.
+k is the number of documents times the share of quality 1 among the labelled ones (toxic ones
+count there by their quality too: toxicity only shapes the target).
 
 The raw model counts every document; the target model uses at most TARGETS labelled documents
 (those of smallest hash), a documented bound that keeps the id list small enough to broadcast.
@@ -12,8 +13,8 @@ Both models are vectors of BUCKETS numbers, whatever the input. The k-th largest
 refining histograms on the executors: the driver sees BINS counts a round.
 
 Null and empty texts have no n-grams, so weight 0. Keys come from ids: repeated rows get equal
-keys and stay or go together, as do all ties at the border. Labels without a row are ignored; a
-null label counts as neither good nor bad. An empty table gives an empty result; without usable
+keys and stay or go together, as do all ties at the border. Labels without a row are ignored, and so
+are labels with a null. An empty table gives an empty result; without usable
 labels everything stays. Other columns are not read.
 """
 
@@ -43,10 +44,12 @@ def ngram_buckets(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _target_ids(labels: DataFrame, limit: int) -> tuple[np.ndarray, float]:
-    """Ids of good labelled documents (at most limit, by smallest hash) and the share of good labels."""
+def _target_ids(labels: DataFrame, docs: DataFrame, limit: int) -> tuple[np.ndarray, float]:
+    """Ids of good labelled documents that are not toxic (at most limit, by smallest hash), and the
+    share of good ones among the labels of docs (doc_id)."""
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", good.alias("good"), (F.col("quality") == 1).alias("fine"))
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good"), (F.col("quality") == 1).alias("fine"))
+    known = known.join(docs, "doc_id", "left_semi")
     share = known.agg(F.avg(F.col("fine").cast("double"))).first()[0]
     rows = known.where("good").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
     return np.array(sorted({r[0] for r in rows}), np.int64), 1.0 if share is None else share
@@ -119,7 +122,7 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: int = TARGETS, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, key and kept for every row of docs."""
-    target, share = _target_ids(labels, targets)
+    target, share = _target_ids(labels, docs.select(F.col(id_col).cast("long").alias("doc_id")), targets)
     ratios = log_ratios(docs, target, BUCKETS, id_col, text_col) if len(target) else np.zeros(BUCKETS)
     scored = common.durable(gumbel_keys(log_weights(docs, ratios, id_col, text_col), seed), "importance")
     total = scored.count()

@@ -1,8 +1,17 @@
 import datetime
+import math
 import random
+import re
+import struct
+import zlib
+from collections import Counter
 
 import corpus_pipeline
-from helpers import CLASHING, documents, empty, text
+import numpy as np
+import public_tokenizers
+import xxhash
+from helpers import CLASHING, documents, empty, squeezed, text
+from tokenizers import Tokenizer
 
 from tallyfold.llm import chat_format, importance, url_filter
 from tallyfold.llm.jaccard_join import jaccard_components
@@ -31,6 +40,88 @@ def test_classifier_keeps_good_and_drops_junk(spark):
     assert len(kept & junk) <= 2 and len(kept - junk) >= 155
 
 
+def classify_by_hand(texts, good, share):
+    """Log weights, keys and the draw, restated with plain integers and dictionaries."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    def grams(t):
+        words = [xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()]
+        return [mix(w) % 10_000 for w in words] + [mix((a * 0x9E3779B97F4A7C15 + b) & top) % 10_000 for a, b in zip(words, words[1:])]
+
+    counts = {i: Counter(grams(t)) for i, t in texts.items()}
+    raw, target = sum(counts.values(), Counter()), sum((counts[i] for i in good), Counter())
+    n_raw, n_target = sum(raw.values()) + 10_000, sum(target.values()) + 10_000
+    ratio = lambda g: math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw)
+    weight = {i: sum(n * ratio(g) for g, n in c.items()) for i, c in counts.items()}
+
+    def key(i):
+        bits = xxhash.xxh64_intdigest(struct.pack("<i", 20), xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) >> 11
+        return weight[i] - math.log(-math.log((bits + 0.5) / (1 << 53)))
+
+    keys = {i: key(i) for i in texts}
+    least = sorted(keys.values(), reverse=True)[round(share * len(texts)) - 1]
+    return weight, keys, {i for i in texts if keys[i] >= least}
+
+
+def test_classifier_matches_a_plain_restatement(spark):
+    texts, labels = labelled(spark)
+    texts |= {500: None, 501: "", 502: "One word"}
+    known = [(r.doc_id, r.quality, r.toxic) for r in labels.collect() if r.doc_id in texts and r.quality is not None]
+    share = sum(q for _, q, _ in known) / len(known)
+    weight, keys, kept = classify_by_hand(texts, {i for i, q, t in known if q == 1 and t == 0}, share)
+    rows = importance.classify(documents(spark, texts), labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r.log_weight - weight[r.doc_id]) < 1e-6 and abs(r.key - keys[r.doc_id]) < 1e-6
+    assert {r.doc_id for r in rows if r.kept} == kept
+
+
+def test_pipeline_matches_a_plain_restatement(spark, tmp_path):
+    """The run's documents, by brute force: the draw, exact copies, components of 5-word shingles."""
+    texts, labels = labelled(spark)
+    good = [t for i, t in texts.items() if i % 5]
+    texts |= {300: good[0], 301: good[1] + " w1", 302: good[2] + " password: hunter2222", 303: good[0] + " \n", 304: None, 305: ""}
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    known = [(r.doc_id, r.quality, r.toxic) for r in labels.collect() if r.doc_id in texts and r.quality is not None]
+    _, _, kept = classify_by_hand(texts, {i for i, q, t in known if q == 1 and t == 0}, sum(q for _, q, _ in known) / len(known))
+    groups = {}
+    for i in sorted(kept):
+        groups.setdefault(squeezed(texts[i]), []).append(i)
+    kept = {min(g, key=lambda i: (-len(texts[i] or ""), i)) for g in groups.values()}
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets, parent = {i: shingles(texts[i]) for i in kept}, {i: i for i in kept}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    kept = {i for i in kept if find(i) == i}
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for i in kept:
+        masked = re.sub(r"password: hunter2222", MARK, texts[i] or "")
+        ids = np.array([*tokens.encode(masked, add_special_tokens=False).ids, 1], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+
+
 def test_classifier_on_odd_inputs(spark):
     _, labels = labelled(spark)
     assert importance.classify(empty(spark), labels).collect() == []
