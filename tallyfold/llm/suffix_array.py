@@ -153,7 +153,8 @@ def _ranks(text: np.ndarray, places: np.ndarray, following: np.ndarray, size: in
         at += per
         tied = ~new
         tied[:-1] |= ~new[1:]
-        open_ = open_[tied & (length[open_] >= at)]
+        # a substring is told apart from a longer one by the mark behind its end
+        open_ = open_[tied & (length[open_] + 1 >= at)]
     present = np.zeros(len(places) + 1, np.int64)
     present[rank] = 1
     return (np.cumsum(present) - 1)[rank]
@@ -192,13 +193,20 @@ def common_prefixes(text: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np
     inner = ~compared
     compared[inner] = text[at[inner] - 1] != text[before[inner] - 1]
     length = np.zeros(n, np.int64)
+    # several symbols at a time, the first one lowest; the end mark differs from any other symbol
+    bits = int(text.max()).bit_length() or 1
+    per = 62 // bits
+    packed = np.zeros(n, np.int64)
+    for j in range(min(per, n)):
+        packed[: n - j] |= text[j:] << (bits * j)
     open_ = np.flatnonzero(compared & (before >= 0))
     k = 0
     while len(open_):
-        ok = (open_ + k < n) & (before[open_] + k < n)
-        open_ = open_[ok]
-        open_ = open_[text[open_ + k] == text[before[open_] + k]]
-        length[open_] += 1
-        k += 1
+        unlike = packed[open_ + k] ^ packed[before[open_] + k]
+        here = unlike != 0
+        _, lowest = np.frexp((unlike[here] & -unlike[here]).astype(float))
+        length[open_[here]] = k + (lowest - 1) // bits
+        open_ = open_[~here]
+        k += per
     reach = np.where(compared, length + at, 0)
     return before, np.maximum(np.maximum.accumulate(reach) - at, 0)

@@ -44,7 +44,7 @@ from tallyfold.llm.suffix_array import common_prefixes, suffix_array
 WINDOW = 400
 GRAM = 200
 #: Bytes per shard, different fragments of one anchor that shards take, and in one batch.
-SHARD, HOT, LOCAL = 750_000, 1000, 8
+SHARD, HOT, LOCAL = 750_000, 1000, 32
 #: One in CUT anchors begins a new chunk.
 CUT = 64
 #: Bytes of text per anchor range, of a batch, and hashed at a time.

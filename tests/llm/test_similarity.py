@@ -111,6 +111,27 @@ def passages():
     return out
 
 
+def test_suffix_array_of_repetitive_texts():
+    rng = random.Random(6)
+    for wide in (40, 3000, 1 << 21) * 15:
+        blocks = [[rng.choice((rng.randint(1, wide), rng.randint(1, 9))) for _ in range(rng.randint(1, 40))] for _ in range(4)]
+        listed = [x for _ in range(30) for x in rng.choice(blocks)] + [0]
+        array = suffix_array.suffix_array(np.array(listed))
+        assert array.tolist() == sorted(range(len(listed)), key=lambda i: listed[i:])
+
+
+def test_ranks_tell_a_substring_from_a_longer_one():
+    rng = random.Random(9)
+    for size in (4, 1000, 70_000):
+        runs = [[rng.randint(1, size - 1) for _ in range(rng.randint(1, 9))] for _ in range(6)]
+        subs = [run[: rng.randint(1, len(run))] for run in runs * 20]
+        text = np.array([x for r in subs for x in r])
+        length = np.array([len(r) for r in subs])
+        places = np.cumsum(length) - length
+        want = {x: i for i, x in enumerate(sorted({(*r, size) for r in subs}))}
+        assert suffix_array._ranks(text, places, places + length - 1, size).tolist() == [want[(*r, size)] for r in subs]
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_removed_bytes_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
