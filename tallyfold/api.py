@@ -39,8 +39,8 @@ from tallyfold.operators.strategies import LRChannelStrategy as LinearRegression
 from tallyfold.operators.strategies import SMACrossoverParams as StrategyParams
 from tallyfold.operators.strategies import StochasticParams as StochasticDivergenceParams
 from tallyfold.operators.strategies import StochasticStrategy as StochasticDivergenceStrategy
-from tallyfold.operators.walkforward import best_timeframe, combined_windows, default_score, pick_best_params, walk_forward
-from tallyfold.sources.bars import DatasetMeta, LazyDataset, build_lazy_grid, discover_datasets, grid_bars, load_all, load_all_lazy, load_csv, resample_ohlc, ticks_to_bars
+from tallyfold.operators.walkforward import WFOResult, best_timeframe, combined_windows, default_score, pick_best_params, walk_forward
+from tallyfold.sources.bars import DatasetMeta, GridSpec, LazyDataset, build_lazy_grid, discover_datasets, folder_bars, grid_bars, load_all, load_all_lazy, load_csv, resample_ohlc, reshape_grid_results, ticks_to_bars
 from tallyfold.sources.cache import ResultCache
 
 #: A grid cell is a row of keys; walking forward over a grid is walking forward over a keyed table.

@@ -86,7 +86,8 @@ def parameter_sensitivity(bars: DataFrame, base, variations: dict[str, list], st
             params = replace(base, **{name: value})
             result = run(strategy_cls(params, keys).signals(bars), Execution.of(params), keys)
             parts.append(result.select(*keys, F.lit(name).alias("param"), F.lit(float(value)).alias("value"), "ts", "equity", "trades"))
-    result = reduce(DataFrame.unionByName, parts)
+    # trades, equity and keys are read apart; the pass over the bars is made once
+    result = reduce(DataFrame.unionByName, parts).persist()
     by = (*keys, "param", "value")
     trades, equity = trades_of(result, by), equity_of(result, by)
     if joint is None:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import fields
 from functools import reduce
 from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,23 @@ EXECUTION = ("sl_atr_mult", "tp_atr_mult")
 LEAST_ROWS = 50
 
 
+class WFOResult(NamedTuple):
+    """windows has a row per series and fold; trades and equity are those of the second parts."""
+
+    windows: DataFrame
+    trades: DataFrame
+    equity: DataFrame
+
+    @property
+    def best_params(self) -> DataFrame:
+        return pick_best_params(self.windows, [c for c in self.windows.columns if c in KEYS])
+
+    @property
+    def mean_degradation(self) -> DataFrame:
+        """Mean ratio of second to first part of each series."""
+        return self.windows.groupBy(*[c for c in self.windows.columns if c in KEYS]).agg(F.avg("degradation_ratio").alias("degradation_ratio"))
+
+
 def default_score() -> Column:
     """Daily Sharpe ratio, else the one per trade; null with fewer than five trades."""
     return F.when(F.col("num_trades") >= 5, F.coalesce("sharpe_daily", "sharpe_per_trade"))
@@ -37,7 +55,7 @@ def split_folds(bars: DataFrame, n_splits: int, oos_ratio: float, keys=KEYS) ->
     numbered = numbered.withColumn("fold", F.least(F.floor(F.col("_i") / F.greatest(size, F.lit(1))), F.lit(n_splits - 1)).cast("int"))
     inside = Window.partitionBy(*keys, "fold")
     numbered = numbered.withColumns({"_k": F.row_number().over(inside.orderBy("ts")) - 1, "_m": F.count(F.lit(1)).over(inside)})
-    split = F.greatest(F.lit(1), F.floor(F.col("_m") * (1.0 - oos_ratio) + 1e-12))
+    split = F.greatest(F.lit(1), F.floor(F.col("_m") * (1.0 - oos_ratio)))
     return numbered.where((F.col("_m") >= LEAST_ROWS) & (split < F.col("_m"))).withColumn("segment", F.when(F.col("_k") < split, "is").otherwise("oos")).drop("_i", "_n", "_k", "_m")
 
 
@@ -65,7 +83,7 @@ def grid_results(bars: DataFrame, strategy_cls, combos: list[dict], keys) -> tup
     return trades_of(result, by), equity_of(result, by)
 
 
-def walk_forward(bars: DataFrame, grid: dict[str, list], strategy_cls, n_splits: int = 5, oos_ratio: float = 0.25, score: Callable[[], Column] = default_score, keys=KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def walk_forward(bars: DataFrame, grid: dict[str, list], strategy_cls, n_splits: int = 5, oos_ratio: float = 0.25, score: Callable[[], Column] = default_score, keys=KEYS) -> WFOResult:
     """(windows, trades, equity): the best combination of each fold's first part, run on its second.
 
     The first of equally good combinations wins; without any finite score the class defaults run.
@@ -97,7 +115,7 @@ def walk_forward(bars: DataFrame, grid: dict[str, list], strategy_cls, n_splits:
         F.col("profit_factor").alias("oos_profit_factor"), F.col("win_rate").alias("oos_win_rate"), F.col("num_trades").alias("oos_trades"),
         F.when(F.col("is_score") > 0, F.col("sharpe_daily") / F.col("is_score")).alias("degradation_ratio"), *[f"param_{n}" for n in grid],
     )
-    return windows, trades.drop("combo"), stitched(equity.drop("combo"), keys)
+    return WFOResult(windows, trades.drop("combo"), stitched(equity.drop("combo"), keys))
 
 
 def stitched(equity: DataFrame, keys=KEYS) -> DataFrame:

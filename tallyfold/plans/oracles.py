@@ -92,6 +92,13 @@ def adx(n: int, source: str = "base") -> list[str]:
 
 
 SMA = f"sma_t AS (SELECT *, {full('avg', 'close', 20)} AS sma_fast, {full('avg', 'close', 50)} AS sma_slow FROM base), sma_d AS (SELECT *, sma_fast - sma_slow AS sma_diff FROM sma_t)"
+
+
+def sma_signals(fast: int, slow: int, start: tuple[str, ...] = START) -> list[str]:
+    averages = f"sma_t AS (SELECT *, {full('avg', 'close', fast)} AS sma_fast, {full('avg', 'close', slow)} AS sma_slow FROM base), sma_d AS (SELECT *, sma_fast - sma_slow AS sma_diff FROM sma_t)"
+    return [*start, averages, signal_sql("sma_d", up("sma_diff"), down("sma_diff"), "")]
+
+
 BOLLINGER = f"""bb_1 AS (SELECT *, {full('avg', 'close', 20)} AS bb_mid, 2 * {full('stddev_samp', 'close', 20)} AS dev FROM base),
     bb_2 AS (SELECT *, bb_mid + dev AS bb_upper, bb_mid - dev AS bb_lower, (bb_mid + dev - (bb_mid - dev)) / bb_mid AS bb_width FROM bb_1),
     bb AS (SELECT *, coalesce((bb_width <= {full('min', 'bb_width', 20)})::INTEGER, 0) AS squeeze FROM bb_2)"""
@@ -225,3 +232,42 @@ def metrics(keys: str, trades: str = "trades", equity: str = "equity") -> str:
 
 
 TRADE_COLUMNS = 'entry_time, exit_time, direction, round(entry, 6) AS entry, round("exit", 6) AS "exit", reason, round(pnl_points, 6) AS pnl_points, bars_held, round(size, 6) AS size'
+
+
+def folds(n_splits: int, oos_ratio: float) -> str:
+    """CTE cut: hourly bars with fold, segment and `series` (asset, fold and segment in one)."""
+    return BARS.replace("bars AS", "hours AS", 1) + f""",
+    counted AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM hours),
+    parted AS (SELECT *, least(i // greatest(n // {n_splits}, 1), {n_splits - 1}) AS fold FROM counted),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY asset, fold ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY asset, fold) AS m FROM parted),
+    cut AS (SELECT *, CASE WHEN k < greatest(1, floor(m * {1.0 - oos_ratio!r}::DOUBLE)) THEN 'is' ELSE 'oos' END AS segment FROM placed WHERE m >= 50 AND greatest(1, floor(m * {1.0 - oos_ratio!r}::DOUBLE)) < m)"""
+
+
+def fold_results(combos: list[dict], n_splits: int, oos_ratio: float) -> str:
+    """Per series of folds() and combination (the last one stands for the class defaults): metrics."""
+    bars = "bars AS (SELECT asset || '|' || fold || '|' || segment AS asset, ts, open, high, low, close, tick_vol FROM cut)"
+    parts = []
+    for i, c in enumerate([*combos, {}]):
+        ctes = [folds(n_splits, oos_ratio), *sma_signals(c.get("fast", 20), c.get("slow", 50), (bars, TR, atr())), stepper(c.get("sl_atr_mult", 2.0), c.get("tp_atr_mult", 3.0)), metrics("asset")]
+        wanted = "asset, num_trades, total_pnl, win_rate, profit_factor, ratio AS sharpe, CASE WHEN sd > 0 THEN b.expectancy / (sd / sqrt(num_trades)) END AS t"
+        parts.append(f"SELECT {i} AS combo, * FROM ({query(*ctes, select=f'SELECT {wanted} FROM base_m b LEFT JOIN sharpe USING (asset)')})")
+    return " UNION ALL ".join(parts)
+
+
+def walk_forward(grid: dict[str, list], combos: list[dict], n_splits: int, oos_ratio: float) -> str:
+    """CTEs up to wfo: one row per asset and fold."""
+    values = ", ".join(str((i, *[str(c.get(n, {"fast": 20, "slow": 50, "sl_atr_mult": 2.0, "tp_atr_mult": 3.0}[n])) for n in grid])) for i, c in enumerate([*combos, {}]))
+    limits = ", ".join(f"{f}(ts) FILTER (segment = '{s}') AS {s}_{n}" for s in ("is", "oos") for f, n in (("min", "start"), ("max", "end")))
+    names = ", ".join(f"param_{n}" for n in grid)
+    return f"""{folds(n_splits, oos_ratio)},
+    results AS MATERIALIZED (SELECT combo, num_trades, total_pnl, win_rate, profit_factor, sharpe, CASE WHEN num_trades >= 5 THEN coalesce(sharpe, t) END AS score,
+        string_split(asset, '|')[1] AS asset, string_split(asset, '|')[2]::INTEGER AS fold, string_split(asset, '|')[3] AS segment FROM ({fold_results(combos, n_splits, oos_ratio)})),
+    limits AS (SELECT asset, fold::INTEGER AS fold, {limits} FROM cut GROUP BY 1, 2),
+    best AS (SELECT asset, fold, combo, score FROM results WHERE segment = 'is' AND combo < {len(combos)} AND score IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY asset, fold ORDER BY score DESC, combo) = 1),
+    given(combo, {names}) AS (VALUES {values}),
+    wfo AS (SELECT l.asset, l.fold, is_start, is_end, oos_start, oos_end, b.score AS is_score, coalesce(r.total_pnl, 0) AS oos_pnl, r.sharpe AS oos_sharpe, r.profit_factor AS oos_profit_factor,
+        r.win_rate AS oos_win_rate, coalesce(r.num_trades, 0) AS oos_trades, CASE WHEN b.score > 0 THEN r.sharpe / b.score END AS degradation_ratio, {names}
+        FROM limits l LEFT JOIN best b ON b.asset = l.asset AND b.fold = l.fold
+        LEFT JOIN results r ON r.asset = l.asset AND r.fold = l.fold AND r.segment = 'oos' AND r.combo = coalesce(b.combo, {len(combos)})
+        JOIN given g ON g.combo = coalesce(b.combo, {len(combos)}))"""

@@ -470,13 +470,18 @@ def equity_cone(spark, sf_dir):
 _GRID = {"fast": [5, 10], "slow": [30, 50], "sl_atr_mult": [1.5, 2.5], "tp_atr_mult": [2.0, 4.0]}
 
 
+_WFO = o.walk_forward(_GRID, walkforward.combinations(_GRID), 3, 0.25)
+_WFO_NUMBERS = ("is_score", "oos_pnl", "oos_sharpe", "oos_profit_factor", "oos_win_rate", "degradation_ratio")
+
+
 def _wfo(spark, sf_dir):
     return walkforward.walk_forward(hourly(spark, sf_dir), _GRID, st.SMACrossoverStrategy, 3, 0.25)
 
 
-@query()
+@query(o.query(_WFO, select=f"SELECT * REPLACE ({', '.join(f'round({n}, 4) AS {n}' for n in _WFO_NUMBERS)}) FROM wfo"))
 def walk_forward_windows(spark, sf_dir):
-    return _wfo(spark, sf_dir)[0]
+    windows = _wfo(spark, sf_dir)[0].drop("group", "tf")
+    return windows.select(*[F.round(c, 4).alias(c) if c in _WFO_NUMBERS else c for c in windows.columns])
 
 
 @query()
@@ -484,9 +489,10 @@ def walk_forward_equity(spark, sf_dir):
     return _wfo(spark, sf_dir)[2]
 
 
-@query()
+@query(o.query(_WFO, select="""SELECT * FROM (SELECT asset, param_fast, param_slow, param_sl_atr_mult, param_tp_atr_mult, count(*) AS folds, min(fold) AS first_fold FROM wfo GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY asset ORDER BY folds DESC, first_fold) = 1"""))
 def walk_forward_params(spark, sf_dir):
-    return walkforward.pick_best_params(_wfo(spark, sf_dir)[0])
+    return walkforward.pick_best_params(_wfo(spark, sf_dir)[0]).drop("group", "tf")
 
 
 @query()
@@ -511,7 +517,7 @@ def sensitivity(spark, sf_dir):
     return out.select("asset", "param", "value", "num_trades", F.round("total_pnl", 4).alias("total_pnl"), F.round("win_rate", 6).alias("win_rate"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT 'fast' AS param, {v}::DOUBLE AS value, * FROM ({o.query(*o.sma_signals(v, 50), o.stepper(2.0, 3.0), select='SELECT count(*) AS num_trades, round(sum(pnl_points), 4) AS total_pnl FROM trades')})" for v in (10, 30)))
 def sensitivity_joint(spark, sf_dir):
     out = robustness.parameter_sensitivity(hourly(spark, sf_dir), st.SMACrossoverParams(), {"fast": [10, 30]}, st.SMACrossoverStrategy, joint=("group", "tf"))
     return out.select("param", "value", "num_trades", F.round("total_pnl", 4).alias("total_pnl"))

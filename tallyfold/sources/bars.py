@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -188,6 +189,46 @@ def build_lazy_grid(spark: SparkSession, data_dir: str, group_timeframes: dict[s
     return grid
 
 
+@dataclass(frozen=True)
+class GridSpec:
+    """One cell of a grid as plain values: it can be stored or sent, and loads its bars anywhere."""
+
+    group: str
+    timeframe: str
+    asset: str
+    path: str
+    source_timeframe: str
+
+    @classmethod
+    def from_lazy(cls, key: tuple[str, str, str], data: LazyDataset) -> GridSpec:
+        return cls(*key, data.meta.path, data.meta.timeframe)
+
+    @property
+    def key(self) -> tuple[str, str, str]:
+        return self.group, self.timeframe, self.asset
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        bars = load_csv(spark, self.path, self.group)
+        return resample_ohlc(bars, self.timeframe) if self.source_timeframe in RESAMPLED_SOURCES and self.timeframe != self.source_timeframe else bars
+
+
+def reshape_grid_results(flat: dict[tuple[str, str, str], object]) -> dict[str, dict[str, dict[str, object]]]:
+    """Results by (group, tf, asset) as nested dictionaries, in the order given."""
+    groups = dict.fromkeys(g for g, _, _ in flat)
+    frames = {g: dict.fromkeys(t for h, t, _ in flat if h == g) for g in groups}
+    return {g: {t: {a: found for (h, u, a), found in flat.items() if (h, u) == (g, t)} for t in frames[g]} for g in groups}
+
+
+def folder_bars(spark: SparkSession, data_dir: str) -> Callable[[str, list[str]], DataFrame | None]:
+    """bars_for(group, timeframes) over the files of a folder, for run_all_strategies."""
+
+    def bars_for(group: str, frames: list[str]) -> DataFrame | None:
+        cells = {k: d for k, d in build_lazy_grid(spark, data_dir, {group: frames}).items() if k[0] == group}
+        return grid_bars(cells) if cells else None
+
+    return bars_for
+
+
 def grid_bars(grid: dict[tuple[str, str, str], LazyDataset]) -> DataFrame:
     """A grid as one long table; its keys are columns."""
     parts = [data.load().withColumn("tf", F.lit(tf)) for (_, tf, _), data in grid.items()]

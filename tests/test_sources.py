@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import compare
 from tallyfold.operators import strategies as st
+from tallyfold.operators.walkforward import split_folds
 from tallyfold.sources import bars as src
 from tallyfold.sources.cache import ResultCache
 from tallyfold.streaming.bars import stream_bars
@@ -86,3 +87,20 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     columns = ["asset", "ts", "open", "high", "low", "close", "tick_vol"]
     assert sorted(map(tuple, spark.table("made").select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
     assert batch.agg(F.sum("tick_vol")).first()[0] == 200
+
+
+def test_grid_specs_load_and_results_reshape(spark, folder):
+    grid = src.build_lazy_grid(spark, folder, {"forex": ["1h"]})
+    (key, data), = grid.items()
+    spec = src.GridSpec.from_lazy(key, data)
+    assert spec.key == ("forex", "1h", "EURUSD") and spec.load(spark).count() == data.load().count() == 3
+    assert src.reshape_grid_results({spec.key: 1, ("forex", "4h", "X"): 2, ("b3", "1h", "Y"): 3}) == {"forex": {"1h": {"EURUSD": 1}, "4h": {"X": 2}}, "b3": {"1h": {"Y": 3}}}
+    bars_for = src.folder_bars(spark, folder)
+    assert bars_for("b3", ["1h"]) is None and {r["tf"] for r in bars_for("forex", ["1h", "4h"]).select("tf").distinct().collect()} == {"1h", "4h"}
+
+
+def test_first_parts_are_cut_by_the_truncated_product(spark):
+    for rows, ratio, want in ((90, 0.3, 62), (50, 0.9, 4), (80, 0.25, 60)):
+        day = [(("g", "a", "1h"), i) for i in range(rows)]
+        table = spark.createDataFrame([(*k, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i)) for k, i in day], "`group` string, asset string, tf string, ts timestamp_ntz")
+        assert split_folds(table, 1, ratio).where("segment = 'is'").count() == want
