@@ -54,17 +54,20 @@ def _assistant_chars(turns: Column) -> Column:
 
 
 def rendered(turns: Column) -> Column:
-    """Struct of the text of the turns and the spans of assistant text in it."""
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<s:int,e:int>>").alias("mask"))
+    """Struct of the text of the turns and the spans of assistant text in it. The text is joined at
+    once and the fold carries numbers only, so long conversations are not copied turn by turn."""
+    head = lambda t: F.concat(F.lit(START), F.coalesce(t["role"], F.lit("")), F.lit(MIDDLE))
+    body = lambda t: F.concat(F.coalesce(t["text"], F.lit("")), F.lit(END))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("mask"))
 
     def step(acc: Column, t: Column) -> Column:
-        head = F.concat(F.lit(START), t["role"], F.lit(MIDDLE))
-        body = F.concat(t["text"], F.lit(END))
-        s = F.char_length(acc["text"]) + F.char_length(head)
-        span = F.array(F.struct(s.alias("s"), (s + F.char_length(body)).alias("e")))
-        return F.struct(F.concat(acc["text"], head, body).alias("text"), F.when(t["role"] == "assistant", F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
+        s = acc["at"] + F.char_length(head(t))
+        e = s + F.char_length(body(t))
+        span = F.array(F.struct(s.alias("s"), e.alias("e")))
+        return F.struct(e.alias("at"), F.when(t["role"] == "assistant", F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
 
-    return F.aggregate(turns, start, step)
+    text = F.array_join(F.transform(turns, lambda t: F.concat(head(t), body(t))), "")
+    return F.struct(text.alias("text"), F.aggregate(turns, start, step, lambda acc: acc["mask"]).alias("mask"))
 
 
 def common_turns(a: Column, b: Column) -> Column:

@@ -173,7 +173,7 @@ def pack(pieces: DataFrame, n_docs: int, size: int = SEQUENCE, group: int = GROU
         rows["offset"] = offset
         return rows.drop(columns="grp")
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     return common.map_groups(dealt, ["grp"], run, PACKED)
 
 

@@ -238,3 +238,17 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
             assert all("hunter2222" not in (r.text or "") for r in docs.collect())
             assert docs.where(docs.text.contains(MARK)).count() <= 2
     assert 300 not in {r.doc_id for r in docs.collect()} and corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_clashing_columns_and_a_very_long_conversation(spark):
+    extra = ", ".join(f"{c} string" for c in CLASHING if c not in ("key",))
+    more = tuple(c for c in CLASHING if c not in ("key",))
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " * 20) for k in range(3000)] + [(0, 0, "user", "q"), (0, 1, "assistant", None)]
+    table = spark.createDataFrame([(*t, *more) for t in turns], f"conv_id long, turn long, role string, text string, {extra}")
+    got = {r.chosen_id: r for r in chat_format.preference_format(chat_format.swapped_pairs(chat_format.conversations_of(table))).collect()}
+    whole = [(r, t) for _, _, r, t in turns[:2999]]
+    assert got[1].n_shared == 2999 and got[1].prompt == drawn(whole)[0]
+    assert (got[1].chosen, got[1].chosen_mask) == drawn([turns[2999][2:]]) and (got[0].chosen, got[0].chosen_mask) == drawn([("assistant", "")])
+    captures = spark.createDataFrame([(1, "http://a.bad.com/x", 5, *more), (1, "http://a.bad.com/x", 5, *more)], f"page_id long, url string, fetched_at long, {extra}")
+    listed = spark.createDataFrame([("bad.com", 1, True, *more)], f"host string, listed_at long, active boolean, {extra}")
+    assert [(r.page_id, r.matched, r.blocked) for r in url_filter.filter_urls(captures, listed).collect()] == [(1, "bad.com", True)] * 2
