@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import common
-from tallyfold.llm.bpe import Remembered
 
 SEQUENCE = 4096
 END = 1
+#: Bytes of text that are encoded together.
+SLICE = 2 << 20
 #: Rests that one group holds on average.
 GROUP = 50_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -49,16 +50,38 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Remembered(room, self._encode)
+        self.known: dict[str, bytes] = {}
+        self.room = room
+        # tokens that end a word
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words together, with spaces between them, and tell them apart by their last tokens."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = self._encode(" ".join(part))
+            stop = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
+            if len(stop) == len(part) and stop[-1] == len(ids):
+                self.known.update(zip(part, (ids[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)), strict=True))
+            else:
+                self.known.update((w, self._encode(w)) for w in part)
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
         # white space and letter case need no further care in plain texts; "<|" may start a special token
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.known.__getitem__, _WORDS.findall(text.lower())))
-        return self._encode(text)
+        split = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        words = set().union(*(x for x in split if x))
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.room:
+            self.known.clear()
+            new = words
+        self._learn(sorted(new))
+        of = self.known.__getitem__
+        return [self._encode(t) if x is None else b"".join(map(of, x)) for t, x in zip(texts, split, strict=True)]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -71,11 +94,11 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if path not in _LOADED:
             _LOADED[path] = WordTokenizer(path)
         tokenizer, tail = _LOADED[path], end.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 1, SLICE, whole.num_rows)):
             rows: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                data = memoryview(tokenizer.ids(batch.column(1)[i].as_py() or "") + tail)
+            for i, found in enumerate(tokenizer.all_ids([t or "" for t in batch.column(1).to_pylist()])):
+                data = memoryview(found + tail)
                 total = len(data) // 4
                 for k, at in enumerate(range(0, total, size)):
                     upto = min(at + size, total)
