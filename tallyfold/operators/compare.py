@@ -34,26 +34,26 @@ class StrategyRegistration:
 _FOREX, _FULL_DAY = "forex", {"session_start": 9, "session_end": 18}
 # Fixed values of the registry: name, number, timeframes of forex, timeframes of b3.
 _ROWS = (
-    ("SMA Crossover", "01", "1h 4h 1D", "1min 5min 15min 30min"),
-    ("RSI Mean Reversion", "02", "15min 1h 4h", ""),
-    ("BB Squeeze Breakout", "03", "1h 4h 1D", "1h 4h 1D"),
-    ("MACD Histogram", "04", "1h 4h 1D", "1h 4h 1D"),
-    ("Donchian Breakout", "05", "4h 1D", "1h 4h"),
-    ("EMA Ribbon + RSI", "06", "1h 4h", "15min 1h"),
-    ("Keltner Reversion", "07", "1h 4h", ""),
-    ("Hurst Regime Switcher", "08", "4h 1D", "1h 4h"),
-    ("Dual Thrust Intraday", "09", "", "5min 15min"),
-    ("HMM Regime Filter", "10", "4h 1D", "1h 4h"),
-    ("VWAP Intraday Reversion", "11", "", "5min 15min"),
-    ("Stochastic Divergence", "12", "1h 4h", "15min 1h"),
-    ("LR Channel", "13", "4h 1D", "1h 4h"),
-    ("FFT Cycle Filter", "14", "4h 1D", "1h 4h"),
+    ("SMA Crossover", "01", ["1h", "4h", "1D"], ["1min", "5min", "15min", "30min"]),
+    ("RSI Mean Reversion", "02", ["15min", "1h", "4h"], []),
+    ("BB Squeeze Breakout", "03", ["1h", "4h", "1D"], ["1h", "4h", "1D"]),
+    ("MACD Histogram", "04", ["1h", "4h", "1D"], ["1h", "4h", "1D"]),
+    ("Donchian Breakout", "05", ["4h", "1D"], ["1h", "4h"]),
+    ("EMA Ribbon + RSI", "06", ["1h", "4h"], ["15min", "1h"]),
+    ("Keltner Reversion", "07", ["1h", "4h"], []),
+    ("Hurst Regime Switcher", "08", ["4h", "1D"], ["1h", "4h"]),
+    ("Dual Thrust Intraday", "09", [], ["5min", "15min"]),
+    ("HMM Regime Filter", "10", ["4h", "1D"], ["1h", "4h"]),
+    ("VWAP Intraday Reversion", "11", [], ["5min", "15min"]),
+    ("Stochastic Divergence", "12", ["1h", "4h"], ["15min", "1h"]),
+    ("LR Channel", "13", ["4h", "1D"], ["1h", "4h"]),
+    ("FFT Cycle Filter", "14", ["4h", "1D"], ["1h", "4h"]),
 )
 
 
-def _registered(name: str, number: str, forex: str, b3: str) -> StrategyRegistration:
+def _registered(name: str, number: str, forex: list[str], b3: list[str]) -> StrategyRegistration:
     cls = st.ALL[number]
-    frames = {g: t.split() for g, t in ((_FOREX, forex), ("b3", b3)) if t}
+    frames = {g: t for g, t in ((_FOREX, forex), ("b3", b3)) if t}
     own_session = cls.params_class().session_start is not None
     return StrategyRegistration(name, number, cls, cls.params_class, frames, {}, dict(_FULL_DAY) if b3 and not own_session else {})
 
