@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from tallyfold.llm import common
 from tallyfold.llm.bpe import encode_digest
 from tallyfold.llm.chat_format import conversations_of, preference_format, swapped_pairs
+from tallyfold.llm.divergence import source_divergence
 from tallyfold.llm.exact_dedup import exact_dedup
 from tallyfold.llm.importance import classify
 from tallyfold.llm.jaccard_join import jaccard_components
+from tallyfold.llm.max_score import top_products
 from tallyfold.llm.multi_index import neighbours
 from tallyfold.llm.packing import packed_documents
+from tallyfold.llm.prefix_trie import prefix_trie, rebuilt
 from tallyfold.llm.secret_scan import secret_digest
 from tallyfold.llm.suffix_dedup import suffix_dedup
 from tallyfold.llm.url_filter import filter_urls, host_of
@@ -72,6 +75,18 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(common.read(spark, sf_dir, "documents"))
+
+
+def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(common.read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(common.read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_temporal_url_filter": op8_temporal_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_prefix_bpe": op10_prefix_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_max_score": op12_max_score,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -167,4 +185,75 @@ ORACLE_SQL = {
         SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
         FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+        langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY 1),
+        groups_ AS (SELECT DISTINCT lang, source FROM d),
+        used AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        sizes AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups_ g LEFT JOIN used USING (lang, source) GROUP BY 1, 2),
+        p AS (
+            SELECT s.lang, s.source, k.term, coalesce(u.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 2)) // (s.total + 2 * l.v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v) AS q
+            FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = s.lang AND u.source = s.source AND u.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+            FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+                       FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) f
+                   ON f.lang = a.lang AND f.s = a.source AND f.o = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+    "op12_max_score": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id AS query_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY 1),
+        scored AS (
+            SELECT query_id, vec_id, coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+            FROM q JOIN v ON vec_id <> query_id)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+        WHERE rank <= 10
+    """,
+    "op13_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS x, length(coalesce(text, '')) AS n,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+            FROM conversations WHERE conv_id IS NOT NULL),
+        listed AS (SELECT conv_id, list({'x': x, 'n': n} ORDER BY k) AS t FROM own GROUP BY 1),
+        bits AS (
+            SELECT conv_id, t, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                   lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)::UBIGINT[]), lambda y, i: xor(y // 2, (y % 2) * 3988292384::UBIGINT))) AS crc
+            FROM listed),
+        mixed AS (
+            SELECT b.conv_id, list_concat(coalesce(o.t[1:xor(b.crc, 4294967295::UBIGINT) % 6], []), b.t[xor(b.crc, 4294967295::UBIGINT) % 6 + 1:]) AS t
+            FROM bits b LEFT JOIN listed o ON o.conv_id = b.conv_id - b.conv_id % 100),
+        rows_ AS (
+            SELECT conv_id, d, len(t) AS l, CASE WHEN d = 0 THEN '' ELSE array_to_string(list_transform(t[1:d], lambda z: z.x), '') END AS prefix,
+                   CASE WHEN d = 0 THEN NULL WHEN d = 1 THEN '' ELSE array_to_string(list_transform(t[1:d - 1], lambda z: z.x), '') END AS above,
+                   CASE WHEN d = 0 THEN 0 ELSE t[d].n END AS n
+            FROM mixed, unnest(range(len(t) + 1)) AS u(d)),
+        nodes AS (
+            SELECT prefix, any_value(above) AS above, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+                   string_agg(CASE WHEN d = l THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+            FROM rows_ GROUP BY 1),
+        kids AS (SELECT above AS prefix, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY 1),
+        whole AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (prefix)),
+        below AS (
+            SELECT r.prefix, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n_convs - 1) * w.n) AS saved
+            FROM whole w JOIN rows_ x ON x.conv_id = w.conv_id AND x.d = w.d JOIN rows_ r ON r.conv_id = x.conv_id AND r.d <= x.d GROUP BY 1)
+        SELECT w.conv_id, w.d::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+               b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+        FROM whole w JOIN below b USING (prefix) LEFT JOIN whole p ON p.prefix = w.above
+    """,
 }
