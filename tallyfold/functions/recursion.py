@@ -1,8 +1,9 @@
-"""Ordered recursions: exponential averages, Hurst exponents, cycle projections.
+"""Ordered recursions: exponential averages, and what Hurst exponents and cycle projections need.
 
 They have no window formulation, so each series goes to one Arrow-grouped call in time order; all
 recursions of a strategy share that call. Series are independent, and the parallel axis is the
-number of series (times parameter combinations and folds).
+number of series (times parameter combinations and folds). `functions/scan.py` spreads averages of
+one long series over many tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyfold.functions.kernels import KEYS
+from tallyfold.functions.rescaled_range import hurst, rolling_hurst
+from tallyfold.functions.scan import scannable, with_scanned
+from tallyfold.functions.spectrum import cycle_delta, cycle_weights, rolling_cycle
 from tallyfold.shipping import ship
 
+__all__ = ["Derived", "Ewm", "cycle_delta", "cycle_weights", "hurst", "rolling_cycle", "rolling_hurst", "span", "with_recursions"]
+
 
 @dataclass(frozen=True)
 class Ewm:
@@ -36,10 +42,12 @@ class Ewm:
 
 @dataclass(frozen=True)
 class Derived:
-    """A column computed from the frame's columns, between two averages."""
+    """A column computed from the frame's columns, between two averages; rowwise if each value
+    depends on its own row alone."""
 
     out: str
     make: Callable[[pd.DataFrame], np.ndarray]
+    rowwise: bool = False
 
     def of(self, frame: pd.DataFrame) -> np.ndarray:
         return np.asarray(self.make(frame), float)
@@ -49,8 +57,24 @@ def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 
 
-def with_recursions(df: DataFrame, specs: list, keys=KEYS) -> DataFrame:
-    """df with one double column for each spec, computed in order over each series."""
+#: Session setting: days of a block. Where it is set, averages are scanned block by block.
+SCAN_DAYS = "tallyfold.scan.days"
+
+
+def with_recursions(df: DataFrame, specs: list, keys=KEYS, days: int | None = None) -> DataFrame:
+    """df with one double column for each spec, computed in order over each series. With `days` (or
+    SCAN_DAYS set in the session) averages and what they need are computed in blocks of so many
+    days, so that one long series is many tasks."""
+    days = days or int(df.sparkSession.conf.get(SCAN_DAYS, "0"))
+    if days and any(isinstance(s, Ewm) and scannable(s) for s in specs):
+        # the others look back over rows of the bars themselves, never at an average
+        alone, whole = [s for s in specs if scannable(s)], [s for s in specs if not scannable(s)]
+        df = with_scanned(df, alone, keys, days)
+        return _whole_series(df, whole, keys) if whole else df
+    return _whole_series(df, specs, keys)
+
+
+def _whole_series(df: DataFrame, specs: list, keys) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *[T.StructField(s.out, T.DoubleType()) for s in specs]])
     order = [s.out for s in specs]
     needed = [c for c in df.columns if c not in order]
@@ -65,91 +89,3 @@ def with_recursions(df: DataFrame, specs: list, keys=KEYS) -> DataFrame:
 
     ship(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(run, schema)
-
-
-def hurst(values: np.ndarray, least: int = 8) -> float:
-    """Rescaled-range exponent: slope of log mean R/S over log chunk size, sizes doubling from
-    `least` to half the length; nan with fewer than two sizes."""
-    n, size, points = len(values), least, []
-    while size <= n // 2:
-        chunks = values[: n // size * size].reshape(-1, size)
-        walk = np.cumsum(chunks - chunks.mean(axis=1, keepdims=True), axis=1)
-        spread, dev = walk.max(axis=1) - walk.min(axis=1), chunks.std(axis=1)
-        if (dev > 0).any():
-            mean = (spread[dev > 0] / dev[dev > 0]).mean()
-            if mean > 0:
-                points.append((np.log(size), np.log(mean)))
-        size *= 2
-    if len(points) < 2:
-        return np.nan
-    x, y = np.array(points).T
-    return float(np.polyfit(x, y, 1)[0])
-
-
-def rolling_hurst(close: np.ndarray, window: int, least: int, step: int) -> np.ndarray:
-    """Exponent of the last `window` log returns, every `step` bars, carried forward between."""
-    returns = np.diff(np.log(close), prepend=np.nan)
-    out = np.full(len(close), np.nan)
-    for i in range(window, len(close), step):
-        part = returns[i - window + 1 : i + 1]
-        if not np.isnan(part).any():
-            out[i] = hurst(part, least)
-    return pd.Series(out).ffill().to_numpy()
-
-
-def cycle_band(n: int, shortest: int, longest: int) -> tuple[int, int]:
-    """First and last kept frequency of a length-n transform."""
-    return max(1, n // longest), -(-n // shortest)
-
-
-def cycle_weights(n: int, shortest: int, longest: int) -> np.ndarray:
-    """The projected change as weights on the last n log closes, without harmonic or power limits:
-    every step (detrending, taper, band, projection) is linear, so unit vectors give them."""
-    return np.array([cycle_delta(unit, shortest, longest) for unit in np.eye(n)])
-
-
-def _flat(frames: np.ndarray) -> np.ndarray:
-    return frames.max(axis=1) == frames.min(axis=1)
-
-
-def cycle_delta(logs: np.ndarray, shortest: int, longest: int, harmonics: int = 0, floor: float = 0.0) -> float:
-    """One-step projection of the band-limited cycle plus trend, minus its value now."""
-    n = len(logs)
-    x = np.arange(n)
-    centred = x - x.mean()
-    slope = (centred * logs).sum() / (centred * centred).sum()
-    start = logs.mean() - slope * x.mean()
-    taper = 0.5 - 0.5 * np.cos(2 * np.pi * x / (n - 1))
-    spectrum = np.fft.rfft((logs - start - slope * x) * taper)
-    power = np.abs(spectrum) ** 2
-    total = power[1:].sum()
-    if total <= 0:
-        return np.nan
-    low, high = cycle_band(n, shortest, longest)
-    keep = np.zeros(len(spectrum), bool)
-    keep[low : high + 1] = True
-    if floor > 0 and power[keep].sum() / total < floor:
-        return np.nan
-    if harmonics > 0 and keep.sum() > harmonics:
-        ranked = np.flatnonzero(keep)[np.argsort(-power[keep], kind="stable")]
-        keep[ranked[harmonics:]] = False
-    spectrum = np.where(keep, spectrum, 0)
-    scale = np.full(len(spectrum), 2.0 / n)
-    scale[0] = 1.0 / n
-    if n % 2 == 0:
-        scale[-1] = 1.0 / n
-    now = np.fft.irfft(spectrum, n)[-1] + start + slope * (n - 1)
-    ahead = (scale * spectrum.real).sum() + start + slope * n
-    return float(ahead - now)
-
-
-def rolling_cycle(close: np.ndarray, n: int, shortest: int, longest: int, harmonics: int, floor: float) -> np.ndarray:
-    out = np.full(len(close), np.nan)
-    if n >= 4 and len(close) >= n:
-        logs = pd.Series(np.log(close)).ffill().to_numpy()
-        frames = np.lib.stride_tricks.sliding_window_view(logs, n)
-        if harmonics == 0 and floor <= 0:
-            out[n - 1 :] = np.where(_flat(frames), np.nan, frames @ cycle_weights(n, shortest, longest))
-        else:
-            out[n - 1 :] = [cycle_delta(f, shortest, longest, harmonics, floor) for f in frames]
-    return out

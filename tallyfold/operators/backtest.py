@@ -1,14 +1,21 @@
-"""Event-driven back-test: one ordered pass over each series.
-
-Position, entry and running result depend on every earlier bar, so a series is folded in time order
-inside one Arrow-grouped call (grouped by its key, which may include combination and fold). The call
-returns one row per bar with the realised equity and the bar's trades (two at most: an exit, and the
-forced close of an entry on the last bar); trades and equity are both read from it.
+"""Event-driven back-test: one call per series, which works trade by trade instead of bar by bar.
+
+When a position leaves depends on its entry bar alone, never on the running result. So the exits of
+all possible entries of a series (bars with a signal and a range) are found together: the first bar
+beyond stop or target from blocks of minima and maxima, the next reversed signal and the next end of
+a session from sorted positions. What is left in order is to follow the chain from each exit to the
+next entry, and the sums over the trades taken.
+
+Position, entry and running result depend on every earlier trade, so a series is one Arrow-grouped
+call (grouped by its key, which may include combination and fold). The call returns one row per bar
+with the realised equity and the bar's trades (two at most: an exit, and the forced close of an
+entry on the last bar); trades and equity are both read from it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,95 +52,186 @@ class Execution:
         return cls(**shared, slippage_points=slippage_points, initial_capital=initial_capital)
 
 
+#: Why a position leaves, in the order in which reasons count on one bar; the last is the series' end.
+REASONS = ("SL", "TP", "SIGNAL", "SESSION_END", "EOD")
+#: The side of a position and its sizes are kept beside each trade's bars.
+_ARROW_TRADE = [("entry_time", pa.timestamp("us")), ("exit_time", pa.timestamp("us")), ("direction", pa.int32()), ("entry", pa.float64()), ("exit", pa.float64()), ("reason", pa.string()), ("pnl_points", pa.float64()), ("bars_held", pa.int64()), ("size", pa.float64())]
+
+
+class Extremes:
+    """Minima of low and maxima of high over aligned blocks of 1, 2, 4, ... bars."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        lows, highs = [low], [high]
+        while len(lows[-1]) > 1:
+            odd = [np.nan] * (len(lows[-1]) % 2)
+            low, high = np.append(lows[-1], odd), np.append(highs[-1], odd)
+            # missing values beat nothing
+            lows.append(np.fmin(low[::2], low[1::2]))
+            highs.append(np.fmax(high[::2], high[1::2]))
+        self.begin = np.concatenate([[0], np.cumsum([len(x) for x in lows])])[:-1]
+        self.low, self.high, self.top = np.concatenate(lows), np.concatenate(highs), len(lows) - 1
+
+    def first(self, start: np.ndarray, stop: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """First bar from start and before stop with a low of at most below or a high of at least
+        above; stop if there is none. Each search climbs to larger blocks while they hold nothing
+        and comes down in the first one that does."""
+        found, at, level = stop.copy(), start.copy(), np.zeros(len(start), np.int64)
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            k, p = level[open_], at[open_]
+            block = self.begin[k] + (p >> k)
+            hit = (self.low[block] <= below[open_]) | (self.high[block] >= above[open_])
+            done = hit & (k == 0)
+            found[open_[done]] = p[done]
+            p = np.where(hit, p, p + (1 << k))
+            k = np.where(hit, k - 1, k + ((((p >> k) & 1) == 0) & (k < self.top)))
+            at[open_], level[open_] = p, k
+            open_ = open_[~done & (p < stop[open_])]
+        return found
+
+
 @dataclass
-class Position:
-    side: int
-    size: float
-    price: float
-    bar: int
-    stop: float
-    target: float
-
-
-def _size(rules: Execution, atr: float, running: float) -> float:
-    if atr <= 0 or rules.sizing_mode not in ("vol_scaled", "fixed_frac"):
-        return 1.0
-    if rules.sizing_mode == "vol_scaled":
-        return 1.0 / atr
-    return (rules.initial_capital + running) * rules.risk_fraction / (rules.sl_atr_mult * atr)
-
-
-def _exit(held: Position, high: float, low: float, close: float, signal: int, session_ends: bool) -> tuple[str, float] | None:
-    """Reason and price at which the position leaves on this bar: stop, then target, then a reversed
-    signal, then the session's end. Stops and targets fill at their level, even over a gap."""
-    if held.side > 0:
-        stopped, reached = low <= held.stop, high >= held.target
-    else:
-        stopped, reached = high >= held.stop, low <= held.target
-    if stopped:
-        return "SL", held.stop
-    if reached:
-        return "TP", held.target
-    if signal == -held.side:
-        return "SIGNAL", close
-    return ("SESSION_END", close) if session_ends else None
+class Taken:
+    """Trades in order, by bar numbers; reason is a place in REASONS."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    side: np.ndarray
+    entry: np.ndarray
+    exit: np.ndarray
+    reason: np.ndarray
+    size: np.ndarray
+    pnl: np.ndarray
+    running: np.ndarray
+
+
+class Series:
+    """What all rules share on one series: its prices and where something can happen."""
+
+    def __init__(self, high, low, close, atr, signal, ends):
+        self.close, self.atr, self.low, self.high = (np.asarray(x, float) for x in (close, atr, low, high))
+        self.n = len(self.close)
+        signal = np.asarray(signal)
+        self.entries = np.flatnonzero((signal != 0) & ~np.isnan(self.atr))
+        self.side = signal[self.entries].astype(np.int64)
+        self.extremes = Extremes(self.low, self.high)
+        against = [np.append(np.flatnonzero(signal == -s), self.n) for s in (1, -1)]
+        after = [x[np.searchsorted(x, self.entries, side="right")] if len(self.entries) else self.entries for x in (*against, np.append(np.flatnonzero(ends), self.n))]
+        self.reversal, self.session = np.where(self.side > 0, after[0], after[1]), after[2]
+
+    def exits(self, rules: Execution) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bar, reason and price of the exit of a position opened at each entry."""
+        price, reach = self.close[self.entries], self.side * self.atr[self.entries]
+        stop, target = price - reach * rules.sl_atr_mult, price + reach * rules.tp_atr_mult
+        long = self.side > 0
+        last = np.minimum(self.reversal, self.session)
+        touched = self.extremes.first(self.entries + 1, np.minimum(last + 1, self.n), np.where(long, stop, target), np.where(long, target, stop))
+        level = touched < np.minimum(last + 1, self.n)
+        at = np.where(level, touched, last)
+        bar = np.minimum(at, self.n - 1)
+        stopped = np.where(long, self.low[bar] <= stop, self.high[bar] >= stop)
+        reason = np.where(level, np.where(stopped, 0, 1), np.where(at == self.n, 4, np.where(self.reversal <= self.session, 2, 3)))
+        return bar, reason, np.where(reason == 0, stop, np.where(reason == 1, target, self.close[bar]))
+
+    def play(self, rules: Execution) -> Taken:
+        if not len(self.entries):
+            none = np.empty(0, np.int64)
+            return Taken(*[none] * 3, *[none.astype(float)] * 2, none, *[none.astype(float)] * 3)
+        bar, reason, price = self.exits(rules)
+        # the bar of an exit may open the next position
+        following = np.searchsorted(self.entries, bar).tolist()
+        over, last = (reason == 4).tolist(), len(self.entries)
+        chain, i = [], 0
+        while i < last:
+            chain.append(i)
+            i = last if over[i] else following[i]
+        taken = np.array(chain)
+        begin, side = self.entries[taken], self.side[taken]
+        entry, leave, atr = self.close[begin], price[taken], self.atr[begin]
+        gain = (leave - entry) * side
+        if rules.sizing_mode == "fixed_frac":
+            size, running = self._fractions(rules, gain.tolist(), atr.tolist())
+        else:
+            size = np.where(atr > 0, 1.0 / np.where(atr > 0, atr, 1.0), 1.0) if rules.sizing_mode == "vol_scaled" else np.ones(len(taken))
+            running = None
+        pnl = gain * size - 2.0 * rules.slippage_points * size
+        return Taken(begin, bar[taken], side, entry, leave, reason[taken], size, pnl, np.cumsum(pnl) if running is None else running)
+
+    @staticmethod
+    def _fractions(rules: Execution, gain: list[float], atr: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes that risk a share of what has been earned so far, and the running result."""
+        total, sizes, totals = 0.0, [], []
+        for g, a in zip(gain, atr, strict=True):
+            size = (rules.initial_capital + total) * rules.risk_fraction / (rules.sl_atr_mult * a) if a > 0 else 1.0
+            total += g * size - 2.0 * rules.slippage_points * size
+            sizes.append(size)
+            totals.append(total)
+        return np.array(sizes), np.array(totals)
+
+    def equity(self, taken: Taken) -> np.ndarray:
+        """Realised result at each bar."""
+        return np.append(0.0, taken.running)[np.searchsorted(taken.end, np.arange(self.n), side="right")]
+
+
+def session_ends(times: np.ndarray, start: int | None, end: int | None) -> np.ndarray:
+    """Bars inside the session whose next bar is not."""
+    if start is None or end is None or not len(times):
+        return np.zeros(len(times), bool)
+    hour = times.astype("datetime64[h]").astype(np.int64) % 24
+    inside = (hour >= start) & (hour < end)
+    return inside & ~np.append(inside[1:], False)
 
 
 def fold(times, high, low, close, atr, signal, ends, rules: Execution) -> tuple[list[float], list[list[tuple]]]:
-    """Realised equity and trades of each bar. ends tells which bars end a session."""
-    equity: list[float] = []
-    trades: list[list[tuple]] = []
-    held: Position | None = None
-    running = 0.0
-
-    def close_out(i: int, reason: str, price: float) -> float:
-        gain = (price - held.price) * held.side * held.size - 2.0 * rules.slippage_points * held.size
-        trades[-1].append((times[held.bar], times[i], held.side, held.price, price, reason, gain, i - held.bar, held.size))
-        return gain
-
-    for i, price in enumerate(close):
-        trades.append([])
-        if held is not None:
-            leave = _exit(held, high[i], low[i], price, signal[i], ends[i])
-            if leave is not None:
-                running += close_out(i, *leave)
-                held = None
-        # also on the bar of an exit
-        if held is None and signal[i] != 0 and atr[i] == atr[i]:
-            side = int(signal[i])
-            reach = side * atr[i]
-            held = Position(side, _size(rules, atr[i], running), price, i, price - reach * rules.sl_atr_mult, price + reach * rules.tp_atr_mult)
-        equity.append(running)
-    if held is not None:
-        running += close_out(len(close) - 1, "EOD", close[-1])
-        equity[-1] = running
-    return equity, trades
-
-
-def run(signals: DataFrame, rules: Execution, keys=KEYS) -> DataFrame:
-    """keys, ts, equity and trades (array) for each bar of signals (high, low, close, atr, signal)."""
-    varying = [f for f in ("sl_atr_mult", "tp_atr_mult") if f in signals.columns]
+    """Realised equity and trades of each bar, as lists. ends tells which bars end a session."""
+    series = Series(high, low, close, atr, signal, ends)
+    taken = series.play(rules)
+    trades: list[list[tuple]] = [[] for _ in close]
+    for i, (begin, end) in enumerate(zip(taken.begin.tolist(), taken.end.tolist(), strict=True)):
+        trades[end].append((times[begin], times[end], int(taken.side[i]), float(taken.entry[i]), float(taken.exit[i]), REASONS[taken.reason[i]], float(taken.pnl[i]), end - begin, float(taken.size[i])))
+    return series.equity(taken).tolist(), trades
+
+
+def numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns as doubles, missing values as nan."""
+    return [table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def signals_in(table: pa.Table, column: str = "signal") -> np.ndarray:
+    return np.nan_to_num(numbers(table, column)[0]).astype(np.int64)
+
+
+def arrow_trades(times: np.ndarray, taken: Taken) -> pa.ListArray:
+    """The trades of each bar as lists of structs."""
+    clock = lambda bars: pa.array(times[bars], pa.timestamp("us"))
+    values = [clock(taken.begin), clock(taken.end), taken.side.astype(np.int32), taken.entry, taken.exit, pa.array(REASONS).take(pa.array(taken.reason)), taken.pnl, taken.end - taken.begin, taken.size]
+    structs = pa.StructArray.from_arrays([pa.array(v, t) if isinstance(v, np.ndarray) else v for v, (_, t) in zip(values, _ARROW_TRADE, strict=True)], fields=[pa.field(n, t) for n, t in _ARROW_TRADE])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(taken.end, minlength=len(times)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+
+
+def run(signals: DataFrame, rules: Execution | list[Execution], keys=KEYS, measure: Callable[[np.ndarray, Series, Taken], pa.StructScalar] | None = None, measures: T.StructType | None = None) -> DataFrame:
+    """keys, ts, equity and trades (array) for each bar of signals (high, low, close, atr, signal).
+    Several rules: the column `rule` says which of them a series has. With `measure`, its values
+    (fields as in `measures`) are in the column `measured` of each series' last bar."""
+    several = isinstance(rules, list)
+    varying = ["rule"] if several else [f for f in ("sl_atr_mult", "tp_atr_mult") if f in signals.columns]
     bars = signals.select(*keys, "ts", "high", "low", "close", "atr", "signal", *varying)
-    schema = T.StructType([*[bars.schema[c] for c in keys], T.StructField("ts", T.TimestampNTZType()), T.StructField("equity", T.DoubleType()), T.StructField("trades", T.ArrayType(TRADE))])
-    trade = pa.list_(pa.struct([("entry_time", pa.timestamp("us")), ("exit_time", pa.timestamp("us")), ("direction", pa.int32()), ("entry", pa.float64()), ("exit", pa.float64()), ("reason", pa.string()), ("pnl_points", pa.float64()), ("bars_held", pa.int64()), ("size", pa.float64())]))
-    names = [f.name for f in TRADE]
+    schema = T.StructType([*[bars.schema[c] for c in keys], T.StructField("ts", T.TimestampNTZType()), T.StructField("equity", T.DoubleType()), T.StructField("trades", T.ArrayType(TRADE)), *([T.StructField("measured", measures)] if measure else [])])
 
     def one(table: pa.Table) -> pa.Table:
-        from dataclasses import replace
-
         table = table.sort_by("ts")
-        own = replace(rules, **{f: table.column(f)[0].as_py() for f in varying}) if varying else rules
-        numbers = {c: np.nan_to_num(table.column(c).to_numpy().astype(float), nan=np.nan).tolist() for c in ("high", "low", "close", "atr")}
-        signal = np.nan_to_num(table.column("signal").to_numpy().astype(float)).astype(int).tolist()
-        times = table.column("ts").to_pylist()
-        if own.session_start is None or own.session_end is None:
-            ends = [False] * len(times)
-        else:
-            inside = [own.session_start <= t.hour < own.session_end for t in times]
-            ends = [a and not b for a, b in zip(inside, [*inside[1:], False], strict=True)]
-        equity, trades = fold(times, numbers["high"], numbers["low"], numbers["close"], numbers["atr"], signal, ends, own)
-        listed = [[dict(zip(names, t, strict=True)) for t in ts] for ts in trades]
-        return pa.table({**{c: table.column(c) for c in keys}, "ts": table.column("ts"), "equity": pa.array(equity, pa.float64()), "trades": pa.array(listed, trade)})
+        given = {f: table.column(f)[0].as_py() for f in varying}
+        own = rules[given["rule"]] if several else replace(rules, **given)
+        times = table.column("ts").to_numpy().astype("datetime64[us]")
+        series = Series(*numbers(table, "high", "low", "close", "atr"), signals_in(table), session_ends(times, own.session_start, own.session_end))
+        taken = series.play(own)
+        out = {**{c: table.column(c) for c in keys}, "ts": table.column("ts"), "equity": pa.array(series.equity(taken), pa.float64()), "trades": arrow_trades(times, taken)}
+        if measure:
+            last = measure(times, series, taken)
+            out["measured"] = pa.array([None] * (len(times) - 1) + [last.as_py()], last.type)
+        return pa.table(out)
 
     ship(signals.sparkSession)
     return bars.groupBy(*keys).applyInArrow(one, schema)

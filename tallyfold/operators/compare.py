@@ -8,13 +8,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.gram import correlation, pair_sums
 from tallyfold.functions.kernels import KEYS
 from tallyfold.operators import strategies as st
 from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
 from tallyfold.operators.metrics import compute_metrics, daily_changes
+from tallyfold.staging import staged
 
 #: Keys of all comparison tables.
 FULL = ("strategy", *KEYS)
@@ -66,8 +68,10 @@ def make_params_for_group(reg: StrategyRegistration, group: str):
 
 
 def fingerprint(reg: StrategyRegistration) -> str:
-    """First ten hex digits of the SHA-1 of the registration's settings."""
-    settings = {"name": reg.name, "base": reg.base_kwargs, "b3": reg.b3_overrides, "timeframes": reg.group_timeframes}
+    """First ten hex digits of the SHA-1 of the registration's settings, with every parameter that a
+    run of each group has, so that a changed default misses the cache."""
+    resolved = {g: make_params_for_group(reg, g).as_dict() for g in reg.group_timeframes}
+    settings = {"name": reg.name, "base": reg.base_kwargs, "b3": reg.b3_overrides, "timeframes": reg.group_timeframes, "params": resolved}
     return hashlib.sha1(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:10]
 
 
@@ -94,10 +98,19 @@ def run_backtest_grid(bars: DataFrame, params, strategy_cls, slippage: float = 0
     return run(strategy_cls(params).signals(bars), Execution.of(params, slippage, initial_capital))
 
 
-def run_all_strategies(bars_for: Callable[[str, list[str]], DataFrame | None], registry=STRATEGY_REGISTRY, cache=None, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_all_strategies(bars_for: Callable[[str, list[str]], DataFrame | None] | str, registry=STRATEGY_REGISTRY, cache=None, force: bool = False, spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics, equity, trades) of all registered strategies. bars_for(group, timeframes) gives the
-    bars of a group at those timeframes, or None. `cache` is a ResultCache or None."""
+    bars of a group at those timeframes, or None; instead of it a folder of bar files may be given.
+    `cache` is a ResultCache, the folder of one, or None."""
+    if isinstance(bars_for, str) or isinstance(cache, str):
+        from tallyfold.sources.bars import folder_bars
+        from tallyfold.sources.cache import ResultCache
+
+        spark = spark or SparkSession.getActiveSession()
+        bars_for = folder_bars(spark, bars_for) if isinstance(bars_for, str) else bars_for
+        cache = ResultCache(spark, cache) if isinstance(cache, str) else cache
     tables: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    fresh: list[DataFrame] = []
     for reg in registry:
         kept = None if cache is None or force else cache.read(reg)
         if kept is None:
@@ -108,17 +121,25 @@ def run_all_strategies(bars_for: Callable[[str, list[str]], DataFrame | None], r
                     parts.append(run_backtest_grid(bars, make_params_for_group(reg, group), reg.strategy_cls).withColumn("strategy", F.lit(reg.name)))
             if not parts:
                 continue
-            result = reduce(DataFrame.unionByName, parts).persist()
-            trades, equity = trades_of(result, FULL), equity_of(result, FULL)
-            kept = (compute_metrics(trades, equity, FULL, all_keys=result), equity, trades)
-            if cache is not None:
-                kept = cache.write(reg, kept)
+            if cache is None:
+                fresh += parts
+                continue
+            kept = cache.write(reg, _long_tables(parts))
         tables.append(kept)
+    if fresh:
+        tables.append(_long_tables(fresh))
     if not tables:
         raise ValueError("no strategy has bars")
     return tuple(reduce(DataFrame.unionByName, part) for part in zip(*tables, strict=True))
 
 
+def _long_tables(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics, equity, trades) of the results of several runs, which are computed once."""
+    result = staged(reduce(DataFrame.unionByName, parts), "registry")
+    trades, equity = trades_of(result, FULL), equity_of(result, FULL)
+    return compute_metrics(trades, equity, FULL, all_keys=result), equity, trades
+
+
 def daily_returns_from_equity(equity: DataFrame, keys=FULL) -> DataFrame:
     return daily_changes(equity, keys)
 
@@ -158,16 +179,18 @@ def metric_distribution(metrics: DataFrame, metric: str) -> DataFrame:
 
 
 def return_correlation(returns: DataFrame, by: str = "strategy", least_days: int = 30) -> DataFrame:
-    """a, b and the correlation of daily sums (days without a return count 0); empty for fewer than
-    two names or least_days days."""
-    sums = returns.groupBy("day", by).agg(F.sum("daily_return").alias("x"))
-    names, days = sums.select(by).distinct(), sums.select("day").distinct()
-    # names are strategies or assets: a handful, whatever the data
-    filled = days.crossJoin(F.broadcast(names)).join(sums, ["day", by], "left").fillna(0.0, ["x"])
-    left, right = filled.select("day", F.col(by).alias("a"), "x"), filled.select("day", F.col(by).alias("b"), F.col("x").alias("y"))
-    out = left.join(right, "day").groupBy("a", "b").agg(F.corr("x", "y").alias("correlation"), F.count(F.lit(1)).alias("days"))
-    several = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > 1
-    return out.withColumn("ok", several).where(F.col("ok") & (F.col("days") >= least_days)).drop("ok", "days")
+    """a, b, the correlation of daily sums (days without a return count 0) and the number of days;
+    empty for fewer than two names or least_days days."""
+    days, names, first = returns.agg(F.count_distinct("day"), F.count_distinct(by), F.min("day")).first()
+    # a zero for every name on the first day changes no sum, and gives every two names a common day
+    zeros = returns.select(by).distinct().select(F.lit(first).cast("date").alias("day"), by, F.lit(0.0).alias("daily_return"))
+    sums = returns.select("day", by, "daily_return").unionByName(zeros).groupBy("day", by).agg(F.coalesce(F.sum("daily_return"), F.lit(0.0)).alias("x"))
+    pairs = pair_sums(sums, (), by, "x")
+    own = pairs.where("a = b").select("a", F.col("sx").alias("s"), F.col("sxx").alias("q"))
+    left, right = own.toDF("a", "sx", "sxx"), own.toDF("b", "sy", "syy")
+    # sums over all days of either name, products over the days of both
+    whole = pairs.select("a", "b", "sxy").join(left, "a").join(right, "b")
+    return whole.where(F.lit(names > 1 and days >= least_days)).select("a", "b", correlation(F.lit(float(days))).alias("correlation"), F.lit(days).alias("days"))
 
 
 def coverage(trades: DataFrame) -> DataFrame:
@@ -187,7 +210,7 @@ def variant_metrics(bars: DataFrame, variants: dict[str, object], slippage: floa
     """Metrics of the same bars under several strategies (such as with and without a session, or
     under different sizing), with `variant` and the number of exits at a session's end."""
     parts = [run(s.signals(bars), Execution.of(s.params, slippage, initial_capital)).withColumn("variant", F.lit(name)) for name, s in variants.items()]
-    result = reduce(DataFrame.unionByName, parts).persist()
+    result = staged(reduce(DataFrame.unionByName, parts), "variants")
     by = ("variant", *KEYS)
     trades = trades_of(result, by)
     ended = trades.groupBy(*by).agg(F.count_if(F.col("reason") == "SESSION_END").alias("session_ends"))

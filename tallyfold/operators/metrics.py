@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.kernels import KEYS
+from tallyfold.functions.scan import DAYS, longest_run, running
 from tallyfold.shipping import ship
 
 METRICS = (
@@ -51,8 +52,30 @@ def daily_changes(equity: DataFrame, keys=KEYS) -> DataFrame:
     return change.where("daily_return is not null").select(*keys, "day", "daily_return")
 
 
+def merged_metrics(trades: DataFrame, keys, order, periods_per_year: int = 252, all_keys: DataFrame | None = None, days: int = DAYS) -> DataFrame:
+    """compute_metrics (without p-values) of the joint trades of each key, taken in `order` (whose
+    first column is a time), with their running sum as equity. Sums, peaks and losing runs are
+    scanned in blocks of so many days, so no task holds a key."""
+    held = running(trades.select(*keys, *[c for c in order if c not in keys], "pnl_points"), keys, order, "pnl_points", "equity", days, "peak")
+    day = F.to_date(order[0])
+    deep = held.groupBy(*keys).agg(F.min(F.col("equity") - F.col("peak")).alias("max_drawdown"))
+    last = held.groupBy(*keys, day.alias("day")).agg(F.max_by("equity", F.struct(*order)).alias("equity")).withColumn("timestamp", F.col("day").cast("timestamp_ntz"))
+    runs = longest_run(trades, keys, order, F.col("pnl_points") < 0, "max_consec_losses", days)
+    return _finished(trades, keys, (runs, deep, _daily_sharpe(last, keys, periods_per_year)), all_keys, False)
+
+
+def _daily_sharpe(equity: DataFrame, keys, periods_per_year: int) -> DataFrame:
+    daily = daily_changes(equity, keys).groupBy(*keys).agg(F.avg("daily_return").alias("_m"), F.stddev_samp("daily_return").alias("_s"))
+    return daily.select(*keys, F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * math.sqrt(periods_per_year)).alias("sharpe_daily"))
+
+
 def compute_metrics(trades: DataFrame, equity: DataFrame, keys=KEYS, periods_per_year: int = 252, all_keys: DataFrame | None = None, p_value: bool = True) -> DataFrame:
     """One row of METRICS per key; keys of all_keys without trades get the defaults."""
+    depth = drawdown(equity, keys).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
+    return _finished(trades, keys, (longest_losing_run(trades, keys), depth, _daily_sharpe(equity, keys, periods_per_year)), all_keys, p_value)
+
+
+def _finished(trades: DataFrame, keys, parts, all_keys: DataFrame | None, p_value: bool) -> DataFrame:
     pnl = F.col("pnl_points")
     won, lost = F.sum(F.when(pnl > 0, pnl)), F.sum(F.when(pnl < 0, pnl))
     base = trades.groupBy(*keys).agg(
@@ -62,11 +85,8 @@ def compute_metrics(trades: DataFrame, equity: DataFrame, keys=KEYS, periods_per
         F.avg(pnl).alias("expectancy"), F.stddev_samp(pnl).alias("_sd"),
     )
     statistic = F.when((F.col("num_trades") > 1) & (F.col("_sd") > 0), F.col("expectancy") / (F.col("_sd") / F.sqrt("num_trades")))
-    depth = drawdown(equity, keys).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
-    daily = daily_changes(equity, keys).groupBy(*keys).agg(F.avg("daily_return").alias("_m"), F.stddev_samp("daily_return").alias("_s"))
-    daily = daily.select(*keys, F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * math.sqrt(periods_per_year)).alias("sharpe_daily"))
     out = base.withColumn("t_stat", statistic).withColumn("sharpe_per_trade", F.col("t_stat"))
-    for part in (longest_losing_run(trades, keys), depth, daily):
+    for part in parts:
         out = out.join(part, list(keys), "left")
     if all_keys is not None:
         out = all_keys.select(*keys).distinct().join(out, list(keys), "left")

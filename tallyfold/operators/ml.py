@@ -24,6 +24,7 @@ FEATURES = ("sma_spread_pct", "atr_pct", "momentum_5", "momentum_20", "rsi", "si
 LEAST_ROWS, LEAST_TRADES, LEAST_OF_CLASS = 100, 10, 3
 #: Models fitted at a time.
 AT_ONCE = 8
+from tallyfold.staging import staged
 
 
 def features(signals: DataFrame, rsi_period: int = 14, keys=k.KEYS) -> DataFrame:
@@ -78,7 +79,7 @@ def classifier_walk_forward(bars: DataFrame, strategy_cls, params, n_splits: int
     by = (*keys, "fold")
     spark = bars.sparkSession
     cut = split_folds(bars, n_splits, oos_ratio, keys)
-    cut = cut.join(cut.groupBy(*by).count().where(F.col("count") >= LEAST_ROWS).drop("count"), list(by), "left_semi").persist()
+    cut = staged(cut.join(cut.groupBy(*by).count().where(F.col("count") >= LEAST_ROWS).drop("count"), list(by), "left_semi"), "folds")
     strategy = strategy_cls(params, by)
     signals = strategy.signals(cut.where("segment = 'is'"))
     train = labelled(trades_of(run(signals, rules, by), by), features(signals, keys=by), by).select(*by, *FEATURES, "label").persist()
@@ -103,7 +104,7 @@ def classifier_walk_forward(bars: DataFrame, strategy_cls, params, n_splits: int
     train.unpersist()
     chosen = spark.createDataFrame([(*[r[c] for c in by], a) for r, (_, a) in zip(rows, models, strict=True)], ", ".join(f"`{c}` string" for c in keys) + ", fold int, is_accuracy double")
     later = strategy.signals(cut.where("segment = 'oos'").join(F.broadcast(chosen.select(*by)), list(by), "left_semi"))
-    feats = features(later, keys=by).persist()
+    feats = staged(features(later, keys=by), "features")
     verdict = reduce(DataFrame.unionByName, [verdicts(of(feats, r), m, by) for r, (m, _) in zip(rows, models, strict=True)])
     both = later.withColumn("variant", F.lit("base")).unionByName(vetoed(later, verdict, by).withColumn("variant", F.lit("filtered")))
     by = (*by, "variant")

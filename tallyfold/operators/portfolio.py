@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.gram import correlation, covariance, pair_sums
+from tallyfold.functions.scan import DAYS, running
 from tallyfold.operators.metrics import daily_changes
+from tallyfold.shipping import ship
 
 #: Exits at one instant are taken in this order.
 ORDER = ("exit_time", "asset", "entry_time")
 
 
-def merged(trades: DataFrame, keys=("group", "tf"), value: str = "pnl_points") -> DataFrame:
-    """trades with `equity`, their running sum over all assets of a key, in order of exit."""
-    w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("equity", F.sum(value).over(w))
+def merged(trades: DataFrame, keys=("group", "tf"), value: str = "pnl_points", days: int = DAYS) -> DataFrame:
+    """trades with `equity`, their running sum over all assets of a key, in order of exit. A key is
+    summed in blocks of so many days, so a large one is many tasks."""
+    return running(trades, keys, ORDER, value, "equity", days)
 
 
 def _lately(equity: DataFrame, lookback: int, keys) -> DataFrame:
@@ -28,10 +32,7 @@ def _lately(equity: DataFrame, lookback: int, keys) -> DataFrame:
 
 def covariances(changes: DataFrame, keys=("group", "tf")) -> DataFrame:
     """keys, a, b and their sample covariance and correlation over the days both have."""
-    left = changes.select(*keys, "day", F.col("asset").alias("a"), F.col("daily_return").alias("x"))
-    right = changes.select(*keys, "day", F.col("asset").alias("b"), F.col("daily_return").alias("y"))
-    pairs = left.join(right, [*keys, "day"])
-    return pairs.groupBy(*keys, "a", "b").agg(F.covar_samp("x", "y").alias("covariance"), F.corr("x", "y").alias("correlation"))
+    return pair_sums(changes, keys, "asset", "daily_return").select(*keys, "a", "b", covariance().alias("covariance"), correlation().alias("correlation"))
 
 
 def correlation_weights(equity: DataFrame, lookback_days: int = 60, method: str = "inv_vol", keys=("group", "tf")) -> DataFrame:
@@ -51,34 +52,35 @@ def correlation_weights(equity: DataFrame, lookback_days: int = 60, method: str
     inverse = rows.select(*keys, "asset", F.when(F.coalesce("days", F.lit(0)) < 5, equal).otherwise(F.coalesce(share, equal)).alias("weight"), F.coalesce("days", F.lit(0)).alias("days"))
     if method == "inv_vol":
         return inverse.drop("days")
+    schema = assets.withColumn("weight", F.lit(0.0)).schema
+
+    def solve(members: pa.Table, pairs: pa.Table) -> pa.Table:
+        members = members.sort_by("asset")
+        names, weights = members.column("asset").to_pylist(), members.column("weight").to_pylist()
+        if members.num_rows > 1 and members.column("days")[0].as_py() >= 5:
+            place = {a: i for i, a in enumerate(names)}
+            matrix = np.full((len(names), len(names)), np.nan)
+            for a, b, c in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "covariance")), strict=True):
+                if c is not None:
+                    matrix[place[a], place[b]] = c
+            weights = _least_variance(matrix) or weights
+        return pa.table({c: members.column(c) for c in (*keys, "asset")} | {"weight": pa.array(weights, pa.float64())})
+
     # one small matrix per key: as many rows as the key has assets
-    spark = equity.sparkSession
-    table: dict[tuple, dict] = {}
-    for row in covariances(changes, keys).collect():
-        table.setdefault(tuple(row[c] for c in keys), {})[row["a"], row["b"]] = row["covariance"]
-    out = []
-    fallback: dict[tuple, list] = {}
-    for row in inverse.collect():
-        fallback.setdefault(tuple(row[c] for c in keys), []).append(row)
-    for key, members in fallback.items():
-        names = sorted(r["asset"] for r in members)
-        weights = {r["asset"]: r["weight"] for r in members}
-        if members[0]["days"] >= 5 and len(names) > 1:
-            matrix = np.array([[np.nan if (v := table.get(key, {}).get((a, b))) is None else v for b in names] for a in names])
-            weights = _least_variance(names, matrix) or weights
-        out += [(*key, a, float(weights[a])) for a in names]
-    return spark.createDataFrame(out, assets.withColumn("weight", F.lit(0.0)).schema)
-
-
-def _least_variance(names: list[str], matrix: np.ndarray) -> dict[str, float] | None:
+    ship(equity.sparkSession)
+    return inverse.groupBy(*keys).cogroup(covariances(changes, keys).groupBy(*keys)).applyInArrow(solve, schema)
+
+
+def _least_variance(matrix: np.ndarray) -> list[float] | None:
+    """Weights of least variance, negative ones 0; None for an incomplete or singular matrix."""
     if not np.isfinite(matrix).all():
         return None
     try:
-        raw = np.linalg.solve(matrix, np.ones(len(names)))
+        raw = np.linalg.solve(matrix, np.ones(len(matrix)))
     except np.linalg.LinAlgError:
         return None
     raw = np.maximum(raw / raw.sum() if raw.sum() else raw, 0.0)
-    return dict(zip(names, raw / raw.sum(), strict=True)) if raw.sum() > 0 else None
+    return (raw / raw.sum()).tolist() if raw.sum() > 0 else None
 
 
 def weighted_portfolio(trades: DataFrame, weights: DataFrame, keys=("group", "tf")) -> DataFrame:

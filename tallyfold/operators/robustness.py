@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.kernels import KEYS
+from tallyfold.functions.scan import earliest
 from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
-from tallyfold.operators.metrics import EXIT_ORDER, compute_metrics
+from tallyfold.operators.metrics import EXIT_ORDER, compute_metrics, merged_metrics
 from tallyfold.shipping import ship
+from tallyfold.staging import staged
 
 
 def _numbered(trades: DataFrame, keys) -> DataFrame:
@@ -24,6 +26,11 @@ def _numbered(trades: DataFrame, keys) -> DataFrame:
     return trades.select(*keys, "pnl_points", (F.row_number().over(w.orderBy(*EXIT_ORDER)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
 
 
+def head_trades(trades: DataFrame, n: int, keys=KEYS) -> DataFrame:
+    """The n earliest trades of each key, by exit; no key is sorted as a whole."""
+    return earliest(trades, keys, EXIT_ORDER, n)
+
+
 def draw(*parts: Column) -> Column:
     """A 32-hex-digit draw from the given values."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
@@ -61,18 +68,24 @@ def run_endings(runs: DataFrame, keys=KEYS) -> DataFrame:
     return deep.groupBy(*keys, "run").agg(F.max_by("equity", "trade_no").alias("final"), F.max("fall").alias("fall"))
 
 
-def monte_carlo_summary(runs: DataFrame, keys=KEYS) -> DataFrame:
+def quantile(column: str, share: float, accuracy: int | None = None) -> Column:
+    """Exact (interpolated) quantile, which holds all values of a group; or, with an accuracy, a
+    value whose rank is off by at most a 1/accuracy share of the group, from a sketch of bounded
+    size that combines before the exchange."""
+    return F.percentile(column, F.lit(share)) if accuracy is None else F.percentile_approx(column, share, accuracy)
+
+
+def monte_carlo_summary(runs: DataFrame, keys=KEYS, accuracy: int | None = None) -> DataFrame:
     ends = run_endings(runs, keys)
-    at = lambda c, p: F.percentile(c, F.lit(p))
     return ends.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), F.avg("final").alias("mean_final"), at("final", 0.5).alias("median_final"), at("final", 0.05).alias("p05_final"), at("final", 0.95).alias("p95_final"),
-        (-F.avg("fall")).alias("mean_max_dd"), (-at("fall", 0.95)).alias("p95_max_dd"), F.avg((F.col("final") > 0).cast("double")).alias("prob_profitable"),
+        F.count(F.lit(1)).alias("runs"), F.avg("final").alias("mean_final"), *[quantile("final", p, accuracy).alias(n) for p, n in ((0.5, "median_final"), (0.05, "p05_final"), (0.95, "p95_final"))],
+        (-F.avg("fall")).alias("mean_max_dd"), (-quantile("fall", 0.95, accuracy)).alias("p95_max_dd"), F.avg((F.col("final") > 0).cast("double")).alias("prob_profitable"),
     )
 
 
-def quantile_cone(runs: DataFrame, keys=KEYS) -> DataFrame:
+def quantile_cone(runs: DataFrame, keys=KEYS, accuracy: int | None = None) -> DataFrame:
     """Quantiles of equity over all runs, per trade number."""
-    return runs.groupBy(*keys, "trade_no").agg(*[F.percentile("equity", F.lit(p)).alias(f"q{round(p * 100):02d}") for p in (0.05, 0.5, 0.95)])
+    return runs.groupBy(*keys, "trade_no").agg(*[quantile("equity", p, accuracy).alias(f"q{round(p * 100):02d}") for p in (0.05, 0.5, 0.95)])
 
 
 def parameter_sensitivity(bars: DataFrame, base, variations: dict[str, list], strategy_cls, keys=KEYS, joint: tuple[str, ...] | None = None) -> DataFrame:
@@ -87,16 +100,13 @@ def parameter_sensitivity(bars: DataFrame, base, variations: dict[str, list], st
             result = run(strategy_cls(params, keys).signals(bars), Execution.of(params), keys)
             parts.append(result.select(*keys, F.lit(name).alias("param"), F.lit(float(value)).alias("value"), "ts", "equity", "trades"))
     # trades, equity and keys are read apart; the pass over the bars is made once
-    result = reduce(DataFrame.unionByName, parts).persist()
+    result = staged(reduce(DataFrame.unionByName, parts), "sensitivity")
     by = (*keys, "param", "value")
     trades, equity = trades_of(result, by), equity_of(result, by)
     if joint is None:
         return compute_metrics(trades, equity, by, all_keys=result, p_value=False)
     by = (*joint, "param", "value")
-    order = [c for c in (*EXIT_ORDER, *keys) if c not in by]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    merged = trades.select(*by, F.col("exit_time").alias("timestamp"), F.sum("pnl_points").over(w).alias("equity"))
-    return compute_metrics(trades, merged, by, all_keys=result, p_value=False)
+    return merged_metrics(trades, by, [c for c in (*EXIT_ORDER, *keys) if c not in by], all_keys=result)
 
 
 def synthetic_assets(bars: DataFrame, copies: int, n_bars: int, first: int = 5, block: int = 1, seed: int = 42, keys=KEYS) -> DataFrame:

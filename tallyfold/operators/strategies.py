@@ -96,7 +96,7 @@ def _rsi(n: int) -> list:
         with np.errstate(divide="ignore", invalid="ignore"):
             return 100.0 - 100.0 / (1.0 + f["_gain_avg"] / f["_loss_avg"])
 
-    return [Ewm("_gain_avg", "_gain", 1.0 / n, n), Ewm("_loss_avg", "_loss", 1.0 / n, n), Derived("rsi", value)]
+    return [Ewm("_gain_avg", "_gain", 1.0 / n, n), Ewm("_loss_avg", "_loss", 1.0 / n, n), Derived("rsi", value, rowwise=True)]
 
 
 def with_moves(df: DataFrame, keys) -> DataFrame:
@@ -118,21 +118,21 @@ def _adx(n: int) -> list:
             return (100.0 * (plus - minus).abs() / (plus + minus)).replace([np.inf, -np.inf], np.nan)
 
     averages = [Ewm(f"{c}_avg", c, 1.0 / n, n) for c in ("_up", "_down")] + [Ewm("_tr_avg", "tr", 1.0 / n, n)]
-    return [*averages, Derived("_dx", index), Ewm("adx", "_dx", 1.0 / n, n)]
+    return [*averages, Derived("_dx", index, rowwise=True), Ewm("adx", "_dx", 1.0 / n, n)]
 
 
 def rsi(df: DataFrame, n: int, keys=k.KEYS) -> DataFrame:
     return _tidy(with_recursions(with_moves(df, keys), _rsi(n), keys))
 
 
-def adx(df: DataFrame, n: int, keys=k.KEYS) -> DataFrame:
+def adx(df: DataFrame, n: int, keys=k.KEYS, days: int | None = None) -> DataFrame:
     """Adds adx; needs tr."""
-    return _tidy(with_recursions(with_directional(df, keys), _adx(n), keys))
+    return _tidy(with_recursions(with_directional(df, keys), _adx(n), keys, days))
 
 
-def macd(df: DataFrame, fast: int, slow: int, signal: int, keys=k.KEYS) -> DataFrame:
-    specs = [Ewm("_fast", "close", span(fast), fast), Ewm("_slow", "close", span(slow), slow), Derived("macd", lambda f: f["_fast"] - f["_slow"]), Ewm("macd_signal", "macd", span(signal), signal), Derived("macd_hist", lambda f: f["macd"] - f["macd_signal"])]
-    return _tidy(with_recursions(df, specs, keys))
+def macd(df: DataFrame, fast: int, slow: int, signal: int, keys=k.KEYS, days: int | None = None) -> DataFrame:
+    specs = [Ewm("_fast", "close", span(fast), fast), Ewm("_slow", "close", span(slow), slow), Derived("macd", lambda f: f["_fast"] - f["_slow"], rowwise=True), Ewm("macd_signal", "macd", span(signal), signal), Derived("macd_hist", lambda f: f["macd"] - f["macd_signal"], rowwise=True)]
+    return _tidy(with_recursions(df, specs, keys, days))
 
 
 def _tidy(df: DataFrame) -> DataFrame:
@@ -377,8 +377,8 @@ class HurstParams(Params):
     hurst_step: int = 4
     hurst_trend_threshold: float = 0.60
     hurst_mean_rev_threshold: float = 0.40
-    sma_fast: int = 20
-    sma_slow: int = 50
+    trend_fast: int = 20
+    trend_slow: int = 50
     rsi_period: int = 14
     rsi_lower: float = 30.0
     rsi_upper: float = 70.0
@@ -395,7 +395,7 @@ class HurstRegimeStrategy(Strategy):
         p = self.params
         regime = Derived("hurst", lambda f: rolling_hurst(f["close"].to_numpy(), p.hurst_window, p.hurst_n_min, p.hurst_step))
         df = _tidy(with_recursions(with_moves(df, self.keys), [*_rsi(p.rsi_period), regime], self.keys))
-        df = df.withColumns({"sma_fast": k.sma("close", p.sma_fast, self.keys), "sma_slow": k.sma("close", p.sma_slow, self.keys)})
+        df = df.withColumns({"sma_fast": k.sma("close", p.trend_fast, self.keys), "sma_slow": k.sma("close", p.trend_slow, self.keys)})
         return df.withColumn("sma_diff", F.col("sma_fast") - F.col("sma_slow"))
 
     def rules(self):
@@ -440,7 +440,7 @@ class HMMRegimeParams(Params):
     hmm_train_window: int = 504
     hmm_prob_threshold: float = 0.70
     hmm_exit_threshold: float = 0.40
-    realized_vol_window: int = 20
+    rv_window: int = 20
     vol_period: int = 20
     sma_fast: int = 20
     sma_slow: int = 50
@@ -455,7 +455,7 @@ class HMMRegimeStrategy(Strategy):
 
     def compute(self, df):
         p = self.params
-        df = df.withColumn("log_ret", k.log_return(self.keys)).withColumn("realised_vol", k.realised_vol("log_ret", p.realized_vol_window, self.keys))
+        df = df.withColumn("log_ret", k.log_return(self.keys)).withColumn("realised_vol", k.realised_vol("log_ret", p.rv_window, self.keys))
         features = ["log_ret", "realised_vol"]
         if "tick_vol" in df.columns:
             df = df.withColumn("vol_norm", k.volume_ratio(p.vol_period, self.keys))

@@ -1,8 +1,14 @@
-"""Walk-forward optimisation as one plan: folds by row number, crossed with combinations.
+"""Walk-forward optimisation in two phases: folds by row number, combinations tried on their first parts.
 
-Every (series, fold, segment, combination) is a series of its own, so indicators start cold in each
-segment. Combinations that differ only in stop and target share one computation of signals: the
-grid is split into signal parameters and execution parameters.
+Combinations that differ only in stop and target share one computation of signals, so the grid is
+split into signal parameters and execution parameters.
+
+1. Search. Signals of every signal combination are computed on the first parts, each of which is a
+   series of its own. One grouped call per (series, fold) gets the bars once and of each signal
+   combination only the bars that have a signal; it plays all combinations on them and returns a row
+   of metrics for each. The score picks the best.
+2. Confirmation. Only the chosen combination of a fold is computed on its second part, where
+   indicators start cold, and only its trades and equity leave the workers.
 """
 
 from __future__ import annotations
@@ -13,12 +19,18 @@ from functools import reduce
 from itertools import product
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.functions.kernels import KEYS
-from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
-from tallyfold.operators.metrics import EXIT_ORDER, compute_metrics
+from tallyfold.operators.backtest import Execution, Series, equity_of, numbers, run, session_ends, signals_in, trades_of
+from tallyfold.operators.metrics import EXIT_ORDER, merged_metrics
+from tallyfold.operators.scoring import ARROW_SCORED, SPARK_SCORED, measure, series_metrics
+from tallyfold.shipping import ship
+from tallyfold.staging import staged
 
 EXECUTION = ("sl_atr_mult", "tp_atr_mult")
 LEAST_ROWS = 50
@@ -63,59 +75,95 @@ def combinations(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def grid_results(bars: DataFrame, strategy_cls, combos: list[dict], keys) -> tuple[DataFrame, DataFrame]:
-    """(trades, equity) of every combination over every series, with `combo` as a further key."""
-    groups: dict[tuple, list[tuple[int, dict]]] = {}
-    for i, combo in enumerate(combos):
-        groups.setdefault(tuple((n, v) for n, v in combo.items() if n not in EXECUTION), []).append((i, combo))
-    parts = []
-    names = {f.name for f in fields(strategy_cls.params_class)}
-    for signal_params, members in groups.items():
-        params = strategy_cls.params_class(**{n: v for n, v in signal_params if n in names})
-        signals = strategy_cls(params, keys).signals(bars).select(*keys, "ts", "high", "low", "close", "atr", "signal")
-        spark = bars.sparkSession
-        runs = spark.createDataFrame([(i, float(c.get("sl_atr_mult", params.sl_atr_mult)), float(c.get("tp_atr_mult", params.tp_atr_mult))) for i, c in members], "combo int, sl_atr_mult double, tp_atr_mult double")
-        # the number of combinations is fixed by the grid, not by the data
-        parts.append(run(signals.crossJoin(F.broadcast(runs)), Execution.of(params), (*keys, "combo")))
-    # trades and equity are both read several times; the pass over the bars is made once
-    result = reduce(DataFrame.unionByName, parts).persist()
-    by = (*keys, "combo")
-    return trades_of(result, by), equity_of(result, by)
+class Grid:
+    """Combinations (the class defaults stand behind them) and the signal parameters they share."""
+
+    def __init__(self, strategy_cls, grid: dict[str, list]):
+        unknown = sorted(set(grid) - {f.name for f in fields(strategy_cls.params_class)})
+        if unknown:
+            raise ValueError(f"{strategy_cls.__name__} has no parameter {', '.join(unknown)}")
+        self.strategy_cls, self.tried = strategy_cls, combinations(grid)
+        self.params = [strategy_cls.params_class(**c) for c in (*self.tried, {})]
+        shapes = [tuple((f.name, getattr(p, f.name)) for f in fields(p) if f.name not in EXECUTION) for p in self.params]
+        self.distinct = list(dict.fromkeys(shapes))
+        self.shape = [self.distinct.index(s) for s in shapes]
+
+    def members(self, shape: int) -> list[int]:
+        return [i for i, s in enumerate(self.shape) if s == shape]
+
+    def signals(self, shape: int, bars: DataFrame, keys) -> DataFrame:
+        return self.strategy_cls(self.params[self.shape.index(shape)], keys).signals(bars)
+
+
+def search(bars: DataFrame, grid: Grid, keys) -> DataFrame:
+    """keys, combo and metrics of every combination tried over every series of bars."""
+    keys = tuple(keys)
+    none = F.lit(None).cast("double")
+    parts = [bars.select(*keys, "ts", F.lit(-1).alias("shape"), *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")], none.alias("atr"), F.lit(0).alias("signal"))]
+    tried = set(grid.shape[:-1])
+    for shape in sorted(tried):
+        fired = grid.signals(shape, bars, keys).where("signal <> 0")
+        parts.append(fired.select(*keys, "ts", F.lit(shape).alias("shape"), *[none.alias(c) for c in ("high", "low", "close")], F.col("atr").cast("double").alias("atr"), "signal"))
+    rules, members, count = [Execution.of(p) for p in grid.params], {s: grid.members(s) for s in tried}, len(grid.tried)
+    schema = T.StructType([*[bars.schema[c] for c in keys], T.StructField("combo", T.IntegerType()), *SPARK_SCORED.fields])
+
+    def play(table: pa.Table) -> pa.Table:
+        shape = table.column("shape").to_numpy()
+        held = table.filter(pa.array(shape < 0)).sort_by("ts")
+        times = held.column("ts").to_numpy().astype("datetime64[us]")
+        high, low, close = numbers(held, "high", "low", "close")
+        rows = []
+        for s, combos in members.items():
+            fired = table.filter(pa.array(shape == s))
+            place = np.searchsorted(times, fired.column("ts").to_numpy().astype("datetime64[us]"))
+            atr, signal = np.full(len(times), np.nan), np.zeros(len(times), np.int64)
+            atr[place], signal[place] = numbers(fired, "atr")[0], signals_in(fired)
+            series = Series(high, low, close, atr, signal, session_ends(times, rules[combos[0]].session_start, rules[combos[0]].session_end))
+            rows += [{"combo": i} | series_metrics(times, series, series.play(rules[i])) for i in combos if i < count]
+        own = pa.Table.from_pylist(rows, schema=pa.schema([("combo", pa.int32()), *ARROW_SCORED]))
+        heads = {c: pa.array([table.column(c)[0].as_py()] * len(rows), table.schema.field(c).type) for c in keys}
+        return pa.table(heads | {c: own.column(c) for c in own.column_names})
+
+    ship(bars.sparkSession)
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).applyInArrow(play, schema)
 
 
 def walk_forward(bars: DataFrame, grid: dict[str, list], strategy_cls, n_splits: int = 5, oos_ratio: float = 0.25, score: Callable[[], Column] = default_score, keys=KEYS) -> WFOResult:
     """(windows, trades, equity): the best combination of each fold's first part, run on its second.
 
     The first of equally good combinations wins; without any finite score the class defaults run.
-    Out-of-sample equity of later folds starts where the earlier ones ended."""
-    keys = tuple(keys)
-    combos = combinations(grid)
-    cut = split_folds(bars, n_splits, oos_ratio, keys)
-    by = (*keys, "fold")
+    Out-of-sample equity of later folds starts where the earlier ones ended. Names that the
+    parameters of the strategy don't have raise at once."""
+    keys, plan = tuple(keys), Grid(strategy_cls, grid)
+    spark, by = bars.sparkSession, (*keys, "fold")
+    # read by every computation of signals
+    cut = staged(split_folds(bars, n_splits, oos_ratio, keys), "cut")
     segments = cut.groupBy(*by, "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     ends = segments.groupBy(*by).agg(*[F.max(F.when(F.col("segment") == s, F.col(c))).alias(f"{s}_{c}") for s in ("is", "oos") for c in ("start", "end")])
-    # one pass runs every combination over both parts, the class defaults (behind the grid) too: one
-    # plan is cheaper than a second round over the winners, which are only known after the first
-    trades, equity = grid_results(cut, strategy_cls, [*combos, {}], (*by, "segment"))
-    results = compute_metrics(trades, equity, (*by, "segment", "combo"), p_value=False).persist()
-    scored = results.where((F.col("segment") == "is") & (F.col("combo") < len(combos))).select(*by, "combo", score().alias("is_score")).where("is_score is not null and not isnan(is_score)")
+    results = search(cut.where("segment = 'is'").drop("segment"), plan, by)
+    scored = results.select(*by, "combo", score().alias("is_score")).where("is_score is not null and not isnan(is_score)")
     first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("is_score"), "combo"))
     chosen = scored.withColumn("r", first).where("r = 1").drop("r")
-    folds = ends.join(chosen, list(by), "left").withColumn("combo", F.coalesce("combo", F.lit(len(combos))))
-    pick = folds.select(*by, "combo", F.lit("oos").alias("segment"))
-    at = [*by, "segment", "combo"]
-    trades, equity = (t.join(pick, at).drop("segment") for t in (trades, equity))
-    result = pick.join(results, at, "left").drop("segment", "combo").fillna({"num_trades": 0, "total_pnl": 0.0})
-    defaults = strategy_cls.params_class()
-    spark = bars.sparkSession
-    values = [(i, *[str(c.get(n, getattr(defaults, n))) for n in grid]) for i, c in enumerate([*combos, {}])]
+    defaults = len(plan.tried)
+    folds = staged(ends.join(chosen, list(by), "left").withColumn("combo", F.coalesce("combo", F.lit(defaults))), "folds")
+    second, parts = cut.where("segment = 'oos'").drop("segment"), []
+    # as many rows at most as there are combinations
+    won = {r["combo"] for r in folds.select("combo").distinct().collect()}
+    for shape in sorted({plan.shape[i] for i in won}) or [plan.shape[defaults]]:
+        mine = second.join(folds.where(F.col("combo").isin(plan.members(shape))).select(*by, F.col("combo").alias("rule")), list(by))
+        parts.append(plan.signals(shape, mine, by).select(*by, "ts", "high", "low", "close", "atr", "signal", "rule"))
+    result = staged(run(reduce(DataFrame.unionByName, parts), [Execution.of(p) for p in plan.params], by, measure, SPARK_SCORED), "confirmed")
+    trades, equity = trades_of(result, by), equity_of(result, by)
+    measured = result.where("measured is not null").select(*by, "measured.*")
+    values = [(i, *[str(getattr(p, n)) for n in grid]) for i, p in enumerate(plan.params)]
     params = spark.createDataFrame(values, ", ".join(["combo int", *[f"param_{n} string" for n in grid]]))
-    windows = folds.join(result, list(by)).join(F.broadcast(params), "combo").select(
+    # the number of combinations is fixed by the grid, not by the data
+    windows = folds.join(measured, list(by), "left").fillna({"num_trades": 0, "total_pnl": 0.0}).join(F.broadcast(params), "combo").select(
         *by, "is_start", "is_end", "oos_start", "oos_end", "is_score", F.col("total_pnl").alias("oos_pnl"), F.col("sharpe_daily").alias("oos_sharpe"),
         F.col("profit_factor").alias("oos_profit_factor"), F.col("win_rate").alias("oos_win_rate"), F.col("num_trades").alias("oos_trades"),
         F.when(F.col("is_score") > 0, F.col("sharpe_daily") / F.col("is_score")).alias("degradation_ratio"), *[f"param_{n}" for n in grid],
     )
-    return WFOResult(windows, trades.drop("combo"), stitched(equity.drop("combo"), keys))
+    return WFOResult(windows, trades, stitched(equity, keys))
 
 
 def stitched(equity: DataFrame, keys=KEYS) -> DataFrame:
@@ -145,9 +193,7 @@ def combined_windows(windows: DataFrame, trades: DataFrame, keys=("group", "tf")
     """Per fold over all assets: metrics of the joint trades, the mean degradation, and the
     boundaries and parameters of the first asset."""
     by = [*keys, "fold"]
-    w = Window.partitionBy(*by).orderBy(*EXIT_ORDER, "asset").rowsBetween(Window.unboundedPreceding, 0)
-    equity = trades.select(*by, F.col("exit_time").alias("timestamp"), F.sum("pnl_points").over(w).alias("equity"))
-    joint = compute_metrics(trades, equity, by, p_value=False)
+    joint = merged_metrics(trades, by, (*EXIT_ORDER[:1], "asset", *EXIT_ORDER[1:]))
     names = [c for c in windows.columns if c.startswith("param_")]
     lead = windows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("asset"))).where("r = 1").select(*by, "is_start", "is_end", "oos_start", "oos_end", *names)
     decay = windows.groupBy(*by).agg(F.avg("degradation_ratio").alias("degradation_ratio"))

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from tallyfold.functions.recursion import cycle_weights
+from tallyfold.functions.rescaled_range import chunk_lengths
+from tallyfold.functions.spectrum import cycle_weights, cycles
+
+#: Bars of several lengths in one table; the length is part of the asset's name.
+FRAMES = ("30min", "1h", "4h")
+
+
+def framed_bars(frames: tuple[str, ...] = FRAMES) -> str:
+    hours = {f: f"{f.removesuffix('min')} MINUTE" if f.endswith("min") else f"{f[:-1]} HOUR" for f in frames}
+    return "bars AS (" + " UNION ALL ".join(
+        f"""SELECT event_type || '@{f}' AS asset, time_bucket(INTERVAL {h}, ts) AS ts, arg_min(value, ts) AS open, max(value) AS high,
+           min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS tick_vol FROM events GROUP BY 1, 2""" for f, h in hours.items()) + ")"
+
 
 BARS = """bars AS (
     SELECT event_type AS asset, time_bucket(INTERVAL 1 HOUR, ts) AS ts, arg_min(value, ts) AS open, max(value) AS high,
@@ -133,6 +145,42 @@ def fft(n: int, shortest: int, longest: int) -> str:
         THEN list_dot_product(list(ln(close)) OVER {rows(n)}, [{weights}]::DOUBLE[]) END AS fft_delta FROM base)"""
 
 
+def _weights(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
+
+
+def harmonics(n: int, shortest: int, longest: int, most: int, floor: float) -> str:
+    """The projection from each frequency's coefficient, as sums over the window."""
+    c = cycles(n, shortest, longest)
+    first = c.band.start
+    waves = range(c.transform.shape[1])
+    part = lambda f: ", ".join(f"list_dot_product(w, {_weights(getattr(c.transform[:, k], f))})" for k in waves)
+    inside = f"[{first + 1}:{min(c.band.stop, len(waves))}]"
+    return f"""hm_1 AS (SELECT *, CASE WHEN count(close) OVER {rows(n)} = {n} THEN list(ln(close)) OVER {rows(n)} END AS w FROM base),
+    hm_2 AS (SELECT asset, ts, w, [{part('real')}] AS re, [{part('imag')}] AS im FROM hm_1 WHERE w IS NOT NULL),
+    hm_3 AS (SELECT *, list_transform(list_zip(re, im), lambda z: z[1] * z[1] + z[2] * z[2]) AS power,
+        list_transform(list_zip(re, im, {_weights(c.turn.real)}, {_weights(c.turn.imag)}), lambda z: z[1] * z[3] - z[2] * z[4]) AS step FROM hm_2),
+    hm_4 AS (SELECT *, list_sort(list_transform(list_zip(power{inside}, step{inside}, range({min(c.band.stop, len(waves)) - first})), lambda z: {{'p': -z[1], 'k': z[3], 's': z[2]}}))[1:{most}] AS best FROM hm_3),
+    fft AS (SELECT b.*, CASE WHEN list_min(w) < list_max(w) AND list_sum(power{inside}) >= {floor!r} * list_sum(power)
+        THEN list_sum(list_transform(best, lambda z: z.s)) + list_dot_product(w, {_weights(c.slope)}) END AS fft_delta FROM base b LEFT JOIN hm_4 h ON h.asset = b.asset AND h.ts = b.ts)"""
+
+
+def hurst(window: int, least: int, step: int) -> list[str]:
+    """CTEs up to hurst_t: base with the exponent of the last log returns, every `step` bars."""
+    lengths = ", ".join(map(str, chunk_lengths(window, least)))
+    return [
+        f"hu_r AS (SELECT *, rn - 1 AS i, ln(close) - ln({lag('close')}) AS r FROM base)",
+        f"hu_e AS (SELECT asset, i AS e FROM hu_r WHERE i >= {window} AND (i - {window}) % {step} = 0)",
+        f"hu_w AS (SELECT h.asset, e, i - e + {window - 1} AS k, r FROM hu_e h JOIN hu_r x ON x.asset = h.asset AND x.i BETWEEN h.e - {window - 1} AND h.e)",
+        f"hu_c AS (SELECT asset, e, s, k // s AS c, k, r, avg(r) OVER (PARTITION BY asset, e, s, k // s) AS m FROM hu_w, unnest([{lengths}]) AS u(s) WHERE k < {window} // s * s)",
+        "hu_d AS (SELECT *, sum(r - m) OVER (PARTITION BY asset, e, s, c ORDER BY k) AS d FROM hu_c)",
+        "hu_q AS (SELECT asset, e, s, c, (max(d) - min(d)) / nullif(stddev_pop(r), 0) AS q FROM hu_d GROUP BY ALL)",
+        "hu_p AS (SELECT asset, e, s, ln(avg(q)) AS y FROM hu_q GROUP BY ALL)",
+        "hu_s AS (SELECT asset, e, CASE WHEN count(y) > 1 THEN regr_slope(y, ln(s)) END AS h FROM hu_p GROUP BY ALL)",
+        "hurst_t AS (SELECT b.*, last_value(h IGNORE NULLS) OVER (PARTITION BY b.asset ORDER BY b.rn ROWS UNBOUNDED PRECEDING) AS hurst FROM base b LEFT JOIN hu_s s ON s.asset = b.asset AND s.e = b.rn - 1)",
+    ]
+
+
 def signal_sql(source: str, long: str, short: str, guard: str = "atr", gate: str = "true", session: bool = False) -> str:
     """CTE sig: asset, ts, prices, atr and signal."""
     missing = " OR ".join(f"{g.strip()} IS NULL" for g in guard.split(",")) if guard else "false"
@@ -162,6 +210,9 @@ SIGNALS: dict[str, list[str]] = {
     "05": [*START, DONCHIAN, signal_sql("dc", f"coalesce(close > eh, false) OR coalesce(close > xh AND coalesce({lag('trend')}, 0) = -1, false)", f"coalesce(close < el, false) OR coalesce(close < xl AND coalesce({lag('trend')}, 0) = 1, false)", "atr, eh, el")],
     "06": [*START, *EMAS, *rsi(14, "e4"), _RIBBON, signal_sql("ribbon", f"bull AND NOT coalesce({lag('bull')}, false) AND rsi < 65", f"bear AND NOT coalesce({lag('bear')}, false) AND rsi > 35", "atr, e4_, rsi")],
     "07": [*START, *KELTNER, signal_sql("kc", "close <= kc_lower", "close >= kc_upper", "atr, kc_upper, kc_lower", "adx < 25")],
+    "08": [*START, *hurst(128, 8, 4), *rsi(14, "hurst_t"), "h_t AS (SELECT * FROM rsi_t)", SMA.replace("FROM base", "FROM h_t"), signal_sql("sma_d",
+        f"coalesce(hurst > 0.6 AND {up('sma_diff')}, false) OR coalesce(hurst < 0.4 AND {up('rsi', '30')}, false)",
+        f"coalesce(hurst > 0.6 AND {down('sma_diff')}, false) OR coalesce(hurst < 0.4 AND {down('rsi', '70')}, false)", "atr, hurst, sma_slow, rsi")],
     "09": [*START, DUAL_THRUST, signal_sql("dth", f"close > upper_trigger AND {_CUT}", f"close < lower_trigger AND {_CUT}", "atr, upper_trigger, lower_trigger", session=True)],
     "11": [*START, VWAP, signal_sql("vw", f"close <= vwap - 1.0 * vwap_sigma AND {_CUT} AND session_bar >= 3 AND vwap_sigma > 0", f"close >= vwap + 1.0 * vwap_sigma AND {_CUT} AND session_bar >= 3 AND vwap_sigma > 0", "atr, vwap", session=True)],
     "12": [*START, STOCHASTIC, signal_sql("st", up("stoch_k", "20"), down("stoch_k", "80"), "atr, stoch_k")],
@@ -234,34 +285,38 @@ def metrics(keys: str, trades: str = "trades", equity: str = "equity") -> str:
 TRADE_COLUMNS = 'entry_time, exit_time, direction, round(entry, 6) AS entry, round("exit", 6) AS "exit", reason, round(pnl_points, 6) AS pnl_points, bars_held, round(size, 6) AS size'
 
 
-def folds(n_splits: int, oos_ratio: float) -> str:
-    """CTE cut: hourly bars with fold, segment and `series` (asset, fold and segment in one)."""
-    return BARS.replace("bars AS", "hours AS", 1) + f""",
+def folds(n_splits: int, oos_ratio: float, bars: str = BARS) -> str:
+    """CTE cut: bars with fold, segment and `series` (asset, fold and segment in one)."""
+    return bars.replace("bars AS", "hours AS", 1) + f""",
     counted AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM hours),
     parted AS (SELECT *, least(i // greatest(n // {n_splits}, 1), {n_splits - 1}) AS fold FROM counted),
     placed AS (SELECT *, row_number() OVER (PARTITION BY asset, fold ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY asset, fold) AS m FROM parted),
     cut AS (SELECT *, CASE WHEN k < greatest(1, floor(m * {1.0 - oos_ratio!r}::DOUBLE)) THEN 'is' ELSE 'oos' END AS segment FROM placed WHERE m >= 50 AND greatest(1, floor(m * {1.0 - oos_ratio!r}::DOUBLE)) < m)"""
 
 
-def fold_results(combos: list[dict], n_splits: int, oos_ratio: float) -> str:
+def fold_results(combos: list[dict], n_splits: int, oos_ratio: float, source: str = BARS) -> str:
     """Per series of folds() and combination (the last one stands for the class defaults): metrics."""
+    wanted = "asset, num_trades, total_pnl, win_rate, profit_factor, ratio AS sharpe, CASE WHEN sd > 0 THEN b.expectancy / (sd / sqrt(num_trades)) END AS t"
+    return fold_parts(combos, n_splits, oos_ratio, source, f"SELECT {wanted} FROM base_m b LEFT JOIN sharpe USING (asset)", metrics("asset"))
+
+
+def fold_parts(combos: list[dict], n_splits: int, oos_ratio: float, source: str, select: str, *more: str) -> str:
     bars = "bars AS (SELECT asset || '|' || fold || '|' || segment AS asset, ts, open, high, low, close, tick_vol FROM cut)"
     parts = []
     for i, c in enumerate([*combos, {}]):
-        ctes = [folds(n_splits, oos_ratio), *sma_signals(c.get("fast", 20), c.get("slow", 50), (bars, TR, atr())), stepper(c.get("sl_atr_mult", 2.0), c.get("tp_atr_mult", 3.0)), metrics("asset")]
-        wanted = "asset, num_trades, total_pnl, win_rate, profit_factor, ratio AS sharpe, CASE WHEN sd > 0 THEN b.expectancy / (sd / sqrt(num_trades)) END AS t"
-        parts.append(f"SELECT {i} AS combo, * FROM ({query(*ctes, select=f'SELECT {wanted} FROM base_m b LEFT JOIN sharpe USING (asset)')})")
+        ctes = [folds(n_splits, oos_ratio, source), *sma_signals(c.get("fast", 20), c.get("slow", 50), (bars, TR, atr())), stepper(c.get("sl_atr_mult", 2.0), c.get("tp_atr_mult", 3.0)), *more]
+        parts.append(f"SELECT {i} AS combo, * FROM ({query(*ctes, select=select)})")
     return " UNION ALL ".join(parts)
 
 
-def walk_forward(grid: dict[str, list], combos: list[dict], n_splits: int, oos_ratio: float) -> str:
+def walk_forward(grid: dict[str, list], combos: list[dict], n_splits: int, oos_ratio: float, source: str = BARS) -> str:
     """CTEs up to wfo: one row per asset and fold."""
     values = ", ".join(str((i, *[str(c.get(n, {"fast": 20, "slow": 50, "sl_atr_mult": 2.0, "tp_atr_mult": 3.0}[n])) for n in grid])) for i, c in enumerate([*combos, {}]))
     limits = ", ".join(f"{f}(ts) FILTER (segment = '{s}') AS {s}_{n}" for s in ("is", "oos") for f, n in (("min", "start"), ("max", "end")))
     names = ", ".join(f"param_{n}" for n in grid)
-    return f"""{folds(n_splits, oos_ratio)},
+    return f"""{folds(n_splits, oos_ratio, source)},
     results AS MATERIALIZED (SELECT combo, num_trades, total_pnl, win_rate, profit_factor, sharpe, CASE WHEN num_trades >= 5 THEN coalesce(sharpe, t) END AS score,
-        string_split(asset, '|')[1] AS asset, string_split(asset, '|')[2]::INTEGER AS fold, string_split(asset, '|')[3] AS segment FROM ({fold_results(combos, n_splits, oos_ratio)})),
+        string_split(asset, '|')[1] AS asset, string_split(asset, '|')[2]::INTEGER AS fold, string_split(asset, '|')[3] AS segment FROM ({fold_results(combos, n_splits, oos_ratio, source)})),
     limits AS (SELECT asset, fold::INTEGER AS fold, {limits} FROM cut GROUP BY 1, 2),
     best AS (SELECT asset, fold, combo, score FROM results WHERE segment = 'is' AND combo < {len(combos)} AND score IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY asset, fold ORDER BY score DESC, combo) = 1),
@@ -271,3 +326,13 @@ def walk_forward(grid: dict[str, list], combos: list[dict], n_splits: int, oos_r
         FROM limits l LEFT JOIN best b ON b.asset = l.asset AND b.fold = l.fold
         LEFT JOIN results r ON r.asset = l.asset AND r.fold = l.fold AND r.segment = 'oos' AND r.combo = coalesce(b.combo, {len(combos)})
         JOIN given g ON g.combo = coalesce(b.combo, {len(combos)}))"""
+
+
+def stitched(combos: list[dict], n_splits: int, oos_ratio: float) -> str:
+    """CTEs after walk_forward(): equity of the chosen combinations, each fold raised by those before."""
+    return f"""curves AS MATERIALIZED (SELECT combo, "timestamp", equity, string_split(asset, '|')[1] AS asset, string_split(asset, '|')[2]::INTEGER AS fold, string_split(asset, '|')[3] AS segment
+        FROM ({fold_parts(combos, n_splits, oos_ratio, BARS, 'SELECT * FROM equity')})),
+    picked AS (SELECT c.asset, c.fold, "timestamp", equity FROM curves c JOIN limits l ON l.asset = c.asset AND l.fold = c.fold LEFT JOIN best b ON b.asset = c.asset AND b.fold = c.fold
+        WHERE segment = 'oos' AND c.combo = coalesce(b.combo, {len(combos)})),
+    finals AS (SELECT asset, fold, arg_max(equity, "timestamp") AS final FROM picked GROUP BY 1, 2),
+    raised AS (SELECT p.asset, p.fold, "timestamp", equity + coalesce((SELECT sum(final) FROM finals f WHERE f.asset = p.asset AND f.fold < p.fold), 0) AS equity FROM picked p)"""

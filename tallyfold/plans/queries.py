@@ -15,6 +15,7 @@ from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
 from tallyfold.operators.metrics import compute_metrics, daily_changes, drawdown, metrics_comparison, metrics_table, subperiods
 from tallyfold.plans import oracles as o
 from tallyfold.sources.bars import resample_ohlc, ticks_to_bars
+from tallyfold.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -145,19 +146,39 @@ def keltner_channel(spark, sf_dir):
     return rounded(st.KeltnerReversionStrategy().indicators(hourly(spark, sf_dir)), "kc_mid", "kc_upper", "kc_lower")
 
 
+# The same averages, each series in blocks of three days.
+_SCANNED = 3
+
+
+@query(o.query(*o.START, *o.EMAS, select="SELECT asset, ts, " + ", ".join(f"round(e{i}_, 6) AS ema{i}" for i in range(1, 5)) + " FROM e4"))
+def ema_ribbon_scanned(spark, sf_dir):
+    specs = [st.ema(f"ema{i}", n) for i, n in enumerate((5, 8, 13, 21), 1)]
+    return rounded(with_recursions(with_atr(spark, sf_dir), specs, days=_SCANNED), "ema1", "ema2", "ema3", "ema4")
+
+
+@query(o.query(*o.START, *o.MACD, select=f"SELECT asset, ts, {o.r6('macd', 'macd_signal', 'macd_hist')} FROM macd_t"))
+def macd_lines_scanned(spark, sf_dir):
+    return rounded(st.macd(with_atr(spark, sf_dir), 12, 26, 9, days=_SCANNED), "macd", "macd_signal", "macd_hist")
+
+
+@query(o.query(*o.START, *o.adx(14), select="SELECT asset, ts, round(adx, 6) AS adx FROM adx_t"))
+def directional_index_scanned(spark, sf_dir):
+    return rounded(st.adx(with_atr(spark, sf_dir), 14, days=_SCANNED), "adx")
+
+
 @query(o.query(*o.START, o.fft(32, 4, 12), select="SELECT asset, ts, round(fft_delta, 6) AS fft_delta FROM fft"))
 def cycle_projection(spark, sf_dir):
     spec = Derived("fft_delta", lambda f: rolling_cycle(f["close"].to_numpy(), 32, 4, 12, 0, 0.0))
     return rounded(with_recursions(hourly(spark, sf_dir), [spec]), "fft_delta")
 
 
-@query()
+@query(o.query(*o.START, o.harmonics(64, 6, 24, 3, 0.05), select="SELECT asset, ts, round(fft_delta, 6) AS fft_delta FROM fft"))
 def cycle_projection_top_harmonics(spark, sf_dir):
     spec = Derived("fft_delta", lambda f: rolling_cycle(f["close"].to_numpy(), 64, 6, 24, 3, 0.05))
     return rounded(with_recursions(hourly(spark, sf_dir), [spec]), "fft_delta")
 
 
-@query()
+@query(o.query(*o.START, *o.hurst(128, 8, 4), select="SELECT asset, ts, round(hurst, 6) AS hurst FROM hurst_t"))
 def hurst_exponent(spark, sf_dir):
     spec = Derived("hurst", lambda f: rolling_hurst(f["close"].to_numpy(), 128, 8, 4))
     return rounded(with_recursions(hourly(spark, sf_dir), [spec]), "hurst")
@@ -199,11 +220,14 @@ def backtest(spark, sf_dir, number: str = "01", slippage: float = 0.0, **changes
     from dataclasses import replace
 
     chosen = strategy(number)
-    return run(chosen.signals(hourly(spark, sf_dir)), replace(Execution.of(chosen.params, slippage), **changes)).persist()
+    return staged(run(chosen.signals(hourly(spark, sf_dir)), replace(Execution.of(chosen.params, slippage), **changes)), "backtest")
 
 
 def _trades(result: DataFrame) -> DataFrame:
-    t = trades_of(result)
+    return _rounded_trades(trades_of(result))
+
+
+def _rounded_trades(t: DataFrame) -> DataFrame:
     return t.select("asset", "entry_time", "exit_time", "direction", F.round("entry", 6).alias("entry"), F.round("exit", 6).alias("exit"), "reason", F.round("pnl_points", 6).alias("pnl_points"), "bars_held", F.round("size", 6).alias("size"))
 
 
@@ -302,7 +326,17 @@ def inverse_volatility_weights(spark, sf_dir):
     return portfolio.correlation_weights(equity_of(backtest(spark, sf_dir))).select("asset", F.round("weight", 6).alias("weight"))
 
 
-@query()
+_GAUSS = """cov AS (SELECT x.asset AS a, y.asset AS b, covar_samp(x.daily_return, y.daily_return) AS c FROM recent x JOIN recent y ON x.day = y.day GROUP BY 1, 2),
+    lines AS (SELECT a, list(c ORDER BY b) || [1.0::DOUBLE] AS line FROM cov GROUP BY 1),
+    steps_m AS (SELECT 1 AS k, list(line ORDER BY a) AS m, list(a ORDER BY a) AS names, count(*) AS n FROM lines
+        UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = k THEN list_transform(m[i], lambda x: x / m[i][i])
+            ELSE list_transform(range(1, n + 2), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END), names, n FROM steps_m WHERE k <= n),
+    solved AS (SELECT unnest(names) AS asset, unnest(list_transform(m, lambda l: l[n + 1])) AS raw FROM steps_m WHERE k = n + 1),
+    least AS (SELECT asset, greatest(raw / sum(raw) OVER (), 0) AS w FROM solved),
+    lv AS (SELECT asset, w / sum(w) OVER () AS weight FROM least)"""
+
+
+@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), o.daily("asset"), _WEIGHTS, _GAUSS, select="SELECT asset, round(weight, 6) AS weight FROM lv"))
 def least_variance_weights(spark, sf_dir):
     return portfolio.correlation_weights(equity_of(backtest(spark, sf_dir)), method="min_var").select("asset", F.round("weight", 6).alias("weight"))
 
@@ -339,7 +373,7 @@ def sided(spark, sf_dir) -> DataFrame:
     bars = hourly(spark, sf_dir)
     rules = Execution(2.0, 3.0)
     parts = [run(strategy(n).signals(bars), rules).withColumn("strategy", F.lit(n)) for n in _SIDE]
-    return reduce(DataFrame.unionByName, parts).persist()
+    return staged(reduce(DataFrame.unionByName, parts), "sided")
 
 
 def sided_metrics(spark, sf_dir) -> DataFrame:
@@ -398,10 +432,10 @@ def strategy_correlation(spark, sf_dir):
     return compare.return_correlation(returns, least_days=20).select("a", "b", F.round("correlation", 6).alias("correlation"))
 
 
-@query("""SELECT 'missing' AS kind, r_name AS name FROM region WHERE r_name NOT IN (SELECT r_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 5)
-    UNION ALL SELECT DISTINCT 'shared', r_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 5""")
+@query("""SELECT 'missing' AS kind, r_name AS name FROM region WHERE r_name NOT IN (SELECT r_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey)
+    UNION ALL SELECT DISTINCT 'shared', r_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey""")
 def group_sets(spark, sf_dir):
-    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation").where("n_nationkey < 5")
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     found = region.join(nation, F.col("r_regionkey") == F.col("n_regionkey")).join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
     left = compare.missing_groups(region, found, "r_name").select(F.lit("missing").alias("kind"), F.col("r_name").alias("name"))
     return left.unionByName(compare.shared_groups(region, found, "r_name").select(F.lit("shared").alias("kind"), F.col("r_name").alias("name")))
@@ -424,46 +458,62 @@ def group_sets_whole(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query()
+def framed(spark, sf_dir, frames: tuple[str, ...] = o.FRAMES) -> DataFrame:
+    ticks = table(spark, sf_dir, "events")
+    return reduce(DataFrame.unionByName, [ticks_to_bars(ticks, "event_type", "ts", "value", f, ("event_id",)) for f in frames])
+
+
+_TABLE = ("num_trades", "total_pnl", "win_rate", "avg_win", "avg_loss", "profit_factor", "expectancy", "max_drawdown", "max_consec_losses", "sharpe_daily", "t_stat", "t_stat")
+
+
+@query(o.query(o.framed_bars(("1h", "4h")), o.TR, o.atr(), *o.sma_signals(20, 50, ()), o.stepper(2.0, 3.0), o.metrics("asset"),
+    "long_m AS (" + " UNION ALL ".join(f"SELECT string_split(asset, '@')[1] AS asset, string_split(asset, '@')[2] AS tf, {i} AS place, {m}::DOUBLE AS value FROM metrics" for i, m in enumerate(_TABLE)) + ")",
+    f"names(place, metric) AS (VALUES {', '.join(str((i, m)) for i, m in enumerate((*_TABLE[:10], 'sharpe_per_trade', 't_stat')))})",
+    select="""SELECT asset, place::INTEGER AS place, metric, max(CASE WHEN tf = '1h' THEN value END) AS "1h", max(CASE WHEN tf = '4h' THEN value END) AS "4h" FROM long_m JOIN names USING (place) GROUP BY 1, 2, 3"""))
 def metrics_by_timeframe(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    both = bars.unionByName(resample_ohlc(bars, "4h"))
-    result = run(st.SMACrossoverStrategy().signals(both), Execution(2.0, 3.0))
-    return metrics_comparison(compute_metrics(trades_of(result), equity_of(result), p_value=False), "tf", keys=("asset",))
+    result = staged(run(st.SMACrossoverStrategy().signals(framed(spark, sf_dir, ("1h", "4h"))), Execution(2.0, 3.0)), "timeframes")
+    return metrics_comparison(_metrics(compute_metrics(trades_of(result), equity_of(result), p_value=False), "asset", "tf").withColumn("sharpe_per_trade", F.col("t_stat")), "tf", keys=("asset",))
+
+
+@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), select=f"SELECT asset, {o.TRADE_COLUMNS} FROM trades QUALIFY row_number() OVER (PARTITION BY asset ORDER BY exit_time, entry_time) <= 10"))
+def earliest_trades(spark, sf_dir):
+    """The report of each series' first ten trades."""
+    result = backtest(spark, sf_dir)
+    return _rounded_trades(robustness.head_trades(trades_of(result), 10))
 
 
 _NUMBERED = """num AS (SELECT asset, pnl_points, row_number() OVER (PARTITION BY asset ORDER BY exit_time, entry_time) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM trades)"""
 _ENDINGS = """curves AS (SELECT asset, run, trade_no, equity, max(equity) OVER (PARTITION BY asset, run ORDER BY trade_no ROWS UNBOUNDED PRECEDING) - equity AS fall FROM runs),
     ends AS (SELECT asset, run, arg_max(equity, trade_no) AS final, max(fall) AS fall FROM curves GROUP BY 1, 2),
-    summary AS (SELECT asset, count(*) AS runs, round(avg(final), 4) AS mean_final, round(quantile_cont(final, 0.05), 4) AS p05_final, round(quantile_cont(final, 0.95), 4) AS p95_final,
-        round(-avg(fall), 4) AS mean_max_dd, round(-quantile_cont(fall, 0.95), 4) AS p95_max_dd, round(avg(CASE WHEN final > 0 THEN 1.0 ELSE 0.0 END), 6) AS prob_profitable FROM ends GROUP BY 1)"""
-_SHUFFLED = """runs AS (SELECT asset, run, row_number() OVER w AS trade_no, sum(pnl_points) OVER (w ROWS UNBOUNDED PRECEDING) AS equity FROM num, unnest(range(0, 50)) AS u(run)
+    summary AS (SELECT asset, count(*) AS runs, round(avg(final), 7) AS mean_final, round(quantile_cont(final, 0.05), 7) AS p05_final, round(quantile_cont(final, 0.95), 7) AS p95_final,
+        round(-avg(fall), 7) AS mean_max_dd, round(-quantile_cont(fall, 0.95), 7) AS p95_max_dd, round(avg(CASE WHEN final > 0 THEN 1.0 ELSE 0.0 END), 6) AS prob_profitable FROM ends GROUP BY 1)"""
+_SHUFFLED = """runs AS (SELECT asset, run, row_number() OVER w AS trade_no, sum(pnl_points) OVER (w ROWS UNBOUNDED PRECEDING) AS equity FROM num, unnest(range(0, 1000)) AS u(run)
     WINDOW w AS (PARTITION BY asset, run ORDER BY md5('42|' || run || '|' || i), i))"""
 _BLOCKS = """heads AS (SELECT asset, max(n) AS n, greatest(1, floor(sqrt(max(n))))::BIGINT AS b FROM num GROUP BY 1),
     picks AS (SELECT asset, run, block * b + k + 1 AS trade_no, (('0x' || substr(md5('42|' || run || '|' || block), 1, 8))::BIGINT % n + k) % n AS i
-        FROM heads, unnest(range(0, 50)) AS u(run), unnest(range(0, 1000)) AS v(block), unnest(range(0, 100)) AS x(k) WHERE block < ceil(n / b) AND k < b AND block * b + k + 1 <= n),
+        FROM heads, unnest(range(0, 1000)) AS u(run), unnest(range(0, ceil(n / b)::BIGINT)) AS v(block), unnest(range(0, b)) AS x(k) WHERE block * b + k + 1 <= n),
     runs AS (SELECT p.asset, run, trade_no, sum(pnl_points) OVER (PARTITION BY p.asset, run ORDER BY trade_no ROWS UNBOUNDED PRECEDING) AS equity FROM picks p JOIN num t ON t.asset = p.asset AND t.i = p.i)"""
 _SUMMARY = ("mean_final", "p05_final", "p95_final", "mean_max_dd", "p95_max_dd")
 
 
 def _summary(runs: DataFrame) -> DataFrame:
     s = robustness.monte_carlo_summary(runs)
-    return s.select("asset", "runs", *[F.round(c, 4).alias(c) for c in _SUMMARY], F.round("prob_profitable", 6).alias("prob_profitable"))
+    return s.select("asset", "runs", *[F.round(c, 7).alias(c) for c in _SUMMARY], F.round("prob_profitable", 6).alias("prob_profitable"))
 
 
 @query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _SHUFFLED, _ENDINGS, select="SELECT * FROM summary"))
 def monte_carlo(spark, sf_dir):
-    return _summary(robustness.monte_carlo_trades(trades_of(backtest(spark, sf_dir)), 50))
+    return _summary(robustness.monte_carlo_trades(trades_of(backtest(spark, sf_dir))))
 
 
 @query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _BLOCKS, _ENDINGS, select="SELECT * FROM summary"))
 def block_bootstrap(spark, sf_dir):
-    return _summary(robustness.block_bootstrap_trades(trades_of(backtest(spark, sf_dir)), None, 50))
+    return _summary(robustness.block_bootstrap_trades(trades_of(backtest(spark, sf_dir))))
 
 
 @query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), _NUMBERED, _SHUFFLED, select="SELECT asset, trade_no, round(quantile_cont(equity, 0.05), 7) AS q05, round(quantile_cont(equity, 0.5), 7) AS q50, round(quantile_cont(equity, 0.95), 7) AS q95 FROM runs GROUP BY 1, 2"))
 def equity_cone(spark, sf_dir):
-    cone = robustness.quantile_cone(robustness.monte_carlo_trades(trades_of(backtest(spark, sf_dir)), 50))
+    cone = robustness.quantile_cone(robustness.monte_carlo_trades(trades_of(backtest(spark, sf_dir))))
     return cone.select("asset", "trade_no", *[F.round(c, 7).alias(c) for c in ("q05", "q50", "q95")])
 
 
@@ -484,9 +534,9 @@ def walk_forward_windows(spark, sf_dir):
     return windows.select(*[F.round(c, 4).alias(c) if c in _WFO_NUMBERS else c for c in windows.columns])
 
 
-@query()
+@query(o.query(_WFO, o.stitched(walkforward.combinations(_GRID), 3, 0.25), select='SELECT asset, fold, "timestamp", round(equity, 4) AS equity FROM raised'))
 def walk_forward_equity(spark, sf_dir):
-    return _wfo(spark, sf_dir)[2]
+    return _wfo(spark, sf_dir)[2].select("asset", "fold", "timestamp", F.round("equity", 4).alias("equity"))
 
 
 @query(o.query(_WFO, select="""SELECT * FROM (SELECT asset, param_fast, param_slow, param_sl_atr_mult, param_tp_atr_mult, count(*) AS folds, min(fold) AS first_fold FROM wfo GROUP BY ALL)
@@ -495,15 +545,24 @@ def walk_forward_params(spark, sf_dir):
     return walkforward.pick_best_params(_wfo(spark, sf_dir)[0]).drop("group", "tf")
 
 
+_SHORT = {"fast": [5, 10], "slow": [30], "tp_atr_mult": [2.0, 4.0]}
+
+
+def _wfo_framed(spark, sf_dir):
+    """Walk-forward of every series at three timeframes."""
+    return walkforward.walk_forward(framed(spark, sf_dir), _SHORT, st.SMACrossoverStrategy, 2, 0.25)
+
+
 @query()
 def walk_forward_combined(spark, sf_dir):
-    windows, trades, _ = _wfo(spark, sf_dir)
+    windows, trades, _ = _wfo_framed(spark, sf_dir)
     return walkforward.combined_windows(windows, trades)
 
 
-@query()
+@query(o.query(o.walk_forward(_SHORT, walkforward.combinations(_SHORT), 2, 0.25, o.framed_bars()), select="""SELECT string_split(asset, '@')[1] AS asset, string_split(asset, '@')[2] AS tf, round(avg(oos_sharpe), 4) AS oos_sharpe FROM wfo WHERE oos_sharpe IS NOT NULL GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY string_split(asset, '@')[1] ORDER BY avg(oos_sharpe) DESC, string_split(asset, '@')[2]) = 1"""))
 def walk_forward_best_timeframe(spark, sf_dir):
-    return walkforward.best_timeframe(_wfo(spark, sf_dir)[0])
+    return walkforward.best_timeframe(_wfo_framed(spark, sf_dir)[0]).select("asset", "tf", F.round("oos_sharpe", 4).alias("oos_sharpe"))
 
 
 def _variant(sl: float, tp: float) -> str:
@@ -544,21 +603,29 @@ def session_and_sizing_variants(spark, sf_dir):
 
 @query()
 def registry_run(spark, sf_dir):
-    """Two registered strategies over the hourly and four-hour bars of one group."""
-    bars = hourly(spark, sf_dir)
-    both = bars.unionByName(resample_ohlc(bars, "4h"))
-    chosen = [r for r in compare.STRATEGY_REGISTRY if r.notebook_id in ("07", "12")]
-    return compare.run_all_strategies(lambda group, frames: both.where(F.col("tf").isin(frames)) if group == "forex" else None, chosen)[0]
+    """All registered strategies over all their timeframes in both groups: events and order prices."""
+    events, orders = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    # order dates are days: the order's number within its day gives it a minute of its own
+    clock = F.to_timestamp_ntz(F.to_date("o_orderdate").cast("string")) + F.expr("make_dt_interval(0, 9, 0, 0)") + F.expr("make_dt_interval(0, 0, cast(o_orderkey % 540 as int), 0)")
+    ticks = {"forex": (events, "event_type", "ts", "value", ("event_id",)), "b3": (orders.withColumn("ts", clock), "o_orderpriority", "ts", "o_totalprice", ("o_orderkey",))}
+
+    def bars_for(group: str, frames: list[str]) -> DataFrame:
+        source, asset, time, price, order = ticks[group]
+        return reduce(DataFrame.unionByName, [ticks_to_bars(source, asset, time, price, f, order, group=group) for f in frames])
+
+    return compare.run_all_strategies(bars_for)[0]
 
 
 @query()
 def synthetic_against_real(spark, sf_dir):
     bars, rules = hourly(spark, sf_dir), Execution()
     made = robustness.synthetic_assets(bars, 2, 300)
+    most = 200
     real = run(st.SMACrossoverStrategy().signals(bars), rules)
     by = (*k.KEYS, "copy")
     drawn = run(st.SMACrossoverStrategy(keys=by).signals(made), rules, by)
-    return compare.against_real(compute_metrics(trades_of(real), equity_of(real), p_value=False), compute_metrics(trades_of(drawn, by), equity_of(drawn, by), by, p_value=False))
+    first = lambda r, keys: robustness.head_trades(trades_of(r, keys), most, keys)
+    return compare.against_real(compute_metrics(first(real, k.KEYS), equity_of(real), p_value=False), compute_metrics(first(drawn, by), equity_of(drawn, by), by, p_value=False))
 
 
 @query()
