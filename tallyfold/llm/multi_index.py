@@ -15,14 +15,16 @@ not use up a query's share. Every vector is indexed.
 
 Reranking runs in blocks of about BLOCK bytes of entries. A block holds the cells of neighbouring
 centroids of the first half (a centroid with more entries is split by a hash), and a query goes to
-the blocks of the cells it walks: entries move once (once per DECK queries), queries once per block.
-A block multiplies matrices and returns the best few of each query, so pairs are never rows and no
-list has to fit in one task. Equal scores are decided by the smaller id.
+the blocks of the cells it walks, with its cells there: entries move once, queries once per block. A
+block is one task: it takes its entries first and queries then stream by. It multiplies matrices and
+returns the best few of each query, so pairs are never rows and no list of queries has to fit in a
+task. Equal scores are decided by the smaller id.
 
 Vectors that are null, zero, of another length than the first sampled one, or that hold null or
 non-finite components take no part, nor do rows without an id. Rows of equal id are separate
-entries, and none of them is a candidate of its own id. Fewer than k candidates are all returned;
-an empty table gives an empty result; other columns are not read.
+entries, and none of them is a candidate of its own id. A query id asks once, however many rows it
+has: if they differ, the smallest vector (component by component) asks. Fewer than k candidates are
+all returned; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ SAMPLE = 20_000
 TRIAL_QUERIES = 256
 AIM = 0.95
 LADDER = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
-#: Bytes of a block's entries, queries that meet them in one group, and in one product.
-BLOCK, DECK, QUERIES = 4 << 20, 32_768, 1024
+#: Bytes of a block's entries, and queries in one product.
+BLOCK, QUERIES = 4 << 20, 1024
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -184,10 +186,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
 
     packed = common.map_arrow(rows, to_bytes, "vec_id bigint, v binary")
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    total = vectors.count()
+    total = rows.count()
     sample = _sampled(packed, total, SAMPLE)
-    if not len(sample):
-        sample = _sampled(packed, 1, SAMPLE)
     if not len(sample):
         return empty
     index = MultiIndex(sample, centroids(total))
@@ -212,9 +212,15 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     for i, n in placed.groupBy("i").count().collect():
         held[i] = n
     enough, cells = share * weight.sum(), weight.shape[1]
-    chosen = placed.where(is_query(F.col("vec_id")))
+    asking = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("raw").alias("raw"))
+    chosen = common.map_arrow(asking, to_bytes, "vec_id bigint, v binary").where(F.octet_length("v") == 8 * width)
     first, count = blocks(held, max(256, BLOCK // (8 * width)))
-    decks = max(1, -(-chosen.count() // DECK))
+    there = int((first + count).max())
+    # the centroids of each block are neighbours
+    low = np.full(there, len(first))
+    high = np.zeros(there, int)
+    for i, (b, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+        low[b : b + n], high[b : b + n] = np.minimum(low[b : b + n], i), i + 1
 
     def probe(batches):
         for batch in batches:
@@ -222,41 +228,51 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 met = index.walk(_unit(np.frombuffer(v).reshape(1, -1))[0], weight, enough)
                 rows = np.flatnonzero(met.any(axis=1))
-                bits, deck = np.packbits(met).tobytes(), int(common.mix64(np.array([q], np.int64).view(np.uint64))[0] % np.uint64(decks))
-                out += [(q, v, bits, b, deck) for b in sorted({int(b) for i in rows for b in range(first[i], first[i] + count[i])})]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "v", "cells", "b", "d"])
+                out += [(b, q, v, np.packbits(met[low[b] : high[b]]).tobytes()) for b in sorted({int(b) for i in rows for b in range(first[i], first[i] + count[i])})]
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["b", "vec_id", "v", "cells"])
 
-    probes = common.map_arrow(chosen.select("vec_id", "v"), probe, "query_id bigint, v binary, cells binary, b int, d int")
+    probes = common.map_arrow(chosen, probe, "b int, vec_id bigint, v binary, cells binary").select("b", F.lit(1).alias("side"), "vec_id", "v", F.lit(0).alias("cell"), "cells")
     of = lambda values: F.array(*[F.lit(int(x)) for x in values])[F.col("i")]
     block = (of(first) + F.pmod(F.xxhash64("vec_id", "v"), of(count))).cast("int")
-    entries = placed.select("vec_id", "v", (F.col("i") * cells + F.col("j")).alias("cell"), block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(decks - 1))).alias("d"))
-
-    def rerank(entry: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if entry.num_rows and asked.num_rows:
-            entry = entry.sort_by("vec_id")
-            ids, cell = entry.column("vec_id").to_numpy(), entry.column("cell").to_numpy()
-            e = np.frombuffer(b"".join(entry.column("v").to_pylist())).reshape(len(ids), -1)
-            unit = _unit(e)
-            for at in range(0, asked.num_rows, QUERIES):
-                part = asked.slice(at, QUERIES)
-                names = part.column("query_id").to_numpy()
-                q = np.frombuffer(b"".join(part.column("v").to_pylist())).reshape(len(names), -1)
+    entries = placed.select(block.alias("b"), F.lit(0).alias("side"), "vec_id", "v", (F.col("i") * cells + F.col("j")).alias("cell"), F.lit(b"").alias("cells"))
+
+    def rerank(batches):
+        ids, data, cell, unit, at = [], [], [], None, 0
+        for whole in batches:
+            split = int(np.searchsorted(np.asarray(whole.column(1)), 1))
+            ids.append(np.asarray(whole.column(2))[:split])
+            data += whole.column(3)[:split].to_pylist()
+            cell.append(np.asarray(whole.column(4))[:split])
+            if split == whole.num_rows:
+                continue
+            if unit is None:
+                if not data:
+                    return
+                ids, cell = np.concatenate(ids), np.concatenate(cell)
+                order = np.argsort(ids, kind="stable")
+                ids, e = ids[order], np.frombuffer(b"".join(data)).reshape(len(ids), -1)[order]
+                unit, at = _unit(e), int(low[whole.column(0)[split].as_py()])
+                cell = cell[order] - at * cells
+            for part in common.slices(whole.slice(split), 5, 8 << 20, QUERIES):
+                names = np.asarray(part.column(2))
+                q = np.frombuffer(b"".join(part.column(3).to_pylist())).reshape(len(names), -1)
                 near = _unit(q) @ unit.T
-                met = np.unpackbits(np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(len(names), -1), axis=1)[:, cell].astype(bool)
+                met = np.unpackbits(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(len(names), -1), axis=1)[:, cell].astype(bool)
                 met &= names[:, None] != ids[None, :]
                 near[~met] = -np.inf
                 kth = np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -2.0)
+                out: list[tuple] = []
                 for row, query in enumerate(names.tolist()):
                     # rounding differs between equal rows of a product: all near the k-th are scored anew
                     good = np.flatnonzero(met[row] & (near[row] >= kth[row] - 1e-9))
                     exact = cosine(q[row], e[good])
                     out += [(query, int(ids[good[x]]), float(exact[x])) for x in np.lexsort((ids[good], -exact))[:k]]
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+                columns = list(zip(*out, strict=True)) or [[]] * 3
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = entries.groupBy("b", "d").cogroup(probes.groupBy("b", "d")).applyInArrow(rerank, FOUND)
+    met = entries.unionByName(probes).repartitionById(there, "b").sortWithinPartitions("side")
+    found = common.map_arrow(met, rerank, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
