@@ -21,10 +21,13 @@ Hashes only propose what to compare; the suffix arrays of the shards decide.
    that seem to repeat, by their 128-bit hashes, go to shards of their own, two copies of each. The
    copies inside a batch are collapsed before any exchange, so no group lands in one task.
 
+Texts are written once, dealt by a number that each row gets there; it stands for the row in all
+that follows, and its own id is only carried along.
+
 Matches never cross documents. Null counts as empty; texts shorter than a window keep everything;
-identical documents lose everything but what no window covers. Ids must be unique: rows of equal id
-are judged together, and so are rows without an id. An empty table gives an empty result; other
-columns are not read.
+identical documents lose everything but what no window covers. Every row is a document of its own,
+whatever its id: rows without one and rows of equal id are judged apart. An empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,8 +53,6 @@ CUT = 64
 #: Bytes of text per anchor range, of a batch, and hashed at a time.
 RANGE, BYTES, STRETCH = 12 << 20, 16 << 20, 1 << 20
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, touched boolean"
-#: Stands for a null id inside.
-_NO_ID = -(1 << 63)
 _PACKED = "part int, batch bigint, data binary"
 _PARTS = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64())])
 KNOWN = pa.schema([("doc_id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("parts", pa.list_(_PARTS))])
@@ -203,7 +204,7 @@ def _asked(rows: DataFrame, prepare, judge, finish, schema: str, parts: int) ->
 
 
 def _texts(batch) -> tuple[np.ndarray, list[bytes]]:
-    ids = pa.array(batch.column(0)).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
     column = batch.column(1)
     return ids, [(column[i].as_py() or "").encode() for i in range(batch.num_rows)]
 
@@ -369,9 +370,9 @@ def _both(found: DataFrame) -> DataFrame:
     return found.where("n > 1").select("c1", F.explode(F.array("a", "b")).alias("x")).select("x.*", "c1", F.lit(0).alias("kind"))
 
 
-def dedup_spans(dealt: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, s, e: runs of window starts that occur elsewhere. `dealt` has the same rows as docs
-    (doc_id, text), dealt by id."""
+def dedup_spans(docs: DataFrame, parts: int) -> DataFrame:
+    """doc_id, s, e: runs of window starts that occur elsewhere, for docs (doc_id, text) whose ids
+    are all different."""
     known = common.durable(_asked(docs, _prepare_anchors, _judge_anchors, _finish_anchors, _KNOWN, parts), "anchors")
     seeming = known.where("kind = 0")
     chunks = common.durable(_copies(seeming.select("doc_id", "s", "e", "c1", "c2", "parts"), F.min_by("parts", F.struct("doc_id", "s", "e")).alias("parts")), "chunks")
@@ -389,7 +390,7 @@ def dedup_spans(dealt: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "s", "kind", "c1", "data"])
 
-    joined = dealt.join(cuts.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cuts")
+    joined = docs.join(cuts.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cuts")
     pieces = common.durable(common.map_arrow(joined, cut, "doc_id bigint, s bigint, kind int, c1 bigint, data binary"), "fragments")
     crowded = _asked(pieces.where("kind = 2").select("doc_id", "data", "s"), _prepare_windows, _judge_windows, _finish_windows, "doc_id bigint, s bigint, e bigint, c1 bigint, c2 bigint, data binary", parts)
     windows = common.durable(crowded, "windows")
@@ -415,17 +416,16 @@ def covered(spans: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[in
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and touched (was any byte removed) of every row of docs."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, -(-size // RANGE))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts // 2))
-    dealt = rows.repartition(tasks, "doc_id")
-    spans = dedup_spans(dealt, rows, parts).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    dealt = common.bucketed(rows.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id", tasks, "texts")
+    spans = dedup_spans(dealt.select("doc_id", "text"), parts).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def remove(batches):
         for batch in batches:
-            _, texts = _texts(batch)
-            out = []
+            texts, out = [(t or "").encode() for t in batch.column(1).to_pylist()], []
             for text, found in zip(texts, batch.column(2).to_pylist(), strict=True):
                 runs = covered([(x["s"], x["e"]) for x in found or ()])
                 digest, at = hashlib.sha256(), 0
@@ -438,5 +438,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "touched"])
 
-    joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
-    return common.map_arrow(joined, remove, RESULT).withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    joined = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("id", "text", "spans")
+    return common.map_arrow(joined, remove, RESULT)

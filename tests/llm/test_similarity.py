@@ -217,3 +217,36 @@ def test_finite_vectors_of_any_length_are_scored(spark):
 def test_blocks_hold_all_centroids():
     first, count = multi_index.blocks(np.array([3, 0, 25, 4, 5, 2, 9, 31]), 10)
     assert first.tolist() == [0, 0, 1, 4, 4, 5, 6, 7] and count.tolist() == [1, 1, 3, 1, 1, 1, 1, 4]
+
+
+def test_rows_without_an_id_or_with_one_id_are_judged_apart(spark):
+    rng = random.Random(12)
+    shared, other = text(rng, 150), text(rng, 150)
+    cases = (
+        [(None, shared), (None, other), (1, shared), (2, "short")],
+        [(5, shared), (5, other), (1, shared), (2, "short")],
+        [(None, "x" * 900), (None, "short"), (None, None), (7, "y" * 500), (7, "z")],
+        [(3, shared), (3, shared), (3, shared + other), (None, other), (None, text(rng, 200))] + [(None, text(rng, 90) + shared[:450]) for _ in range(9)],
+    )
+    for rows in cases:
+        want = removal_by_hand(dict(enumerate(t for _, t in rows)))
+        got = suffix_dedup.suffix_dedup(documents(spark, rows)).collect()
+        key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=key) == sorted(((i, *want[n]) for n, (i, _) in enumerate(rows)), key=key)
+
+
+def test_a_query_id_asks_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)).tolist()
+    rows = list(enumerate(x)) + [(50, x[50]), (50, x[50]), (0, x[0]), (100, [-v for v in x[100]]), (7, x[7])]
+    got = collections.defaultdict(list)
+    for r in multi_index.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), lambda c: c % 50 == 0, aim=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 400, 50):
+        ask = np.array(min(v for i, v in rows if i == q))
+        cosines = sorted((-float(np.dot(v, ask) / np.linalg.norm(v) / np.linalg.norm(ask)), i) for i, v in rows if i != q)[:5]
+        assert [r for r, _, _ in got[q]] == [1, 2, 3, 4, 5]
+        assert [i for _, i, _ in got[q]] == [i for _, i in cosines]
+        assert [s for _, _, s in got[q]] == pytest.approx([-c for c, _ in cosines])
+    unusable = spark.createDataFrame([(i, None) for i in range(300)] + [(0, [1.0, 2.0]), (50, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in multi_index.neighbours(unusable, lambda c: c % 50 == 0).collect()} == {(0, 50), (50, 0)}
