@@ -3,7 +3,8 @@
 Rows are equal when their texts are identical once white space (space, tab to carriage return)
 is deleted; a null text counts as empty. Of equal rows the one with the most code points in its
 original text stays, then the one with the smallest id (a null id comes last). Repeated rows are
-members like any other. An empty table gives an empty result. Other columns, of any name, are
+members like any other; rows that share both the text's length and the id of the one that stays can't
+be told apart and all stay. An empty table gives an empty result. Other columns, of any name, are
 neither read nor returned.
 
 The plan has one shuffle that moves texts. Spark's own partial aggregation collapses the copies

@@ -61,13 +61,16 @@ def log_ratios(docs: DataFrame, target: np.ndarray, buckets: int = BUCKETS, id_c
     def count(batches):
         seen, raw, good = common.WordHash(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            chosen = np.isin(ids, target)
-            for i in range(batch.num_rows):
-                found = np.bincount(ngram_buckets(seen.of(common.ascii_lower_words(batch.column(1)[i].as_py())), buckets), minlength=buckets) if batch.column(1)[i].as_py() else 0
-                raw += found
-                if chosen[i]:
-                    good += found
+            # a null would turn all ids of its batch into floats
+            column = batch.column(0)
+            chosen = np.isin(column.fill_null(0).to_numpy(zero_copy_only=False), target) & column.is_valid().to_numpy(zero_copy_only=False)
+            for i, text in enumerate(batch.column(1)):
+                words = common.ascii_lower_words(text.as_py())
+                if words:
+                    found = np.bincount(ngram_buckets(seen.of(words), buckets), minlength=buckets)
+                    raw += found
+                    if chosen[i]:
+                        good += found
         block = 4096
         for at in range(0, buckets, block):
             yield pa.record_batch({"at": pa.array([at], pa.int32()), "raw": pa.array([raw[at : at + block]], pa.list_(pa.int64())), "good": pa.array([good[at : at + block]], pa.list_(pa.int64()))})

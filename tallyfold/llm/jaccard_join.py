@@ -292,7 +292,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.record_batch([part.column(0), common.lists(tokens, np.array([len(x) for x in sets]), pa.int64())], names=["id", "tokens"])
 
     chosen = rows.join(passing.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = common.durable(common.map_arrow(chosen, full, "id bigint, tokens array<bigint>").dropDuplicates(["id"]), "sets")
+    sets = common.durable(common.map_arrow(chosen, full, "id bigint, tokens array<bigint>").groupBy("id").agg(F.min("tokens").alias("tokens")), "sets")
     sets = common.durable(_shared_sets(sets, fragments), "segments")
     # places in the order, counted with the shingles that come first
     lists = sets.select("id", "n", "s", "central", "parity", F.posexplode("prefix").alias("at", "token"))

@@ -161,7 +161,7 @@ ORACLE_SQL = {
             UNION ALL SELECT host, DATE '2024-01-01' + (16 * d[2] + 60)::INTEGER, false FROM digits WHERE d[1] < 4 AND d[3] < 8),
         names AS (
             SELECT DISTINCT host, pos, k, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS name
-            FROM captures, unnest(range(1, 128)) AS u(k) WHERE host IS NOT NULL AND k <= len(string_split(host, '.'))),
+            FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(k) WHERE host IS NOT NULL),
         hits AS (
             SELECT n.host, n.pos, n.k, n.name, e.since, e.active
             FROM names n ASOF JOIN entries e ON n.name = e.host AND n.pos >= e.since),

@@ -252,3 +252,11 @@ def test_clashing_columns_and_a_very_long_conversation(spark):
     captures = spark.createDataFrame([(1, "http://a.bad.com/x", 5, *more), (1, "http://a.bad.com/x", 5, *more)], f"page_id long, url string, fetched_at long, {extra}")
     listed = spark.createDataFrame([("bad.com", 1, True, *more)], f"host string, listed_at long, active boolean, {extra}")
     assert [(r.page_id, r.matched, r.blocked) for r in url_filter.filter_urls(captures, listed).collect()] == [(1, "bad.com", True)] * 2
+
+
+def test_a_null_id_does_not_blur_the_others(spark):
+    large = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, "a b c"), (large, "good words here"), (large - 1, "bad noise there")], "doc_id long, text string").coalesce(1)
+    ratios = importance.log_ratios(docs, np.array([large]))
+    words = lambda t: importance.ngram_buckets(np.array([xxhash.xxh64_intdigest(w) for w in t.encode().split()], np.uint64))
+    assert ratios[words("good words here")].min() > ratios[words("bad noise there")].max()
