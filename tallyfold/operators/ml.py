@@ -1,36 +1,40 @@
-"""Classifier overlay: boosted trees that veto signals whose trade they expect to lose."""
+"""Classifier overlay: boosted trees that veto signals whose trade they expect to lose.
+
+`fit` trains Spark's own trees on one table of trades of any size; a walk-forward needs many models
+of a few hundred trades each, which are fitted side by side in grouped calls (`fold_verdicts`).
+"""
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.functions import kernels as k
+from tallyfold.functions.boosting import BoostedTrees
 from tallyfold.functions.recursion import Derived, Ewm, with_recursions
 from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
 from tallyfold.operators.metrics import compute_metrics
 from tallyfold.operators.strategies import with_moves
 from tallyfold.operators.walkforward import split_folds
+from tallyfold.shipping import ship
+from tallyfold.staging import staged
 
 FEATURES = ("sma_spread_pct", "atr_pct", "momentum_5", "momentum_20", "rsi", "signal_dir", "hour_sin", "hour_cos")
 LEAST_ROWS, LEAST_TRADES, LEAST_OF_CLASS = 100, 10, 3
-#: Models fitted at a time.
-AT_ONCE = 8
-from tallyfold.staging import staged
 
 
 def features(signals: DataFrame, rsi_period: int = 14, keys=k.KEYS) -> DataFrame:
     """keys, ts and FEATURES for bars with sma_fast, sma_slow, atr and signal. This index uses
-    adjusted weights and is null without losses."""
-    specs = [Ewm("_g", "_gain", 1.0 / rsi_period, 0, True), Ewm("_l", "_loss", 1.0 / rsi_period, 0, True)]
+    adjusted weights, starts after rsi_period changes and is null without losses."""
+    specs = [Ewm("_g", "_gain", 1.0 / rsi_period, rsi_period, True), Ewm("_l", "_loss", 1.0 / rsi_period, rsi_period, True)]
     specs.append(Derived("rsi", lambda f: (100.0 - 100.0 / (1.0 + f["_g"] / f["_l"].where(f["_l"] != 0)))))
     base = signals.drop("rsi").select(*keys, "ts", "close", "sma_fast", "sma_slow", "atr", "signal")
     df = with_recursions(with_moves(base, keys), specs, keys)
@@ -71,44 +75,49 @@ def filtered(signals: DataFrame, model: PipelineModel, keys=k.KEYS) -> DataFrame
     return vetoed(signals, verdicts(features(signals, keys=keys), model, keys), keys)
 
 
-def classifier_walk_forward(bars: DataFrame, strategy_cls, params, n_splits: int = 3, oos_ratio: float = 0.25, trees: int = 100, keys=k.KEYS) -> DataFrame:
+def fold_verdicts(train: DataFrame, later: DataFrame, trees: int, by) -> DataFrame:
+    """by, ts, prediction and is_accuracy: for each key of train (FEATURES, label) one row without ts
+    that has the model's accuracy on its own rows, and a row for each row of later (ts, FEATURES).
+    Keys with too few trades or members of a class have no rows. One model is one grouped call."""
+    by = tuple(by)
+    schema = T.StructType([*[train.schema[c] for c in by], T.StructField("ts", T.TimestampNTZType()), T.StructField("prediction", T.DoubleType()), T.StructField("is_accuracy", T.DoubleType())])
+    kinds = [("ts", pa.timestamp("us")), ("prediction", pa.float64()), ("is_accuracy", pa.float64())]
+
+    def judge(known: pa.Table, asked: pa.Table) -> pa.Table:
+        # trades in one order, so that a fit does not depend on the exchange
+        known = known.sort_by([("label", "ascending"), *[(c, "ascending") for c in FEATURES]])
+        x, y = (np.column_stack([t.column(c).to_numpy() for c in FEATURES]) for t in (known, asked)), known.column("label").to_numpy()
+        own, new = x
+        if len(y) < LEAST_TRADES or min(y.sum(), len(y) - y.sum()) < LEAST_OF_CLASS:
+            return pa.Table.from_pylist([], schema=pa.schema([known.schema.field(c) for c in by] + kinds))
+        model = BoostedTrees(own, y, trees)
+        heads = {c: pa.array([known.column(c)[0].as_py()] * (len(new) + 1), known.schema.field(c).type) for c in by}
+        times = pa.concat_arrays([pa.nulls(1, pa.timestamp("us")), asked.column("ts").combine_chunks().cast(pa.timestamp("us"))])
+        return pa.table(heads | {"ts": times, "prediction": pa.array([None, *model.predict(new)], pa.float64()), "is_accuracy": pa.array([float((model.predict(own) == y).mean())] + [None] * len(new), pa.float64())})
+
+    ship(train.sparkSession)
+    filled = later.select(*by, "ts", *FEATURES).fillna(0.0, list(FEATURES))
+    return train.select(*by, *FEATURES, "label").groupBy(*by).cogroup(filled.groupBy(*by)).applyInArrow(judge, schema)
+
+
+def classifier_walk_forward(bars: DataFrame, strategy_cls, params, n_splits: int = 5, oos_ratio: float = 0.25, trees: int = 100, keys=k.KEYS) -> DataFrame:
     """Metrics of base and filtered signals on each fold's second part. The model of a fold is fitted
     on its first part; folds with too few rows, trades or members of a class are left out. Signals,
-    trades and features of all folds are made in one pass; AT_ONCE models are fitted at a time."""
+    trades, features and models of all folds are one plan."""
     rules, keys = Execution.of(params), tuple(keys)
     by = (*keys, "fold")
-    spark = bars.sparkSession
     cut = split_folds(bars, n_splits, oos_ratio, keys)
     cut = staged(cut.join(cut.groupBy(*by).count().where(F.col("count") >= LEAST_ROWS).drop("count"), list(by), "left_semi"), "folds")
     strategy = strategy_cls(params, by)
-    signals = strategy.signals(cut.where("segment = 'is'"))
-    train = labelled(trades_of(run(signals, rules, by), by), features(signals, keys=by), by).select(*by, *FEATURES, "label").persist()
-    sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("won"))
-    # a fold of a series is one model; both are few
-    rows = sizes.where((F.col("n") >= LEAST_TRADES) & (F.least("won", F.col("n") - F.col("won")) >= LEAST_OF_CLASS)).orderBy(*by).collect()
-    if not rows:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in keys) + ", fold int, variant string, is_accuracy double, num_trades long, total_pnl double")
-
-    def of(table: DataFrame, row) -> DataFrame:
-        return table.where(reduce(Column.__and__, [F.col(c) == F.lit(row[c]) for c in by]))
-
-    def fitted(row) -> tuple[PipelineModel, float]:
-        mine = of(train, row).repartition(1).persist()  # the trades of one series, which one task has made
-        model = fit(mine, trees)
-        accuracy = model.transform(mine).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        mine.unpersist()
-        return model, accuracy
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        models = list(pool.map(inheritable_thread_target(spark)(fitted), rows))
-    train.unpersist()
-    chosen = spark.createDataFrame([(*[r[c] for c in by], a) for r, (_, a) in zip(rows, models, strict=True)], ", ".join(f"`{c}` string" for c in keys) + ", fold int, is_accuracy double")
-    later = strategy.signals(cut.where("segment = 'oos'").join(F.broadcast(chosen.select(*by)), list(by), "left_semi"))
-    feats = staged(features(later, keys=by), "features")
-    verdict = reduce(DataFrame.unionByName, [verdicts(of(feats, r), m, by) for r, (m, _) in zip(rows, models, strict=True)])
+    signals, later = strategy.signals(cut.where("segment = 'is'")), strategy.signals(cut.where("segment = 'oos'"))
+    train = labelled(trades_of(run(signals, rules, by), by), features(signals, keys=by), by)
+    told = staged(fold_verdicts(train, features(later, keys=by).where("signal_dir <> 0"), trees, by), "verdicts")
+    chosen = told.where("ts is null").select(*by, "is_accuracy")
+    later = later.join(chosen.select(*by), list(by), "left_semi")
+    verdict = told.where("ts is not null").drop("is_accuracy")
     both = later.withColumn("variant", F.lit("base")).unionByName(vetoed(later, verdict, by).withColumn("variant", F.lit("filtered")))
     by = (*by, "variant")
-    result = run(both, rules, by)
-    out = compute_metrics(trades_of(result, by), equity_of(result, by), by, all_keys=result, p_value=False).join(F.broadcast(chosen), [*keys, "fold"])
+    result = staged(run(both, rules, by), "variants")
+    out = compute_metrics(trades_of(result, by), equity_of(result, by), by, all_keys=result, p_value=False).join(chosen, [*keys, "fold"])
     last = ("fold", "variant", "is_accuracy")
     return out.select(*keys, *[c for c in out.columns if c not in (*keys, *last)], *last)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from tallyfold.operators import strategies as st
 from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
 from tallyfold.operators.metrics import compute_metrics, daily_changes, drawdown, metrics_comparison, metrics_table, subperiods
 from tallyfold.plans import oracles as o
-from tallyfold.sources.bars import resample_ohlc, ticks_to_bars
-from tallyfold.staging import staged
+from tallyfold.sources.bars import load_all, resample_ohlc, save_csv, ticks_to_bars
+from tallyfold.staging import shared_folder, staged
+from tallyfold.streaming.backtest import stream_backtest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,6 +66,14 @@ def resample_bars_4h(spark, sf_dir):
     return resample_ohlc(hourly(spark, sf_dir), "4h").select("asset", "ts", "open", "high", "low", "close", "tick_vol")
 
 
+@query(o.query(o.framed_bars(("30min", "1h")), select="SELECT string_split(asset, '@')[1] AS asset, string_split(asset, '@')[2] AS tf, ts, open, high, low, close, tick_vol FROM bars"))
+def bar_files(spark, sf_dir):
+    """Bars written as files of the exporter's form, one per series, and read back by the catalog."""
+    folder = f"{shared_folder(spark)}/tallyfold/bar-files-{uuid.uuid4().hex}"
+    save_csv(framed(spark, sf_dir, ("30min", "1h")), folder)
+    return load_all(spark, folder).select("asset", "tf", "ts", "open", "high", "low", "close", "tick_vol")
+
+
 @query("""SELECT o_orderpriority AS asset, o_orderdate::DATE::TIMESTAMP AS ts, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
     arg_max(o_totalprice, o_orderkey) AS close, count(*)::DOUBLE AS tick_vol FROM orders GROUP BY 1, 2""")
 def daily_bars(spark, sf_dir):
@@ -246,6 +256,27 @@ def backtest_trades_volatility_scaled(spark, sf_dir):
     return _trades(backtest(spark, sf_dir, "12", sizing_mode="vol_scaled"))
 
 
+@query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), select=f"SELECT asset, {o.TRADE_COLUMNS} FROM trades"))
+def backtest_trades_streamed(spark, sf_dir):
+    """The same trades from a stream: bars with signals arrive in files of eight days, then a row
+    without prices that ends each series."""
+    signals = strategy("01").signals(hourly(spark, sf_dir)).select(*k.KEYS, "ts", "high", "low", "close", "atr", "signal")
+    signals = staged(signals, "signals")
+    folder = f"{shared_folder(spark)}/tallyfold/stream-{uuid.uuid4().hex}"
+    first, last = signals.agg(F.min("ts"), F.max("ts")).first()
+    step = F.expr("interval 8 days")
+    for i in range((last - first).days // 8 + 1):
+        since = F.lit(first) + i * step
+        signals.where((F.col("ts") >= since) & (F.col("ts") < since + step)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    none = [F.lit(None).cast("double").alias(c) for c in ("high", "low", "close", "atr")]
+    signals.groupBy(*k.KEYS).agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts")).select(*k.KEYS, "ts", *none, F.lit(0).alias("signal")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(signals.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    trades = stream_backtest(arriving, Execution(2.0, 3.0), lateness="1 day")
+    run_ = trades.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run_.awaitTermination()
+    return _rounded_trades(spark.read.schema(trades.schema).parquet(f"{folder}/out"))
+
+
 @query(o.query(*o.SIGNALS["01"], o.stepper(2.0, 3.0), select='SELECT asset, "timestamp", round(equity, 5) AS equity FROM equity'))
 def backtest_equity(spark, sf_dir):
     return equity_of(backtest(spark, sf_dir)).select("asset", "timestamp", F.round("equity", 5).alias("equity"))

@@ -64,15 +64,29 @@ def discover_datasets(spark: SparkSession, data_dir: str) -> list[DatasetMeta]:
     return list(out.values())
 
 
-def separator_of(spark: SparkSession, path: str) -> tuple[str, list[str]]:
-    """The first separator that gives at least four columns, and the header under it."""
-    rows = spark.read.text(path).limit(1).collect()
-    header = rows[0][0] if rows else ""
+def split_header(header: str) -> tuple[str, list[str]] | None:
+    """The first separator that gives at least four columns, and the names under it."""
     for sep in SEPARATORS:
         names = header.split(sep)
         if len(names) >= 4:
             return sep, [n.strip() for n in names]
-    raise ValueError(f"cannot parse {path}: no separator gives four columns")
+    return None
+
+
+def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of each file, from one job over all of them; empty files have none."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).where("start = 0")
+    first = lines.withColumn("place", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    # as many rows as the catalog has files
+    return {r["path"]: r["header"] for r in first.collect()}
+
+
+def separator_of(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """The separator and the column names of a file."""
+    found = split_header(next(iter(headers_of(spark, [path]).values()), ""))
+    if found is None:
+        raise ValueError(f"cannot parse {path}: no separator gives four columns")
+    return found
 
 
 def _time(df: DataFrame) -> Column:
@@ -91,36 +105,86 @@ def _time(df: DataFrame) -> Column:
 
 def normalise(df: DataFrame, keys=KEYS) -> DataFrame:
     """Bars with ts and double prices: rows without a time or a price go, and of rows with equal
-    time the first in the input stays."""
+    time the first in the input stays (in a column `_start`: the offset of the part of a file that
+    a row was read with; inside a part rows are numbered as they are read)."""
     df = df.withColumnsRenamed(HEADERS)
     missing = [c for c in PRICES if c not in df.columns]
     ts = _time(df)
     if missing:
         raise ValueError(f"missing price columns: {missing}")
     number = lambda c: F.col(c).try_cast("double")
-    df = df.withColumns({"ts": ts, "_place": F.monotonically_increasing_id()})
+    start = F.col("_start") if "_start" in df.columns else F.lit(0)
+    df = df.withColumns({"ts": ts, "_place": F.struct(start.alias("start"), F.monotonically_increasing_id().alias("row"))})
     rows = df.select(*keys, "ts", *[number(c).alias(c) for c in PRICES], *[number(c).alias(c) for c in OPTIONAL if c in df.columns], "_place").dropna(subset=["ts", *PRICES])
     first = F.row_number().over(Window.partitionBy(*keys, "ts").orderBy("_place"))
     return rows.withColumn("_r", first).where("_r = 1").drop("_r", "_place")
 
 
+#: What is taken of the file a row comes from.
+_PATH, _START = "_metadata.file_path", "_metadata.file_block_start"
+
+
+def _read(spark: SparkSession, paths: list[str], sep: str, names: list[str]) -> DataFrame:
+    """Files of one separator and header as strings, with _path and _start."""
+    raw = spark.read.csv(paths, sep=sep, header=True, inferSchema=False)
+    named = raw.select(*raw.columns, F.col(_PATH).alias("_path"), F.col(_START).alias("_start"))
+    return named.toDF(*names, "_path", "_start") if len(raw.columns) == len(names) else named
+
+
 def load_csv(spark: SparkSession, path: str, group: str = "", asset: str = "", tf: str = "") -> DataFrame:
-    sep, header = separator_of(spark, path)
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
-    raw = raw.toDF(*header) if len(raw.columns) == len(header) else raw
+    raw = _read(spark, [path], *separator_of(spark, path))
     meta = parse_file_name(path, group)
     asset, tf = asset or (meta.asset if meta else ""), tf or (meta.timeframe if meta else "")
     return normalise(raw.withColumns({"group": F.lit(group), "asset": F.lit(asset), "tf": F.lit(tf)}))
 
 
 def load_all(spark: SparkSession, data_dir: str) -> DataFrame:
-    """All files of the catalog as one long table."""
-    parts = [load_csv(spark, m.path, m.group) for m in discover_datasets(spark, data_dir)]
-    if not parts:
+    """All files of the catalog as one long table. Files of equal header are one scan, and a row's
+    keys come from its file's path, so the plan does not grow with the number of files."""
+    catalog = discover_datasets(spark, data_dir)
+    if not catalog:
         raise ValueError(f"no bar files in {data_dir}")
+    headers = headers_of(spark, [m.path for m in catalog])
+    shapes: dict[str, list[str]] = {}
+    for path, header in headers.items():
+        shapes.setdefault(header, []).append(path)
+    top = _folder(spark, data_dir)[1].getName()
+    parts = []
+    for header, paths in shapes.items():
+        found = split_header(header)
+        if found is None:
+            raise ValueError(f"cannot parse {paths[0]}: no separator gives four columns")
+        name, folder = F.substring_index("_path", "/", -1), F.element_at(F.split("_path", "/"), -2)
+        keys = {"group": F.when(folder == top, "").otherwise(folder), "asset": F.regexp_extract(name, FILE_NAME, 1), "tf": F.regexp_extract(name, FILE_NAME, 2)}
+        parts.append(normalise(_read(spark, paths, *found).withColumns(keys)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def save_csv(bars: DataFrame, data_dir: str, sep: str = "\t") -> list[str]:
+    """Writes each series as one file ASSET_TF_START_END.csv in its group's folder, under the headers
+    of the exporter, and gives the paths. One job writes all series, each by one task; the driver
+    only names the files, as many as there are series."""
+    spark = bars.sparkSession
+    there = [c for c in OPTIONAL if c in bars.columns]
+    titles = {v: k for k, v in HEADERS.items()}
+    stamp = lambda c: F.date_format(c, "yyyyMMddHHmm")
+    spans = bars.groupBy(*KEYS).agg(stamp(F.min("ts")).alias("start"), stamp(F.max("ts")).alias("end")).collect()
+    columns = [F.date_format("ts", "yyyy.MM.dd").alias("<DATE>"), F.date_format("ts", "HH:mm:ss").alias("<TIME>"), *[F.col(c).alias(titles[c]) for c in (*PRICES, *there)]]
+    work = f"{data_dir.rstrip('/')}/_writing"
+    ordered = bars.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts").select(*[F.col(c).alias(f"_{c}") for c in KEYS], *columns)
+    ordered.write.mode("overwrite").partitionBy(*[f"_{c}" for c in KEYS]).option("header", True).option("sep", sep).csv(work)
+    fs, place = _folder(spark, work)
+    jvm, out = spark.sparkContext._jvm, []
+    for r in spans:
+        part = [p for p, _ in _listed(spark, f"{work}/_group={r['group']}/_asset={r['asset']}/_tf={r['tf']}") if p.endswith(".csv")]
+        target = f"{data_dir.rstrip('/')}/{r['group']}/{r['asset']}_{r['tf']}_{r['start']}_{r['end']}.csv"
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(target).getParent())
+        fs.rename(jvm.org.apache.hadoop.fs.Path(part[0]), jvm.org.apache.hadoop.fs.Path(target))
+        out.append(target)
+    fs.delete(place, True)
+    return out
+
+
 def resample_ohlc(df: DataFrame, rule: str, keys=KEYS) -> DataFrame:
     """Bars of left-closed buckets named by their start; volumes and spread are summed."""
     bucket = F.window("ts", RULES.get(rule, rule))

@@ -104,3 +104,40 @@ def test_first_parts_are_cut_by_the_truncated_product(spark):
         day = [(("g", "a", "1h"), i) for i in range(rows)]
         table = spark.createDataFrame([(*k, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i)) for k, i in day], "`group` string, asset string, tf string, ts timestamp_ntz")
         assert split_folds(table, 1, ratio).where("segment = 'is'").count() == want
+
+
+def test_files_written_by_the_sink_are_read_back(spark, tmp_path):
+    table = bars(spark, WALK).withColumn("spread", F.lit(2.0)).unionByName(bars(spark, WALK[::-1], "B").withColumns({"group": F.lit("h"), "spread": F.lit(1.0)}))
+    paths = src.save_csv(table, str(tmp_path / "out"))
+    assert sorted(p.rsplit("out/", 1)[-1] for p in paths) == ["g/A_1h_202401010000_202401052300.csv", "h/B_1h_202401010000_202401052300.csv"]
+    columns = ["group", "asset", "tf", "ts", *src.PRICES, "tick_vol", "spread"]
+    got = sorted(map(tuple, src.load_all(spark, str(tmp_path / "out")).select(*columns).collect()))
+    assert got == sorted(map(tuple, table.select(*columns).collect()))
+
+
+def test_the_first_row_of_a_file_in_several_parts_stays(spark, tmp_path):
+    lines = ["datetime,open,high,low,close"] + [f"2024-01-01 {i % 20:02d}:00:00,{i},{i},{i},{i}" for i in range(4000)]
+    (tmp_path / "A_H1_202401010000_202401020000.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        table = src.load_all(spark, str(tmp_path))
+        assert src._read(spark, [str(tmp_path)], ",", ["datetime", *src.PRICES]).select("_start").distinct().count() > 5
+        assert sorted((r.ts.hour, r.open) for r in table.collect()) == [(i, float(i)) for i in range(20)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_many_files_are_one_scan_per_header(spark, tmp_path):
+    for i in range(12):
+        sep = ";" if i % 3 == 0 else ","
+        (tmp_path / f"A{i}_H1_202401010000_202401020000.csv").write_text(sep.join(["datetime", "open", "high", "low", "close"]) + "\n" + sep.join(["2024-01-01 01:00:00", str(i), "99", "0", "1"]) + "\n")
+    table = src.load_all(spark, str(tmp_path))
+    assert sorted((r.asset, r.open) for r in table.collect()) == sorted((f"A{i}", float(i)) for i in range(12))
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_registry_run_takes_folders(spark, folder, tmp_path):
+    registry = [compare.StrategyRegistration("SMA", "01", st.SMACrossoverStrategy, st.SMACrossoverParams, {"forex": ["1h"]}, {"fast": 2, "slow": 3}, {})]
+    metrics, equity, _ = compare.run_all_strategies(folder, registry, cache=str(tmp_path / "kept"))
+    assert metrics.count() == 1 and equity.count() == 3
+    assert compare.run_all_strategies(folder + "/nowhere", registry, cache=str(tmp_path / "kept"))[1].count() == 3
