@@ -5,10 +5,16 @@ buckets) are estimated: one from target texts (labelled as good and not toxic),
 table. A document's log weight is the sum of its n-grams' log ratios; adding Gumbel noise and
 keeping the k largest draws k documents without replacement in proportion to their weights.
 k is the number of documents times the share of quality 1 among the labelled ones (toxic ones
-count there by their quality too: toxicity only shapes the target).
+count there by their quality too).
 
-The raw model counts every document; the target model uses at most TARGETS labelled documents
-(those of smallest hash), a documented bound that keeps the id list small enough to broadcast.
+A second pair of models, of toxic labelled texts and of the target, is compared word by word: words
+whose log ratio is MARKED or more even DEVIATIONS below its estimate are markers. A drawn document
+is rejected all the same if its markers (each distinct one counts once, by its log ratio) outweigh
+the prior odds of being good by SURE. Equal labelled texts count once there.
+
+The raw model counts every document; the target and the toxic model use at most TARGETS labelled
+documents each (those of smallest hash), a documented bound that keeps the id lists small enough to
+broadcast.
 Both models are vectors of BUCKETS numbers, whatever the input. The k-th largest key is found by
 refining histograms on the executors: the driver sees BINS counts a round.
 
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import common
+from tallyfold.llm.divergence import terms_of
 
 BUCKETS = 10_000
 TARGETS = 20_000
@@ -35,6 +42,10 @@ BINS = 4096
 SEED = 20
 #: Added to each bucket's count in both models.
 SMOOTH = 1.0
+#: Least log ratio of a marker, and how many deviations below its estimate it must hold.
+MARKED, DEVIATIONS = math.log(4.0), 3.0
+#: Log odds from which a document is taken to be toxic (19 to 1).
+SURE = math.log(19.0)
 
 
 def ngram_buckets(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -44,15 +55,45 @@ def ngram_buckets(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _target_ids(labels: DataFrame, docs: DataFrame, limit: int) -> tuple[np.ndarray, float]:
-    """Ids of good labelled documents that are not toxic (at most limit, by smallest hash), and the
-    share of good ones among the labels of docs (doc_id)."""
-    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good"), (F.col("quality") == 1).alias("fine"))
+def _label_ids(labels: DataFrame, docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ids of good labelled documents and of toxic ones (at most limit each, by smallest hash), and
+    the share of quality 1 among the labels of docs (doc_id)."""
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("fine"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), (F.col("toxic") == 1).alias("toxic"),
+    )
     known = known.join(docs, "doc_id", "left_semi")
     share = known.agg(F.avg(F.col("fine").cast("double"))).first()[0]
-    rows = known.where("good").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return np.array(sorted({r[0] for r in rows}), np.int64), 1.0 if share is None else share
+    ids = []
+    for wanted in ("good", "toxic"):
+        rows = known.where(wanted).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+        ids.append(np.array(sorted({r[0] for r in rows}), np.int64))
+    return ids[0], ids[1], 1.0 if share is None else share
+
+
+def marker_words(docs: DataFrame, target: np.ndarray, toxic: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> dict[bytes, float]:
+    """Words (runs of letters) that mark toxic texts, and their log ratios."""
+    if not len(target) or not len(toxic):
+        return {}
+    spark = docs.sparkSession
+    # both lists are bounded
+    chosen = spark.createDataFrame([(int(i), 0) for i in target] + [(int(i), 1) for i in toxic], "marked_id bigint, side int")
+    texts = docs.select(F.col(id_col).cast("long").alias("marked_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "marked_id").select("side", "text").dropDuplicates()
+
+    def count(batches):
+        for batch in batches:
+            for side, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(terms_of(text))
+                # a row of its own, with word null, counts the document
+                yield pa.record_batch([pa.array([side] * (len(words) + 1), pa.int32()), pa.array([None, *words], pa.binary())], names=["side", "word"])
+
+    rows = common.map_arrow(texts, count, "side int, word binary")
+    held = lambda side: F.count_if(F.col("side") == side).cast("double")
+    sides = common.durable(rows.groupBy("word").agg(held(1).alias("t"), held(0).alias("c")), "words")
+    n_toxic, n_good = (sides.where("word is null").select("t", "c").first() or (0.0, 0.0))
+    ratio = F.log((F.col("t") + SMOOTH) / (n_toxic + SMOOTH)) - F.log((F.col("c") + SMOOTH) / (n_good + SMOOTH))
+    deviation = F.sqrt(1.0 / (F.col("t") + SMOOTH) + 1.0 / (F.col("c") + SMOOTH))
+    found = sides.where("word is not null").select("word", ratio.alias("ratio"), deviation.alias("dev")).where(F.col("ratio") - DEVIATIONS * F.col("dev") >= MARKED).select("word", "ratio").collect()
+    return {bytes(r["word"]): r["ratio"] for r in found}
 
 
 def log_ratios(docs: DataFrame, target: np.ndarray, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -84,17 +125,21 @@ def log_ratios(docs: DataFrame, target: np.ndarray, buckets: int = BUCKETS, id_c
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and log_weight for every row."""
-    buckets = len(ratios)
+def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", markers: dict[bytes, float] | None = None) -> DataFrame:
+    """doc_id, log_weight and marked (the sum of the log ratios of its distinct markers) for every row."""
+    buckets, markers = len(ratios), markers or {}
 
     def score(batches):
         seen = common.WordHash()
         for batch in batches:
-            out = [float(ratios[ngram_buckets(seen.of(common.ascii_lower_words(batch.column(1)[i].as_py())), buckets)].sum()) for i in range(batch.num_rows)]
-            yield pa.record_batch({"doc_id": batch.column(0), "log_weight": pa.array(out, pa.float64())})
+            weights, marked = [], []
+            for text in batch.column(1).to_pylist():
+                words = seen.of(common.ascii_lower_words(text))
+                weights.append(float(ratios[ngram_buckets(words, buckets)].sum()))
+                marked.append(math.fsum(markers[w] for w in markers.keys() & terms_of(text)) if markers else 0.0)
+            yield pa.record_batch({"doc_id": batch.column(0), "log_weight": pa.array(weights, pa.float64()), "marked": pa.array(marked, pa.float64())})
 
-    return common.map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), score, "doc_id bigint, log_weight double")
+    return common.map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), score, "doc_id bigint, log_weight double, marked double")
 
 
 def gumbel_keys(weights: DataFrame, seed: int = SEED) -> DataFrame:
@@ -124,15 +169,19 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: int = TARGETS, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, key and kept for every row of docs."""
-    target, share = _target_ids(labels, docs.select(F.col(id_col).cast("long").alias("doc_id")), targets)
+    """doc_id, log_weight, marked, key, toxic and kept for every row of docs."""
+    target, toxic, share = _label_ids(labels, docs.select(F.col(id_col).cast("long").alias("doc_id")), targets)
     ratios = log_ratios(docs, target, BUCKETS, id_col, text_col) if len(target) else np.zeros(BUCKETS)
-    scored = common.durable(gumbel_keys(log_weights(docs, ratios, id_col, text_col), seed), "importance")
+    markers = marker_words(docs, target, toxic, id_col, text_col)
+    # what the markers must outweigh
+    odds = max(math.log(len(target) / len(toxic)), 0.0) + SURE if markers else 0.0
+    weights = log_weights(docs, ratios, id_col, text_col, markers)
+    scored = common.durable(gumbel_keys(weights, seed).withColumn("toxic", F.col("marked") > odds), "importance")
     total = scored.count()
     k = min(total, round(share * total)) if len(target) else total
     if k == 0:
         return scored.withColumn("kept", F.lit(False))
-    return scored.withColumn("kept", F.col("key") >= F.lit(kth_largest(scored, "key", k)))
+    return scored.withColumn("kept", (F.col("key") >= F.lit(kth_largest(scored, "key", k))) & ~F.col("toxic"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

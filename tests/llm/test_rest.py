@@ -260,3 +260,26 @@ def test_a_null_id_does_not_blur_the_others(spark):
     ratios = importance.log_ratios(docs, np.array([large]))
     words = lambda t: importance.ngram_buckets(np.array([xxhash.xxh64_intdigest(w) for w in t.encode().split()], np.uint64))
     assert ratios[words("good words here")].min() > ratios[words("bad noise there")].max()
+
+
+def test_toxic_documents_are_not_drawn(spark):
+    rng, insults = random.Random(21), ["blockhead", "nitwit", "dolt"]
+    texts, labels, toxic = {}, [], set()
+    for i in range(400):
+        words = text(rng, rng.choice([5, 60, 900])).split()
+        if i % 8 == 0:
+            toxic.add(i)
+            for w in rng.sample(insults, 2):
+                words.insert(rng.randrange(len(words)), f'({w.upper()}!)' if i % 3 == 0 else w)
+        texts[i] = " ".join(words)
+        if i % 2 == 0:
+            labels.append((i, 1, int(i in toxic)))
+    known = spark.createDataFrame(labels, LABELS)
+    rows = importance.classify(documents(spark, texts), known).collect()
+    assert {r.doc_id for r in rows if r.toxic} == toxic
+    # all labels are of quality 1, so all documents are drawn, and toxic ones are rejected
+    assert all(r.kept == (not r.toxic) for r in rows)
+    markers = importance.marker_words(documents(spark, texts), np.array([i for i, _, t in labels if not t]), np.array(sorted(toxic)))
+    assert set(markers) == {w.encode() for w in insults} and min(markers.values()) > 3
+    kept = {r.doc_id for r in importance.keep_good(documents(spark, texts), known).collect()}
+    assert kept == {r.doc_id for r in rows if r.kept}

@@ -87,3 +87,31 @@ def test_packing_query(spark):
     assert len(sequences) <= -(-sum(r.length for r in rows) // 4096) + 1
     assert packed_documents(empty(spark), WORD).collect() == []
     assert len(packed_documents(documents(spark, [(1, "a"), (1, "a"), (None, None)]), WORD).collect()) == 3
+
+
+def two_fit_by_hand(lengths, size):
+    """Bins by looking through all lengths that are left, and all pairs of them."""
+    left, bins = sorted(lengths), []
+    while left:
+        bin_ = []
+        while fits := [n for n in left if n <= size - sum(bin_)]:
+            bin_.append(max(fits))
+            left.remove(bin_[-1])
+        small = min(bin_)
+        room = size - sum(bin_) + small
+        pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[:i] if small < a + b <= room]
+        if sum(bin_) < size and pairs:
+            _, a, b = max(pairs)
+            bin_.remove(small)
+            for n in (a, b):
+                bin_.append(n)
+                left.remove(n)
+            left = sorted([*left, small])
+        bins.append(bin_)
+    return bins
+
+
+@given(hs.lists(hs.integers(1, 30), max_size=25), hs.integers(30, 60))
+@settings(max_examples=300, deadline=None)
+def test_bins_match_best_two_fit_by_hand(lengths, size):
+    assert [sorted(b) for b in best_two_fit(lengths, size)] == [sorted(b) for b in two_fit_by_hand(lengths, size)]
