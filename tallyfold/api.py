@@ -15,11 +15,11 @@ from tallyfold.operators.compare import (
     metric_distribution, optimised_params, pivot_metric, return_correlation, run_all_strategies, run_backtest_grid, run_backtests_with_params,
     variant_metrics,
 )
-from tallyfold.operators.metrics import compute_metrics, metrics_comparison, metrics_table
+from tallyfold.operators.metrics import compute_metrics, merged_metrics, metrics_comparison, metrics_table
 from tallyfold.operators.metrics import subperiods as subperiod_analysis
 from tallyfold.operators.portfolio import correlation_weights, weighted_portfolio
 from tallyfold.operators.portfolio import merged as build_portfolio
-from tallyfold.operators.robustness import block_bootstrap_trades, monte_carlo_summary, monte_carlo_trades, parameter_sensitivity
+from tallyfold.operators.robustness import block_bootstrap_trades, head_trades, monte_carlo_summary, monte_carlo_trades, parameter_sensitivity, quantile_cone
 from tallyfold.operators.robustness import synthetic_assets as generate_synthetic_asset
 from tallyfold.operators.strategies import (
     BBSqueezeParams, BBSqueezeStrategy, DualThrustParams, DualThrustStrategy, EMARibbonParams, EMARibbonStrategy, FFTCycleFilterStrategy,
@@ -40,8 +40,10 @@ from tallyfold.operators.strategies import SMACrossoverParams as StrategyParams
 from tallyfold.operators.strategies import StochasticParams as StochasticDivergenceParams
 from tallyfold.operators.strategies import StochasticStrategy as StochasticDivergenceStrategy
 from tallyfold.operators.walkforward import WFOResult, best_timeframe, combined_windows, default_score, pick_best_params, walk_forward
-from tallyfold.sources.bars import DatasetMeta, GridSpec, LazyDataset, build_lazy_grid, discover_datasets, folder_bars, grid_bars, load_all, load_all_lazy, load_csv, resample_ohlc, reshape_grid_results, ticks_to_bars
+from tallyfold.sources.bars import DatasetMeta, GridSpec, LazyDataset, build_lazy_grid, discover_datasets, folder_bars, grid_bars, load_all, load_all_lazy, load_csv, resample_ohlc, reshape_grid_results, save_csv, ticks_to_bars
 from tallyfold.sources.cache import ResultCache
+from tallyfold.streaming.backtest import stream_backtest
+from tallyfold.streaming.bars import stream_bars
 
 #: A grid cell is a row of keys; walking forward over a grid is walking forward over a keyed table.
 run_wfo_grid = walk_forward

@@ -295,3 +295,27 @@ def test_fingerprint_follows_the_defaults(monkeypatch):
 
     changed = compare.StrategyRegistration(reg.name, reg.notebook_id, reg.strategy_cls, Other, reg.group_timeframes, reg.base_kwargs, reg.b3_overrides)
     assert compare.fingerprint(changed) != compare.fingerprint(reg) == compare.fingerprint(compare.STRATEGY_REGISTRY[0])
+
+
+def test_combined_windows_join_the_assets_of_a_fold(spark):
+    both = bars(spark, WALK).unionByName(bars(spark, WALK[::-1], "B"))
+    windows, trades, equity = walkforward.walk_forward(both, {"fast": [2, 3], "slow": [5]}, st.SMACrossoverStrategy, 2, 0.4)
+    got = {r.fold: r for r in walkforward.combined_windows(windows, trades).collect()}
+    rows, each = trades.toPandas().sort_values(["exit_time", "asset", "entry_time"]), windows.toPandas()
+    assert set(got) == {0, 1}
+    for fold, r in got.items():
+        part = rows[rows["fold"] == fold]
+        curve = part["pnl_points"].cumsum()
+        assert (r.num_trades, r.total_pnl) == (len(part), pytest.approx(part["pnl_points"].sum()))
+        assert r.max_drawdown == pytest.approx((curve - curve.cummax()).min())
+        mine = each[each["fold"] == fold]
+        lead = mine[mine["asset"] == "A"].iloc[0]
+        assert (r.is_start, r.oos_end, r.param_fast) == (lead["is_start"], lead["oos_end"], lead["param_fast"])
+        mean = mine["degradation_ratio"].astype(float).mean()
+        assert r.degradation_ratio == (None if math.isnan(mean) else pytest.approx(mean))
+    # equity of the second fold starts where the first one ended
+    for asset, curve in equity.toPandas().groupby("asset"):
+        own = rows[rows["asset"] == asset]
+        first = own[own["fold"] == 0]["pnl_points"].sum()
+        curve = curve[curve["fold"] == 1].sort_values("timestamp")["equity"]
+        assert curve.iloc[-1] == pytest.approx(first + own[own["fold"] == 1]["pnl_points"].sum())
