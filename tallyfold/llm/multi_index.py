@@ -45,6 +45,8 @@ AIM = 0.95
 LADDER = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
 #: Bytes of a block's entries, and queries in one product.
 BLOCK, QUERIES = 4 << 20, 1024
+#: Bytes of the copies of queries that a probing task hands over at once.
+PROBES = 8 << 20
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -223,15 +225,22 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
         low[b : b + n], high[b : b + n] = np.minimum(low[b : b + n], i), i + 1
 
     def probe(batches):
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        record = lambda out: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["b", "vec_id", "v", "cells"])
         for batch in batches:
-            out: list[tuple] = []
+            out, size = [], 0
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 met = index.walk(_unit(np.frombuffer(v).reshape(1, -1))[0], weight, enough)
                 rows = np.flatnonzero(met.any(axis=1))
-                out += [(b, q, v, np.packbits(met[low[b] : high[b]]).tobytes()) for b in sorted({int(b) for i in rows for b in range(first[i], first[i] + count[i])})]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["b", "vec_id", "v", "cells"])
+                copies = [(b, q, v, np.packbits(met[low[b] : high[b]]).tobytes()) for b in sorted({int(b) for i in rows for b in range(first[i], first[i] + count[i])})]
+                out += copies
+                size += sum(len(v) + len(c[3]) for c in copies)
+                # a query goes to many blocks, so a batch of queries is many times as long when it leaves
+                if size >= PROBES:
+                    yield record(out)
+                    out, size = [], 0
+            if out:
+                yield record(out)
 
     probes = common.map_arrow(chosen, probe, "b int, vec_id bigint, v binary, cells binary").select("b", F.lit(1).alias("side"), "vec_id", "v", F.lit(0).alias("cell"), "cells")
     of = lambda values: F.array(*[F.lit(int(x)) for x in values])[F.col("i")]
@@ -242,9 +251,11 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
         ids, data, cell, unit, at = [], [], [], None, 0
         for whole in batches:
             split = int(np.searchsorted(np.asarray(whole.column(1)), 1))
-            ids.append(np.asarray(whole.column(2))[:split])
-            data += whole.column(3)[:split].to_pylist()
-            cell.append(np.asarray(whole.column(4))[:split])
+            # no batch after the first with queries holds entries
+            if split:
+                ids.append(np.asarray(whole.column(2))[:split])
+                data += whole.column(3)[:split].to_pylist()
+                cell.append(np.asarray(whole.column(4))[:split])
             if split == whole.num_rows:
                 continue
             if unit is None:

@@ -250,3 +250,21 @@ def test_a_query_id_asks_once(spark):
         assert [s for _, _, s in got[q]] == pytest.approx([-c for c, _ in cosines])
     unusable = spark.createDataFrame([(i, None) for i in range(300)] + [(0, [1.0, 2.0]), (50, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert {(r.query_id, r.vec_id) for r in multi_index.neighbours(unusable, lambda c: c % 50 == 0).collect()} == {(0, 50), (50, 0)}
+
+
+def test_queries_of_a_block_may_come_in_many_batches(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    monkeypatch.setattr(multi_index, "PROBES", 500, raising=False)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in multi_index.neighbours(table, lambda c: c % 2 == 0, aim=1.0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T
+    np.fill_diagonal(near, -9)
+    assert got == {q: np.argsort(-near[q])[:5].tolist() for q in range(0, 300, 2)}
