@@ -40,7 +40,7 @@ from tallyfold.operators.strategies import SMACrossoverParams as StrategyParams
 from tallyfold.operators.strategies import StochasticParams as StochasticDivergenceParams
 from tallyfold.operators.strategies import StochasticStrategy as StochasticDivergenceStrategy
 from tallyfold.operators.walkforward import WFOResult, best_timeframe, combined_windows, default_score, pick_best_params, walk_forward
-from tallyfold.sources.bars import DatasetMeta, GridSpec, LazyDataset, build_lazy_grid, discover_datasets, folder_bars, grid_bars, load_all, load_all_lazy, load_csv, resample_ohlc, reshape_grid_results, save_csv, ticks_to_bars
+from tallyfold.sources.bars import DatasetMeta, GridSpec, LazyDataset, build_lazy_grid, discover_datasets, folder_bars, grid_bars, load_all, load_all_lazy, load_csv, resample_ohlc, reshape_grid_results, save_csv, ticks_to_bars, ticks_to_frames
 from tallyfold.sources.cache import ResultCache
 from tallyfold.streaming.backtest import stream_backtest
 from tallyfold.streaming.bars import stream_bars

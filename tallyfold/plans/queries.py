@@ -15,7 +15,7 @@ from tallyfold.operators import strategies as st
 from tallyfold.operators.backtest import Execution, equity_of, run, trades_of
 from tallyfold.operators.metrics import compute_metrics, daily_changes, drawdown, metrics_comparison, metrics_table, subperiods
 from tallyfold.plans import oracles as o
-from tallyfold.sources.bars import load_all, resample_ohlc, save_csv, ticks_to_bars
+from tallyfold.sources.bars import load_all, resample_ohlc, save_csv, ticks_to_bars, ticks_to_frames
 from tallyfold.staging import shared_folder, staged
 from tallyfold.streaming.backtest import stream_backtest
 
@@ -491,7 +491,7 @@ def group_sets_whole(spark, sf_dir):
 
 def framed(spark, sf_dir, frames: tuple[str, ...] = o.FRAMES) -> DataFrame:
     ticks = table(spark, sf_dir, "events")
-    return reduce(DataFrame.unionByName, [ticks_to_bars(ticks, "event_type", "ts", "value", f, ("event_id",)) for f in frames])
+    return ticks_to_frames(ticks, "event_type", "ts", "value", frames, ("event_id",))
 
 
 _TABLE = ("num_trades", "total_pnl", "win_rate", "avg_win", "avg_loss", "profit_factor", "expectancy", "max_drawdown", "max_consec_losses", "sharpe_daily", "t_stat", "t_stat")
@@ -640,11 +640,10 @@ def registry_run(spark, sf_dir):
     clock = F.to_timestamp_ntz(F.to_date("o_orderdate").cast("string")) + F.expr("make_dt_interval(0, 9, 0, 0)") + F.expr("make_dt_interval(0, 0, cast(o_orderkey % 540 as int), 0)")
     ticks = {"forex": (events, "event_type", "ts", "value", ("event_id",)), "b3": (orders.withColumn("ts", clock), "o_orderpriority", "ts", "o_totalprice", ("o_orderkey",))}
 
-    def bars_for(group: str, frames: list[str]) -> DataFrame:
-        source, asset, time, price, order = ticks[group]
-        return reduce(DataFrame.unionByName, [ticks_to_bars(source, asset, time, price, f, order, group=group) for f in frames])
-
-    return compare.run_all_strategies(bars_for)[0]
+    # all strategies read the same bars, made once for all timeframes of a group
+    needed = {g: [f for reg in compare.STRATEGY_REGISTRY for f in reg.group_timeframes.get(g, ())] for g in ticks}
+    bars = {g: staged(ticks_to_frames(source, asset, time, price, needed[g], order, group=g), "registry-bars") for g, (source, asset, time, price, order) in ticks.items()}
+    return compare.run_all_strategies(lambda group, frames: bars[group].where(F.col("tf").isin(frames)))[0]
 
 
 @query()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.kernels import KEYS
+from tallyfold.staging import staged
 
 # File name pattern, separators in the order tried, headers of one exporter.
 FILE_NAME = r"^([A-Za-z0-9]+)_([A-Za-z0-9]+)_(\d{12})_(\d{12})\.csv$"
@@ -203,6 +204,24 @@ def ticks_to_bars(ticks: DataFrame, asset: str, ts: str, price: str, rule: str,
     return out.select(F.lit(group).alias("group"), "asset", F.lit(rule).alias("tf"), F.col("w.start").alias("ts"), *PRICES, "tick_vol")
 
 
+def ticks_to_frames(ticks: DataFrame, asset: str, ts: str, price: str, rules: Iterable[str], order: tuple[str, ...] = (), volume: str | None = None, group: str = "ticks") -> DataFrame:
+    """ticks_to_bars for several of RULES as one table. Each of RULES divides the next, so the ticks
+    are read once, for the shortest; the others are made of its bars, which are written once and are
+    no more than the assets have buckets of it."""
+    shortest, *longer = sorted(set(rules), key=list(RULES).index)
+    fine = ticks_to_bars(ticks, asset, ts, price, shortest, order, volume, group)
+    if not longer:
+        return fine
+    fine = staged(fine, "bars")
+    return reduce(DataFrame.unionByName, [fine, *[_longer(fine, rule) for rule in longer]])
+
+
+def _longer(fine: DataFrame, rule: str) -> DataFrame:
+    """Bars of a longer rule; like those of ticks they keep missing prices."""
+    out = fine.groupBy("group", "asset", F.window("ts", RULES[rule]).alias("w")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("tick_vol").alias("tick_vol"))
+    return out.select("group", "asset", F.lit(rule).alias("tf"), F.col("w.start").alias("ts"), *PRICES, "tick_vol")
+
+
 class LazyDataset:
     """A file of the catalog; rows are read on load, and small timeframes resampled if asked."""
 

@@ -141,3 +141,12 @@ def test_registry_run_takes_folders(spark, folder, tmp_path):
     metrics, equity, _ = compare.run_all_strategies(folder, registry, cache=str(tmp_path / "kept"))
     assert metrics.count() == 1 and equity.count() == 3
     assert compare.run_all_strategies(folder + "/nowhere", registry, cache=str(tmp_path / "kept"))[1].count() == 3
+
+
+def test_longer_bars_made_of_shorter_ones_equal_those_of_ticks(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(f"k{i % 2}" if i % 9 else None, start + datetime.timedelta(seconds=(37 * i) % 200_000 // 60 * 60) if i % 50 else None, float(i * 31 % 17) if i % 3 else None, i) for i in range(700)]
+    ticks = spark.createDataFrame(rows, "k string, t timestamp_ntz, p double, n long").repartition(3)
+    frames = ("4h", "1min", "1D", "15min")
+    made = src.ticks_to_frames(ticks, "k", "t", "p", frames, ("n",), group="g")
+    assert sorted(map(str, made.collect())) == sorted(str(r) for f in frames for r in src.ticks_to_bars(ticks, "k", "t", "p", f, ("n",), group="g").select(*made.columns).collect())

@@ -2,9 +2,10 @@
 
 import pytest
 
-from tallyfold.operators import ml
+from tallyfold.operators import compare, ml
 from tallyfold.plans import QUERIES
 from tallyfold.plans import queries as plans
+from tallyfold.sources.bars import ticks_to_bars
 from __spark_entry__ import SMALLEST
 
 
@@ -37,3 +38,16 @@ def test_metrics_by_timeframe_gives_every_series(spark, assets):
     rows = QUERIES["metrics_by_timeframe"](spark, SMALLEST).collect()
     assert {r["asset"] for r in rows} == assets
     assert len({(r["asset"], r["metric"]) for r in rows}) == len(rows) == len(assets) * len({r["metric"] for r in rows})
+
+
+def test_registry_run_reads_its_ticks_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(compare, "run_all_strategies", lambda bars_for: seen.update({(g, f): bars_for(g, [f]) for reg in compare.STRATEGY_REGISTRY for g, frames in reg.group_timeframes.items() for f in frames}) or (None,))
+    QUERIES["registry_run"](spark, SMALLEST)
+    assert not any(p.startswith(f"file://{SMALLEST}") for df in seen.values() for p in df.inputFiles())
+    events = plans.table(spark, SMALLEST, "events")
+    for (group, frame), df in seen.items():
+        if group == "forex":
+            want = ticks_to_bars(events, "event_type", "ts", "value", frame, ("event_id",), group=group)
+            assert sorted(map(str, df.collect())) == sorted(map(str, want.select(*df.columns).collect()))
+    assert ("b3", "1min") in seen and seen["b3", "1min"].count() > seen["b3", "1h"].count() > 0
