@@ -268,3 +268,28 @@ def test_queries_of_a_block_may_come_in_many_batches(spark, monkeypatch):
     near = u @ u.T
     np.fill_diagonal(near, -9)
     assert got == {q: np.argsort(-near[q])[:5].tolist() for q in range(0, 300, 2)}
+
+
+def test_planted_passages_are_gone_from_the_text_and_clean_texts_stay(spark):
+    rng = random.Random(21)
+    passage = [" ".join(rng.choice(WORDS) + w for w in "abcdefghij" * n) for n in (9, 14)]  # 90 and 140 words
+    texts = {i: text(rng, 120) for i in range(40)}
+    planted = {i: texts[i] + f" {i} " + passage[i % 2] + f" {i} " + texts[i + 1][::-1] for i in range(0, 20, 3)}
+    # the first byte of both last characters is equal, so a cut falls inside them
+    cut = {50: "ab" * 210 + "é", 51: "ab" * 210 + "è"}
+    texts |= planted | cut | {60: None}
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    got = {r.doc_id: r for r in suffix_dedup.removed_repeats(documents(spark, texts)).collect()}
+    digest = {r.doc_id: r for r in suffix_dedup.suffix_dedup(documents(spark, texts)).collect()}
+    assert set(got) == set(digest) == set(texts)
+    want = removal_by_hand(texts)
+    for i, r in got.items():
+        edges = [0, *(x for s in r.spans for x in (s.start, s.stop)), len(data[i])]
+        assert r.kept == b"".join(data[i][a:b] for a, b in zip(edges[::2], edges[1::2]))
+        assert (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) == want[i]
+        d = digest[i]
+        assert (d.n_bytes, d.n_removed, d.n_spans, d.kept_sha256, d.touched) == (*want[i], bool(r.spans))
+    assert {i for i, d in digest.items() if d.kept_text != (texts[i] or "")} == set(planted) | set(cut)
+    for i in planted:
+        assert passage[i % 2] not in digest[i].kept_text and digest[i].kept_text.startswith(texts[i][:200])
+    assert [digest[i].kept_text for i in cut] == ["�", "�"]
